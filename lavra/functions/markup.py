@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -60,6 +61,24 @@ def _page_text(markup: str | None) -> str | None:
     return "".join(page.parts)
 
 
+def offsets(sizes: pa.Array) -> pa.Array:
+    """Start of each list in the flattened values, and their end."""
+    ends = pc.cumulative_sum(pc.fill_null(sizes, 0)).cast(pa.int32())
+    return pa.concat_arrays([pa.array([0], pa.int32()), ends])
+
+
+def relist(lists: pa.Array, values: pa.Array) -> pa.Array:
+    """New values, one per flattened value, in the shape of ``lists``; a null list stays null."""
+    starts = offsets(pc.list_value_length(lists))
+    return pa.ListArray.from_arrays(starts, values, mask=lists.is_null())
+
+
+def _nfc(texts: pa.Array) -> pa.Array:
+    """Per string in the standard library: Arrow's own kernel leaves text decomposed."""
+    composed = (None if t is None else unicodedata.normalize("NFC", t) for t in texts.to_pylist())
+    return pa.array(composed, pa.string())
+
+
 @F.pandas_udf(T.StringType())
 def _strip(markup: pd.Series) -> pd.Series:
     return markup.map(_page_text)
@@ -72,15 +91,12 @@ def _strip_each(texts: pd.Series) -> pd.Series:
 
 @F.arrow_udf(T.StringType())
 def _compose(text: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(text, form="NFC")
+    return _nfc(text)
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def _compose_each(texts: pa.Array) -> pa.Array:
-    sizes = pc.fill_null(pc.list_value_length(texts), 0)
-    ends = pc.cumulative_sum(sizes).cast(pa.int32())
-    offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
-    return pa.ListArray.from_arrays(offsets, pc.utf8_normalize(texts.flatten(), form="NFC"))
+    return relist(texts, _nfc(texts.flatten()))
 
 
 def _only_where(test: Column, text: Column, apply) -> Column:

@@ -74,7 +74,8 @@ def shuffled_fraction(
 def ordered_cutoff(df: DataFrame, key: str, share, *, descending: bool = False):
     """Key of the last of the first rows in key order, for an integer key; with the rows before it.
 
-    Returns ``(cutoff, rows strictly before the cutoff, wanted rows)`` or None when nothing is wanted.
+    Returns ``(cutoff, rows strictly before the cutoff, wanted rows)``, with no number of rows before when
+    all rows are wanted, or None when none is.
     The value range is cut into 4096 parts, then the part with the cut again, until it is one value.
     """
     keys = df.select(F.col(key).cast("long").alias("k")).where(F.col("k").isNotNull())
@@ -82,6 +83,8 @@ def ordered_cutoff(df: DataFrame, key: str, share, *, descending: bool = False):
     wanted = min(share(total), total)
     if wanted <= 0:
         return None
+    if wanted == total:
+        return (low if descending else high), None, wanted
     before = 0
     while low < high:
         width = -(-(high - low + 1) // _BUCKETS)
@@ -123,6 +126,8 @@ def top_rows(df: DataFrame, *, by: str, then: str, n: int) -> DataFrame:
     if cut is None:
         return df.where(F.lit(False))
     cutoff, before, wanted = cut
+    if before is None:
+        return df
     above = df.where(F.col(by) > cutoff)
     ties = df.where(F.col(by) == cutoff)
     if ties.count() == wanted - before:

@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lavra.functions.lattice import best_split
+from lavra.functions.markup import offsets, relist
 from lavra.functions.tokens import (
     CONTEXT_SIZE,
     UNK,
@@ -48,11 +49,6 @@ def _once_per_worker(shared, build):
     return _built[id(shared)][1]
 
 
-def _offsets(sizes) -> pa.Array:
-    ends = pc.cumulative_sum(pc.fill_null(sizes, 0)).cast(pa.int32())
-    return pa.concat_arrays([pa.array([0], pa.int32()), ends])
-
-
 def _pieces_in_id_order(vocab: DataFrame) -> list[tuple[str, float]]:
     rows = vocab.select("id", "piece", "score").collect()
     return [(r["piece"], r["score"]) for r in sorted(rows, key=lambda r: r["id"])]
@@ -67,7 +63,7 @@ def word_encoder(vocab: DataFrame):
     def encode(tokens: pa.Array) -> pa.Array:
         known = _once_per_worker(shared, pa.array)
         ids = pc.fill_null(pc.index_in(tokens.flatten(), value_set=known), UNK)
-        return pa.ListArray.from_arrays(_offsets(pc.list_value_length(tokens)), ids)
+        return relist(tokens, ids)
 
     return encode
 
@@ -110,11 +106,10 @@ def unigram_encoder(vocab: DataFrame, *, per_token: bool = False):
                 memo[word] = word_ids(word, model)
         by_word = pa.array([memo[w] for w in words], pa.list_(pa.int32()))
         each = by_word.take(coded.indices)
-        offsets = _offsets(pc.list_value_length(tokens))
         if per_token:
-            return pa.ListArray.from_arrays(offsets, each)
-        inner = _offsets(pc.list_value_length(each))
-        return pa.ListArray.from_arrays(inner.take(offsets), each.flatten())
+            return relist(tokens, each)
+        starts = offsets(pc.list_value_length(each)).take(offsets(pc.list_value_length(tokens)))
+        return pa.ListArray.from_arrays(starts, each.flatten(), mask=tokens.is_null())
 
     return encode
 
@@ -127,9 +122,7 @@ def piece_lookup(vocab: DataFrame):
     @F.arrow_udf("array<string>")
     def look_up(ids: pa.Array) -> pa.Array:
         known = _once_per_worker(shared, pa.array)
-        return pa.ListArray.from_arrays(
-            _offsets(pc.list_value_length(ids)), known.take(ids.flatten())
-        )
+        return relist(ids, known.take(ids.flatten()))
 
     return look_up
 

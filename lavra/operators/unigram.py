@@ -17,7 +17,7 @@ from lavra.functions.tokens import SPECIAL_TOKENS, VOCABULARY_SIZE
 from lavra.operators.cuts import top_rows
 from lavra.operators.encoding import UNKNOWN_PENALTY
 from lavra.operators.vocabulary import numbered, word_counts
-from lavra.session import stage
+from lavra.session import spread, stage
 
 # Fixed values from public implementations of the paper.
 SEED_SIZE = 1_000_000
@@ -162,7 +162,7 @@ def train_unigram(
     text="text",
 ) -> DataFrame:
     """A vocabulary of ``size`` pieces: special tokens, every needed character, then the best pieces."""
-    counts = stage(word_counts(docs, text=text), "word-counts")
+    counts = spread(stage(word_counts(docs, text=text), "word-counts"))
     chars = {r["piece"]: r["uses"] for r in character_counts(counts).collect()}
     required = set(chars) | (byte_alphabet() if alphabet is None else alphabet)
     seeds = seed_pieces(counts, size=seed_size, longest=longest)

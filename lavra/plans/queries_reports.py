@@ -139,14 +139,14 @@ _SPANS = q.with_(
     """long AS (
   SELECT 't' AS side, sent_id, pos, t AS tag FROM named UNION ALL SELECT 'p', sent_id, pos, p FROM named
 )""",
-    """parts AS (
+    """marks AS (
   SELECT *, tag[1] AS bio, substr(tag, 3) AS kind,
          lag(tag[1]) OVER w AS last_bio, lag(substr(tag, 3)) OVER w AS last_kind
   FROM long WINDOW w AS (PARTITION BY side, sent_id ORDER BY pos)
 )""",
     """opened AS (
   SELECT *, CASE WHEN bio = 'B' OR (bio = 'I' AND (last_bio IS NULL OR last_bio = 'O' OR last_kind <> kind))
-            THEN 1 ELSE 0 END AS opens FROM parts
+            THEN 1 ELSE 0 END AS opens FROM marks
 )""",
     """islands AS (
   SELECT *, sum(opens) OVER (PARTITION BY side, sent_id ORDER BY pos) AS island FROM opened WHERE bio <> 'O'

@@ -85,7 +85,8 @@ def normalize_quotes(spark, folder):
 def _decomposed(spark, folder):
     """Accented letters taken apart into letter and combining mark."""
     text = F.col("text")
-    for whole, parts in (("é", "é"), ("ó", "ó"), ("ñ", "ñ"), ("ü", "ü")):
+    acute, tilde, dots = chr(0x301), chr(0x303), chr(0x308)
+    for whole, parts in (("é", "e" + acute), ("ó", "o" + acute), ("ñ", "n" + tilde), ("ü", "u" + dots)):
         text = F.replace(text, F.lit(whole), F.lit(parts))
     return _docs(spark, folder).select("doc_id", text.alias("text"))
 
@@ -224,14 +225,14 @@ def quality_by_language(spark, folder):
     "num_words_histogram",
     q.with_(
         q.PARA_MEASURES,
-        f"""both AS (
+        f"""two AS (
   SELECT 'before' AS series, num_words FROM measured UNION ALL
   SELECT 'after', num_words FROM measured {_rule_sql('BETWEEN 20 AND 512', 1, 2, 15)}
 )""",
-        "ends AS (SELECT series, min(num_words) AS lo, max(num_words) AS hi FROM both GROUP BY series)",
+        "ends AS (SELECT series, min(num_words) AS lo, max(num_words) AS hi FROM two GROUP BY series)",
         """binned AS (
   SELECT series, coalesce(least(floor((num_words - lo) * 40 / nullif(hi - lo, 0)), 39), 0)::INT AS bin, count(*) AS n
-  FROM both JOIN ends USING (series) GROUP BY ALL
+  FROM two JOIN ends USING (series) GROUP BY ALL
 )""",
     )
     + "SELECT s AS series, b::INT AS bin, coalesce(n, 0)::BIGINT AS documents "
@@ -250,7 +251,7 @@ def num_words_histogram(spark, folder):
 def stream_curate(spark, folder):
     """The stored result of a stream over the files equals the batch result."""
     out = new_scratch(spark, "stream")
-    arriving = ingest.read_arriving(spark, f"{folder}/documents.parquet")
+    arriving = ingest.read_arriving(spark, f"{folder}/documents*.parquet")
     kept = _shown(ingest.curate(arriving), "doc_id")
     ingest.write_new(kept, f"{out}/table", f"{out}/progress").awaitTermination()
     return spark.read.schema(kept.schema).parquet(f"{out}/table")
