@@ -1,70 +1,91 @@
-"""Segmenting one word with scored pieces: the small per-word helper of the unigram jobs."""
+"""Segmentations of a batch of words with scored pieces: the small in-task helper of the unigram jobs.
+
+A word's edges are its substrings up to the longest piece, by start and then length. Words of one length
+share their edges, so each step runs over all of them at once.
+"""
 
 from __future__ import annotations
 
-import math
-
-_FLOOR = float("-inf")
-
-
-def best_split(word: str, scores: dict[str, float], longest: int, unknown: float, skip=None):
-    """Best segmentation as a list of pieces; characters with no piece stand alone at ``unknown``.
-
-    ``skip`` names a piece that may not be used.
-    """
-    n = len(word)
-    best = [0.0] + [_FLOOR] * n
-    back = [0] * (n + 1)
-    for end in range(1, n + 1):
-        top, where = _FLOOR, end - 1
-        for start in range(max(0, end - longest), end):
-            piece = word[start:end]
-            score = scores.get(piece)
-            if score is None or piece == skip:
-                if end - start > 1:
-                    continue
-                score = unknown
-            score += best[start]
-            if score > top:
-                top, where = score, start
-        best[end], back[end] = top, where
-    pieces = []
-    end = n
-    while end:
-        pieces.append(word[back[end] : end])
-        end = back[end]
-    pieces.reverse()
-    return pieces, best[n]
-
-
-def expected_pieces(word: str, scores: dict[str, float], longest: int, unknown: float):
-    """Expected use of each piece over all segmentations, and the word's log likelihood."""
-    n = len(word)
-    edges = []
-    for start in range(n):
-        for end in range(start + 1, min(n, start + longest) + 1):
-            score = scores.get(word[start:end])
-            if score is not None:
-                edges.append((start, end, score))
-            elif end == start + 1:
-                edges.append((start, end, unknown))
-    ahead = [_FLOOR] * (n + 1)
-    ahead[0] = 0.0
-    for start, end, score in edges:
-        ahead[end] = _log_add(ahead[end], ahead[start] + score)
-    behind = [_FLOOR] * (n + 1)
-    behind[n] = 0.0
-    for start, end, score in reversed(edges):
-        behind[start] = _log_add(behind[start], behind[end] + score)
-    whole = ahead[n]
-    used = [
-        (word[start:end], math.exp(ahead[start] + score + behind[end] - whole))
-        for start, end, score in edges
-    ]
-    return used, whole
-
-
-def _log_add(a: float, b: float) -> float:
-    if a < b:
-        a, b = b, a
-    return a if b == _FLOOR else a + math.log1p(math.exp(b - a))
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+
+def edges_of(n: int, longest: int) -> list[tuple[int, int]]:
+    """(start, end) of every edge of a word of ``n`` characters."""
+    return [(s, e) for s in range(n) for e in range(s + 1, min(n, s + longest) + 1)]
+
+
+def by_length(sizes: np.ndarray):
+    """Row numbers of each word length; empty words have no edges."""
+    for n in np.unique(sizes):
+        if n > 0:
+            yield int(n), np.flatnonzero(sizes == n)
+
+
+def edge_pieces(words: pa.Array, n: int, longest: int, known: pa.Array) -> np.ndarray:
+    """Piece number of each edge of each word, -1 where the substring is no piece."""
+    slices = [pc.utf8_slice_codeunits(words, s, e) for s, e in edges_of(n, longest)]
+    found = pc.fill_null(pc.index_in(pa.concat_arrays(slices), value_set=known), -1)
+    return found.to_numpy().reshape(len(slices), len(words))
+
+
+def edge_scores(pieces: np.ndarray, n: int, longest: int, scores: np.ndarray, unknown: float):
+    """Score of each edge; a character that is no piece still passes, at ``unknown``."""
+    table = np.append(scores, -np.inf)
+    out = table[pieces]
+    for at, (s, e) in enumerate(edges_of(n, longest)):
+        if e == s + 1:
+            out[at][np.isneginf(out[at])] = unknown
+    return out
+
+
+def expected_uses(edge: np.ndarray, n: int, longest: int) -> np.ndarray:
+    """Expected use of each edge over all segmentations of its word (forward-backward)."""
+    edges = edges_of(n, longest)
+    ahead = np.full((n + 1, edge.shape[1]), -np.inf)
+    behind = ahead.copy()
+    ahead[0] = behind[n] = 0.0
+    for at, (s, e) in enumerate(edges):
+        ahead[e] = np.logaddexp(ahead[e], ahead[s] + edge[at])
+    for at in range(len(edges) - 1, -1, -1):
+        s, e = edges[at]
+        behind[s] = np.logaddexp(behind[s], behind[e] + edge[at])
+    starts, ends = np.array(edges).T
+    return np.exp(ahead[starts] + edge + behind[ends] - ahead[n])
+
+
+def best_path(edge: np.ndarray, n: int, longest: int):
+    """Score of each word's best segmentation, and its edges from the last to the first (-1 past it)."""
+    edges = edges_of(n, longest)
+    words = edge.shape[1]
+    best = np.full((n + 1, words), -np.inf)
+    back = np.full((n + 1, words), -1)
+    best[0] = 0.0
+    for at, (s, e) in enumerate(edges):
+        score = best[s] + edge[at]
+        better = score > best[e]
+        best[e][better] = score[better]
+        back[e][better] = at
+    starts = np.array([s for s, _ in edges])
+    here, column, path = np.full(words, n), np.arange(words), []
+    while (here > 0).any():
+        taken = np.where(here > 0, back[here, column], -1)
+        path.append(taken)
+        here = np.where(taken >= 0, starts[taken], 0)
+    return best[n], np.array(path)
+
+
+def segment(words: pa.Array, known: pa.Array, scores: np.ndarray, longest: int, unknown: float):
+    """Piece numbers of each word's best segmentation; a run of unknown characters is one -1."""
+    out: list[list[int]] = [[] for _ in range(len(words))]
+    for n, rows in by_length(pc.utf8_length(words).to_numpy()):
+        pieces = edge_pieces(words.take(pa.array(rows)), n, longest, known)
+        _, path = best_path(edge_scores(pieces, n, longest, scores, unknown), n, longest)
+        for column, row in enumerate(rows.tolist()):
+            taken = path[:, column]
+            for at in taken[taken >= 0][::-1].tolist():
+                piece = int(pieces[at, column])
+                if piece >= 0 or not out[row] or out[row][-1] >= 0:
+                    out[row].append(piece)
+    return out

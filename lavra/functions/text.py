@@ -12,6 +12,8 @@ WS_CLASS = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
 WS = f"[{WS_CLASS}]+"
+# The same set for Java, where two ranges rule most letters out before the full list is walked.
+WS_QUICK = rf"[\x09-\x20\x{{85}}-\x{{3000}}&&[{WS_CLASS}]]+"
 
 # The Unicode White_Space property, which the pre-tokeniser cuts on.
 WHITE_SPACE = (
@@ -21,9 +23,10 @@ WHITE_SPACE = (
 # A run of numbers, one punctuation mark, or a run of anything else; the meta symbol opens a new piece.
 META = "▁"
 _MARK = r"\p{P}$+<=>^`|~"
-PRE_TOKEN = (
-    rf"\p{{N}}+|[{_MARK}]|{META}?[^\p{{N}}{_MARK}{META}{WHITE_SPACE}]+|{META}"
-)
+_OTHER = rf"[^\p{{N}}{_MARK}{META}{WHITE_SPACE}]"
+PRE_TOKEN = rf"\p{{N}}+|[{_MARK}]|{META}?{_OTHER}+|{META}"
+# The same matches for Java: plain letters are let through before the properties are asked.
+PRE_TOKEN_QUICK = rf"{META}?[a-z{_OTHER}]+|[{_MARK}]|\p{{N}}+|{META}"
 
 
 def _col(column) -> Column:
@@ -32,12 +35,12 @@ def _col(column) -> Column:
 
 def split_words(column) -> Column:
     """Words between white space; no empty words."""
-    return F.filter(F.split(_col(column), WS), lambda w: w != "")
+    return F.filter(F.split(_col(column), WS_QUICK), lambda w: w != "")
 
 
 def trim_space(column) -> Column:
     """Cut white space of every kind from both ends."""
-    return F.regexp_replace(_col(column), rf"\A{WS}|{WS}\z", "")
+    return F.regexp_replace(_col(column), rf"\A{WS_QUICK}|{WS_QUICK}\z", "")
 
 
 def fold_case(column) -> Column:
@@ -81,16 +84,24 @@ def straight_quotes(column) -> Column:
     )
 
 
+def raw_pre_tokens(column) -> Column:
+    """Pieces of a normalised text, not yet opened by the meta symbol."""
+    return F.regexp_extract_all(_col(column), F.lit(PRE_TOKEN_QUICK), F.lit(0))
+
+
+def open_piece(piece) -> Column:
+    """Put the meta symbol in front of a piece that does not begin with it."""
+    piece = _col(piece)
+    return F.when(F.startswith(piece, F.lit(META)), piece).otherwise(F.concat(F.lit(META), piece))
+
+
 def pre_tokens(column) -> Column:
     """Pieces of a normalised text, each opened by the meta symbol."""
-    found = F.regexp_extract_all(_col(column), F.lit(f"({PRE_TOKEN})"), F.lit(1))
-    return F.transform(
-        found, lambda p: F.when(F.startswith(p, F.lit(META)), p).otherwise(F.concat(F.lit(META), p))
-    )
+    return F.transform(raw_pre_tokens(column), open_piece)
 
 
 def count_pre_tokens(column) -> Column:
-    return F.regexp_count(_col(column), F.lit(PRE_TOKEN)).cast("long")
+    return F.regexp_count(_col(column), F.lit(PRE_TOKEN_QUICK)).cast("long")
 
 
 # The windows-1252 characters of the bytes 0x80-0x9f, and those bytes read as Latin-1.

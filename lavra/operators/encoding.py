@@ -7,14 +7,16 @@ once. A vocabulary beyond that size is joined instead.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lavra.functions.lattice import best_split
+from lavra.functions.lattice import segment
 from lavra.functions.markup import offsets, relist
 from lavra.functions.tokens import (
     CONTEXT_SIZE,
+    SPECIAL_TOKENS,
     UNK,
     attention_mask,
     join_pieces,
@@ -78,32 +80,24 @@ def unigram_encoder(vocab: DataFrame, *, per_token: bool = False):
     shared = vocab.sparkSession.sparkContext.broadcast(pieces)
 
     def build(rows):
-        ids = {p: i for i, (p, _) in enumerate(rows)}
-        scores = {p: s for p, s in rows[5:]}
-        longest = max(map(len, scores), default=1)
-        unknown = min(scores.values(), default=0.0) - UNKNOWN_PENALTY
-        return ids, scores, longest, unknown, {}
-
-    def word_ids(word, model):
-        ids, scores, longest, unknown, _ = model
-        out = []
-        for piece in best_split(word, scores, longest, unknown)[0]:
-            i = ids.get(piece, UNK)
-            if i != UNK or not out or out[-1] != UNK:
-                out.append(i)
-        return out
+        known = pa.array([p for p, _ in rows])
+        scores = np.array([s for _, s in rows], dtype=float)
+        scores[: len(SPECIAL_TOKENS)] = -np.inf
+        plain = scores[len(SPECIAL_TOKENS) :]
+        unknown = (plain.min() if len(plain) else 0.0) - UNKNOWN_PENALTY
+        return known, scores, max(len(p) for p, _ in rows), unknown, {}
 
     @F.arrow_udf("array<array<int>>" if per_token else "array<int>")
     def encode(tokens: pa.Array) -> pa.Array:
-        model = _once_per_worker(shared, build)
-        memo = model[4]
+        *model, memo = _once_per_worker(shared, build)
         coded = tokens.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
         if len(memo) > _MEMO_WORDS:
             memo.clear()
-        for word in words:
-            if word not in memo:
-                memo[word] = word_ids(word, model)
+        new = [w for w in words if w not in memo]
+        if new:
+            found = segment(pa.array(new, pa.string()), *model)
+            memo.update((w, [UNK if p < 0 else p for p in ps]) for w, ps in zip(new, found))
         by_word = pa.array([memo[w] for w in words], pa.list_(pa.int32()))
         each = by_word.take(coded.indices)
         if per_token:

@@ -6,24 +6,27 @@ from pyspark.sql import DataFrame, functions as F
 
 from lavra.functions.markup import clean_each
 from lavra.functions.stopwords import STOPWORDS
-from lavra.functions.text import WS, count_stopwords, fold_case, split_words, trim_space
+from lavra.functions.text import count_stopwords, fold_case, split_words, trim_space
 from lavra.session import fence
 
 
 def _measure(df: DataFrame, text: str, min_words: int, stopwords, lang) -> DataFrame:
     """One split per text. Short texts leave before the dearer measures are taken.
 
-    The words are folded as one string before the split, which is far cheaper than folding each word;
-    mean length comes from the unfolded text.
+    The text is folded as one string before the split, which is far cheaper than folding each word.
+    Folding may change the number of letters but not of spaces, and what the folded text has beyond its
+    words is spaces; so the letters of the unfolded words come out without a second split.
     """
     kept = df.columns
-    words = fence(df, split_words(fold_case(text)).alias("_words"))
+    folded = fence(df, fold_case(text).alias("_folded"))
+    words = fence(folded, split_words("_folded").alias("_words"))
     words = words.where(F.size("_words") >= min_words)
+    spaces = F.length("_folded") - F.length(F.array_join("_words", ""))
     measured = fence(
         words,
         F.size("_words").cast("long").alias("num_words"),
         count_stopwords("_words", stopwords, lang).alias("stopwords"),
-        F.length(F.regexp_replace(text, WS, "")).cast("long").alias("_chars"),
+        (F.length(text) - spaces).cast("long").alias("_chars"),
         keep=kept,
     )
     return measured.withColumn("average", F.try_divide("_chars", "num_words")).drop("_chars")

@@ -1,19 +1,30 @@
 """Training a unigram vocabulary (Kudo 2018, arXiv:1804.10959) as Spark jobs over word counts.
 
-The word table stays distributed and is read once per step. What travels is the model: at most
-``seed_size`` scored pieces out to the executors, and one summed count per piece back.
+The words stay distributed: each becomes a row of piece numbers, one per substring, stored once. Every
+step of the training then reads those numbers and never the strings. What travels is the model: one
+score per piece out, at most ``seed_size`` of them, and one sum per piece back.
 """
 
 from __future__ import annotations
 
-import math
-from collections import defaultdict
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lavra.functions.lattice import best_split, expected_pieces
-from lavra.functions.tokens import SPECIAL_TOKENS, VOCABULARY_SIZE
+from lavra.functions.lattice import (
+    best_path,
+    by_length,
+    edge_pieces,
+    edge_scores,
+    edges_of,
+    expected_uses,
+    segment,
+)
+from lavra.functions.tokens import SPECIAL_TOKENS, UNK, VOCABULARY_SIZE
 from lavra.operators.cuts import top_rows
 from lavra.operators.encoding import UNKNOWN_PENALTY
 from lavra.operators.vocabulary import numbered, word_counts
@@ -70,84 +81,132 @@ def character_counts(counts: DataFrame) -> DataFrame:
     return chars.where(F.col("piece") != "").groupBy("piece").agg(F.sum("count").alias("uses"))
 
 
-def _digamma(x: float) -> float:
-    shift = 0.0
-    while x < 6:
-        shift -= 1 / x
-        x += 1
-    inv = 1 / (x * x)
-    return shift + math.log(x) - 0.5 / x - inv * (1 / 12 - inv * (1 / 120 - inv / 252))
+def lattice(counts: DataFrame, pieces: list[str], *, longest: int = LONGEST_PIECE) -> DataFrame:
+    """Each word as its length, its count and the piece number of every substring. Narrow, stored once."""
+    shared = counts.sparkSession.sparkContext.broadcast(pieces)
+
+    def number(batches):
+        known = pa.array(shared.value)
+        for batch in batches:
+            words = batch.column("word")
+            sizes = pc.utf8_length(words).to_numpy()
+            for n, rows in by_length(sizes):
+                at = pa.array(rows)
+                edges = edge_pieces(words.take(at), n, longest, known).T.astype(np.int32)
+                width = edges.shape[1]
+                starts = pa.array(np.arange(0, (len(rows) + 1) * width, width, dtype=np.int32))
+                lists = pa.ListArray.from_arrays(starts, pa.array(edges.ravel()))
+                counts_ = batch.column("count").take(at)
+                lengths = pa.array(np.full(len(rows), n, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([lengths, counts_, lists], ["n", "count", "edges"])
+
+    numbered_ = counts.select("word", "count").mapInArrow(number, "n int, count long, edges array<int>")
+    return spread(stage(numbered_, "lattice"))
 
 
-def _broadcast_model(counts: DataFrame, scores: dict[str, float]):
-    longest = max(map(len, scores))
-    unknown = min(scores.values()) - UNKNOWN_PENALTY
-    return counts.sparkSession.sparkContext.broadcast((scores, longest, unknown))
+def _groups(batch):
+    """Words of a batch by length: (length, counts, piece numbers as edges x words)."""
+    lists = batch.column("edges")
+    flat, starts = lists.values.to_numpy(), lists.offsets.to_numpy()
+    counts = batch.column("count").to_numpy()
+    for n, rows in by_length(batch.column("n").to_numpy()):
+        width = starts[rows[0] + 1] - starts[rows[0]]
+        yield n, counts[rows], flat[starts[rows][None, :] + np.arange(width)[:, None]]
 
 
-def _summed(counts: DataFrame, scores: dict[str, float], per_word) -> dict[str, float]:
-    """Sum ``per_word`` (pieces with amounts) over all words, weighted; one partial sum per task."""
-    shared = _broadcast_model(counts, scores)
+def _unknown(scores: np.ndarray) -> float:
+    return float(scores[~np.isneginf(scores)].min()) - UNKNOWN_PENALTY
+
+
+def _summed(words: DataFrame, scores: np.ndarray, uses: Callable, longest: int) -> np.ndarray:
+    """Use of each piece over all words, weighted by their counts; one partial sum per task."""
+    shared = words.sparkSession.sparkContext.broadcast(scores)
 
     def partial(batches):
-        model, totals = shared.value, defaultdict(float)
+        table = shared.value
+        totals, unknown = np.zeros(len(table)), _unknown(table)
         for batch in batches:
-            for word, count in zip(batch["word"], batch["count"]):
-                for piece, amount in per_word(word, *model):
-                    totals[piece] += amount * count
-        yield pd.DataFrame({"piece": list(totals), "used": list(totals.values())})
-
-    parts = counts.mapInPandas(partial, "piece string, used double")
-    rows = parts.groupBy("piece").agg(F.sum("used").alias("used")).collect()
+            for n, counts, pieces in _groups(batch):
+                edge = edge_scores(pieces, n, longest, table, unknown)
+                amounts = uses(edge, n, longest) * counts
+                known = pieces >= 0
+                totals += np.bincount(pieces[known], amounts[known], minlength=len(table))
+        used = np.flatnonzero(totals)
+        yield pa.RecordBatch.from_pydict({"piece": used.astype(np.int32), "used": totals[used]})
+
+    parts = words.mapInArrow(partial, "piece int, used double")
+    rows = parts.groupBy("piece").agg(F.sum("used").alias("used")).toPandas()
     shared.unpersist()
-    return {r["piece"]: r["used"] for r in rows if r["piece"] in scores}
+    out = np.zeros(len(scores))
+    out[rows["piece"].to_numpy()] = rows["used"].to_numpy()
+    return out
 
 
-def _expected(word, scores, longest, unknown):
-    return expected_pieces(word, scores, longest, unknown)[0]
+def _best_uses(edge: np.ndarray, n: int, longest: int) -> np.ndarray:
+    _, path = best_path(edge, n, longest)
+    uses = np.zeros(edge.shape)
+    step, word = np.nonzero(path >= 0)
+    uses[path[step, word], word] = 1.0
+    return uses
 
 
-def _best(word, scores, longest, unknown):
-    return [(piece, 1.0) for piece in best_split(word, scores, longest, unknown)[0]]
+def _digamma(x: np.ndarray) -> np.ndarray:
+    x = np.asarray(x, dtype=float)
+    shift = np.zeros_like(x)
+    for _ in range(6):
+        shift -= 1 / x
+        x = x + 1
+    inv = 1 / (x * x)
+    return shift + np.log(x) - 0.5 / x - inv * (1 / 12 - inv * (1 / 120 - inv / 252))
 
 
-def reestimate(counts: DataFrame, scores: dict[str, float], required: set[str]) -> dict[str, float]:
+def reestimate(
+    words: DataFrame, scores: np.ndarray, required: np.ndarray, longest: int
+) -> np.ndarray:
     """One EM step: expected uses, then log probabilities; hardly used pieces leave."""
-    used = _summed(counts, scores, _expected)
-    kept = {p: u for p, u in used.items() if u >= MIN_USE or p in required}
-    total = _digamma(sum(kept.values()))
-    return {p: _digamma(max(u, MIN_USE)) - total for p, u in kept.items()}
+    used = _summed(words, scores, expected_uses, longest)
+    kept = ~np.isneginf(scores) & ((used >= MIN_USE) | required)
+    used = np.maximum(used, MIN_USE)
+    total = _digamma(used[kept].sum())
+    return np.where(kept, _digamma(used) - total, -np.inf)
 
 
-def prune(
-    counts: DataFrame, scores: dict[str, float], required: set[str], keep: int
-) -> dict[str, float]:
-    """Keep the pieces whose removal would cost the most likelihood.
+def removal_cost(pieces: DataFrame, scores: np.ndarray, longest: int) -> np.ndarray:
+    """How far each piece's best segmentation without itself scores below it.
 
-    The cost is a piece's use in best segmentations times the drop to its best segmentation without it.
+    ``pieces`` is the lattice of the pieces, each counted by its number.
     """
-    used = _summed(counts, scores, _best)
-    spark = counts.sparkSession
-    open_ = [(p, used.get(p, 0.0)) for p in scores if p not in required and used.get(p)]
-    shared = _broadcast_model(counts, scores)
+    shared = pieces.sparkSession.sparkContext.broadcast(scores)
 
     def cost(batches):
-        model, longest, unknown = shared.value
+        table = shared.value
+        unknown = _unknown(table)
         for batch in batches:
-            losses = [
-                u * (model[p] - best_split(p, model, longest, unknown, skip=p)[1])
-                for p, u in zip(batch["piece"], batch["used"])
-            ]
-            yield pd.DataFrame({"piece": batch["piece"], "loss": losses})
-
-    parts = spark.sparkContext.defaultParallelism
-    table = spark.createDataFrame(open_, "piece string, used double").repartition(parts)
-    losses = table.mapInPandas(cost, "piece string, loss double").collect()
+            for n, numbers, edges in _groups(batch):
+                edge = edge_scores(edges, n, longest, table, unknown)
+                edge[edges_of(n, longest).index((0, n))] = -np.inf
+                drop = table[numbers] - best_path(edge, n, longest)[0]
+                yield pa.RecordBatch.from_pydict({"piece": numbers.astype(np.int32), "drop": drop})
+
+    rows = pieces.where("n > 1").mapInArrow(cost, "piece int, drop double").toPandas()
     shared.unpersist()
-    ranked = sorted(losses, key=lambda r: (-r["loss"], r["piece"]))
-    fixed = {p for p in scores if p in required}
-    chosen = fixed.union(r["piece"] for r in ranked[: max(keep - len(fixed), 0)])
-    return {p: s for p, s in scores.items() if p in chosen}
+    out = np.zeros(len(scores))
+    out[rows["piece"].to_numpy()] = rows["drop"].to_numpy()
+    return out
+
+
+def prune(
+    words: DataFrame, pieces: DataFrame, scores: np.ndarray, required: np.ndarray, keep: int, longest: int
+) -> np.ndarray:
+    """Keep the pieces whose removal would cost the most likelihood over the best segmentations."""
+    used = _summed(words, scores, _best_uses, longest)
+    open_ = ~np.isneginf(scores) & ~required & (used > 0)
+    loss = np.where(open_, used * removal_cost(pieces, scores, longest), -np.inf)
+    fixed = ~np.isneginf(scores) & required
+    room = max(keep - int(fixed.sum()), 0)
+    ranked = np.argsort(-loss, kind="stable")[: min(room, int(open_.sum()))]
+    fixed[ranked] = True
+    return np.where(fixed, scores, -np.inf)
 
 
 def train_unigram(
@@ -164,31 +223,38 @@ def train_unigram(
     """A vocabulary of ``size`` pieces: special tokens, every needed character, then the best pieces."""
     counts = spread(stage(word_counts(docs, text=text), "word-counts"))
     chars = {r["piece"]: r["uses"] for r in character_counts(counts).collect()}
-    required = set(chars) | (byte_alphabet() if alphabet is None else alphabet)
+    needed = set(chars) | (byte_alphabet() if alphabet is None else alphabet)
     seeds = seed_pieces(counts, size=seed_size, longest=longest)
-    weights = {r["piece"]: float(r["weight"]) for r in seeds.collect()}
-    weights.update((c, float(n)) for c, n in chars.items())
-    total = math.log(sum(weights.values()))
-    scores = {p: math.log(w) - total for p, w in weights.items()}
-
+    weights = {r["piece"]: r["weight"] for r in seeds.collect()} | chars
+    names = sorted(weights)
+    required = np.array([p in needed for p in names])
+    scores = np.log(np.array([weights[p] for p in names], dtype=float))
+    scores -= np.log(np.exp(scores).sum())
+
+    words = lattice(counts, names, longest=longest)
+    table = counts.sparkSession.createDataFrame(
+        pd.DataFrame({"word": names, "count": range(len(names))}), "word string, count long"
+    )
+    pieces = lattice(spread(table), names, longest=longest)
     room = size - len(SPECIAL_TOKENS)
-    target = max(int(room * HEADROOM), len(required))
+    target = max(int(room * HEADROOM), len(needed))
     while True:
         for _ in range(sub_iterations):
-            scores = reestimate(counts, scores, required)
-        if len(scores) <= target:
+            scores = reestimate(words, scores, required, longest)
+        left = int((~np.isneginf(scores)).sum())
+        if left <= target:
             break
-        smaller = prune(counts, scores, required, max(target, int(len(scores) * shrink)))
-        if len(smaller) == len(scores):
+        scores = prune(words, pieces, scores, required, max(target, int(left * shrink)), longest)
+        if int((~np.isneginf(scores)).sum()) == left:
             break
-        scores = smaller
-    return numbered(_finish(scores, required, chars, room), docs.sparkSession)
+    final = {p: s for p, s in zip(names, scores.tolist()) if s != float("-inf")}
+    return numbered(_finish(final, needed, chars, room), docs.sparkSession)
 
 
-def _finish(scores, required, chars, room) -> list[tuple[str, float]]:
+def _finish(scores, needed, chars, room) -> list[tuple[str, float]]:
     lowest = min(scores.values())
-    needed = sorted(required, key=lambda c: (-chars.get(c, 0), c))[:room]
-    final = {c: scores.get(c, lowest - 1e-4 * (i + 1)) for i, c in enumerate(needed)}
+    first = sorted(needed, key=lambda c: (-chars.get(c, 0), c))[:room]
+    final = {c: scores.get(c, lowest - 1e-4 * (i + 1)) for i, c in enumerate(first)}
     for piece, score in sorted(scores.items(), key=lambda ps: (-ps[1], ps[0])):
         if len(final) >= room:
             break
@@ -208,18 +274,15 @@ def segment_words_by_join(words: DataFrame, vocab: DataFrame) -> DataFrame:
     found = edges.join(plain.select("piece", "id", "score"), "piece")
     each = found.groupBy("word").agg(F.collect_list(F.struct("piece", "id", "score")).alias("edges"))
 
-    def segment(batches):
+    def ids_of(batches):
         for batch in batches:
-            all_ids = []
-            for word, rows in zip(batch["word"], batch["edges"]):
-                ids = {r["piece"]: r["id"] for r in rows}
-                scores = {r["piece"]: r["score"] for r in rows}
-                out = []
-                for piece in best_split(word, scores, longest, lowest - UNKNOWN_PENALTY)[0]:
-                    i = ids.get(piece, 1)
-                    if i != 1 or not out or out[-1] != 1:
-                        out.append(i)
-                all_ids.append(out)
-            yield pd.DataFrame({"word": batch["word"], "ids": all_ids})
-
-    return each.mapInPandas(segment, "word string, ids array<int>")
+            local = {r["piece"]: (r["id"], r["score"]) for rows in batch["edges"] for r in rows}
+            ids = [i for i, _ in local.values()]
+            scores = np.array([s for _, s in local.values()])
+            split = segment(
+                pa.array(batch["word"]), pa.array(local), scores, longest, lowest - UNKNOWN_PENALTY
+            )
+            coded = [[ids[p] if p >= 0 else UNK for p in pieces] for pieces in split]
+            yield pd.DataFrame({"word": batch["word"], "ids": coded})
+
+    return each.mapInPandas(ids_of, "word string, ids array<int>")

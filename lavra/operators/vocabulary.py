@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lavra import schemas
 from lavra.functions.markup import compose, compose_each
-from lavra.functions.text import fold_case, pre_tokens, straight_quotes
+from lavra.functions.text import open_piece, pre_tokens, raw_pre_tokens, straight_quotes
 from lavra.functions.tokens import SPECIAL_TOKENS, VOCABULARY_SIZE
 from lavra.operators.cuts import top_rows
 from lavra.session import fence, stage
@@ -31,7 +31,8 @@ def with_tokens(docs: DataFrame, *, text="text", out="tokens") -> DataFrame:
 
 def word_counts(docs: DataFrame, *, text="text") -> DataFrame:
     """Occurrences of each pre-token. Counted map-side, so frequent words cost one row per task."""
-    words = docs.select(F.explode(pre_tokens(normalize(text))).alias("word"))
+    raw = docs.select(F.explode(raw_pre_tokens(normalize(text))).alias("raw"))
+    words = raw.select(open_piece("raw").alias("word"))
     return words.groupBy("word").agg(F.count("*").alias("count"))
 
 
