@@ -23,11 +23,25 @@ def by_length(sizes: np.ndarray):
             yield int(n), np.flatnonzero(sizes == n)
 
 
-def edge_pieces(words: pa.Array, n: int, longest: int, known: pa.Array) -> np.ndarray:
-    """Piece number of each edge of each word, -1 where the substring is no piece."""
-    slices = [pc.utf8_slice_codeunits(words, s, e) for s, e in edges_of(n, longest)]
-    found = pc.fill_null(pc.index_in(pa.concat_arrays(slices), value_set=known), -1)
-    return found.to_numpy().reshape(len(slices), len(words))
+def edge_pieces(words: pa.Array, longest: int, known: pa.Array):
+    """For each word length: its rows, and the piece number of each edge (edges x words), -1 for none.
+
+    All substrings of the batch are looked up together, so the table of pieces is hashed once.
+    """
+    groups, slices = [], []
+    for n, rows in by_length(pc.utf8_length(words).to_numpy()):
+        same = words.take(pa.array(rows))
+        edges = edges_of(n, longest)
+        groups.append((n, rows, len(edges)))
+        slices.extend(pc.utf8_slice_codeunits(same, s, e) for s, e in edges)
+    if not slices:
+        return
+    found = pc.fill_null(pc.index_in(pa.chunked_array(slices), value_set=known), -1).to_numpy()
+    at = 0
+    for n, rows, edges in groups:
+        size = edges * len(rows)
+        yield n, rows, found[at : at + size].reshape(edges, len(rows))
+        at += size
 
 
 def edge_scores(pieces: np.ndarray, n: int, longest: int, scores: np.ndarray, unknown: float):
@@ -79,8 +93,7 @@ def best_path(edge: np.ndarray, n: int, longest: int):
 def segment(words: pa.Array, known: pa.Array, scores: np.ndarray, longest: int, unknown: float):
     """Piece numbers of each word's best segmentation; a run of unknown characters is one -1."""
     out: list[list[int]] = [[] for _ in range(len(words))]
-    for n, rows in by_length(pc.utf8_length(words).to_numpy()):
-        pieces = edge_pieces(words.take(pa.array(rows)), n, longest, known)
+    for n, rows, pieces in edge_pieces(words, longest, known):
         _, path = best_path(edge_scores(pieces, n, longest, scores, unknown), n, longest)
         for column, row in enumerate(rows.tolist()):
             taken = path[:, column]

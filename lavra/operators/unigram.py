@@ -12,7 +12,6 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lavra.functions.lattice import (
@@ -88,15 +87,12 @@ def lattice(counts: DataFrame, pieces: list[str], *, longest: int = LONGEST_PIEC
     def number(batches):
         known = pa.array(shared.value)
         for batch in batches:
-            words = batch.column("word")
-            sizes = pc.utf8_length(words).to_numpy()
-            for n, rows in by_length(sizes):
-                at = pa.array(rows)
-                edges = edge_pieces(words.take(at), n, longest, known).T.astype(np.int32)
+            for n, rows, pieces in edge_pieces(batch.column("word"), longest, known):
+                edges = pieces.T.astype(np.int32)
                 width = edges.shape[1]
                 starts = pa.array(np.arange(0, (len(rows) + 1) * width, width, dtype=np.int32))
                 lists = pa.ListArray.from_arrays(starts, pa.array(edges.ravel()))
-                counts_ = batch.column("count").take(at)
+                counts_ = batch.column("count").take(pa.array(rows))
                 lengths = pa.array(np.full(len(rows), n, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays([lengths, counts_, lists], ["n", "count", "edges"])
 
@@ -201,7 +197,9 @@ def prune(
     """Keep the pieces whose removal would cost the most likelihood over the best segmentations."""
     used = _summed(words, scores, _best_uses, longest)
     open_ = ~np.isneginf(scores) & ~required & (used > 0)
-    loss = np.where(open_, used * removal_cost(pieces, scores, longest), -np.inf)
+    drop = removal_cost(pieces, scores, longest)
+    loss = np.full(len(scores), -np.inf)
+    loss[open_] = used[open_] * drop[open_]
     fixed = ~np.isneginf(scores) & required
     room = max(keep - int(fixed.sum()), 0)
     ranked = np.argsort(-loss, kind="stable")[: min(room, int(open_.sum()))]
