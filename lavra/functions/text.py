@@ -50,14 +50,10 @@ def fold_case(column) -> Column:
     )
 
 
-def _fold(word: str) -> str:
-    return word.casefold()
-
-
-def count_stopwords(
+def stopword_hits(
     folded_words, stopwords: Mapping[str, Sequence[str]] | Sequence[str], lang=None
 ) -> Column:
-    """How many of the (already case-folded) words are stop words, repeats included.
+    """Those of the (already case-folded) words that are stop words, repeats included.
 
     ``stopwords`` is one list, or a list per language with ``lang`` naming the row's language.
     Membership is a constant hash set inside the lambda, so no join is needed.
@@ -65,16 +61,21 @@ def count_stopwords(
     words = _col(folded_words)
 
     def hits(values: Sequence[str]) -> Column:
-        listed = sorted({_fold(v) for v in values})
-        return F.size(F.filter(words, lambda w: w.isin(listed))).cast("long")
+        listed = sorted({v.casefold() for v in values})
+        return F.filter(words, lambda w: w.isin(listed))
 
     if not isinstance(stopwords, Mapping):
         return hits(stopwords)
-    branches = None
+    none = F.array().cast("array<string>")
+    branches = F.when(F.lit(False), none)
     for code, values in stopwords.items():
-        test = _col(lang) == code
-        branches = F.when(test, hits(values)) if branches is None else branches.when(test, hits(values))
-    return F.lit(0).cast("long") if branches is None else branches.otherwise(F.lit(0).cast("long"))
+        branches = branches.when(_col(lang) == code, hits(values))
+    return branches.otherwise(none)
+
+
+def count_stopwords(folded_words, stopwords, lang=None) -> Column:
+    """How many of the words are stop words, repeats included."""
+    return F.size(stopword_hits(folded_words, stopwords, lang)).cast("long")
 
 
 def straight_quotes(column) -> Column:

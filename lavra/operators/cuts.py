@@ -14,6 +14,7 @@ from lavra.session import stage
 
 _BUCKETS = 4096
 _SMALL = 50_000
+BROADCAST_KEYS = 2_000_000
 
 
 def shuffle_key(key, seed: int) -> Column:
@@ -53,10 +54,14 @@ def shuffled_cutoff(df: DataFrame, key: str, seed: int, share) -> str | None:
 
 
 def train_test_split(
-    df: DataFrame, *, key: str = "doc_id", test_size: float = 0.1, seed: int = 42
+    df: DataFrame, *, key: str = "doc_id", test_size: float = 0.1, seed: int = 42, keys: DataFrame | None = None
 ) -> DataFrame:
-    """Add ``split``: exactly ceil(test_size * n) rows are test, the rest train. Keys must be unique."""
-    cut = shuffled_cutoff(df, key, seed, lambda n: math.ceil(test_size * n))
+    """Add ``split``: exactly ceil(test_size * n) rows are test, the rest train. Keys must be unique.
+
+    The cut is found in a few passes over the keys; where computing ``df`` is dear, pass its keys as a
+    stored table. The rows themselves are read once and never move.
+    """
+    cut = shuffled_cutoff(df if keys is None else keys, key, seed, lambda n: math.ceil(test_size * n))
     if cut is None:
         return df.withColumn("split", F.lit("train"))
     is_test = shuffle_key(key, seed) <= cut
@@ -64,10 +69,10 @@ def train_test_split(
 
 
 def shuffled_fraction(
-    df: DataFrame, *, key: str = "doc_id", fraction: float, seed: int = 42
+    df: DataFrame, *, key: str = "doc_id", fraction: float, seed: int = 42, keys: DataFrame | None = None
 ) -> DataFrame:
     """Exactly floor(fraction * n) rows in seeded random choice."""
-    cut = shuffled_cutoff(df, key, seed, lambda n: math.floor(fraction * n))
+    cut = shuffled_cutoff(df if keys is None else keys, key, seed, lambda n: math.floor(fraction * n))
     return df.where(F.lit(False)) if cut is None else df.where(shuffle_key(key, seed) <= cut)
 
 
@@ -135,13 +140,7 @@ def top_rows(df: DataFrame, *, by: str, then: str, n: int) -> DataFrame:
     return above.unionByName(ties.orderBy(then).limit(wanted - before))
 
 
-def number_rows(df: DataFrame, *, key: str, out: str = "row_no") -> DataFrame:
-    """0-based row number in key order, as a table of (key, number).
-
-    A range sort gives each task one stretch of keys. Each row keeps its task and its place there in a
-    stored table, so that a lost executor cannot change the stretches, and each stretch gets the count
-    of rows before it. Only one count per task is gathered.
-    """
+def _numbered(df: DataFrame, key: str, out: str) -> tuple[DataFrame, int]:
     place = F.monotonically_increasing_id()
     ordered = stage(df.select(key).orderBy(key).select(key, place.alias("_at")), "row-places")
     part = F.shiftright("_at", 33)
@@ -150,23 +149,38 @@ def number_rows(df: DataFrame, *, key: str, out: str = "row_no") -> DataFrame:
     for number, size in sizes:
         starts.append((number, seen))
         seen += size
-    spark = df.sparkSession
-    table = spark.createDataFrame(starts, "_part long, _start long")
+    table = df.sparkSession.createDataFrame(starts, "_part long, _start long")
     inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return (
+    rows = (
         ordered.withColumn("_part", part)
         .join(F.broadcast(table), "_part")
         .select(key, (F.col("_start") + inside).alias(out))
     )
+    return rows, seen
+
+
+def number_rows(df: DataFrame, *, key: str, out: str = "row_no") -> DataFrame:
+    """0-based row number in key order, as a table of (key, number).
+
+    A range sort gives each task one stretch of keys. Each row keeps its task and its place there in a
+    stored table, so that a lost executor cannot change the stretches, and each stretch gets the count
+    of rows before it. Only one count per task is gathered.
+    """
+    return _numbered(df, key, out)[0]
 
 
 def every_kth(df: DataFrame, *, key: str = "doc_id", ratio: float) -> DataFrame:
     """Every int(1/ratio)-th row in key order, from the first; all rows unless 0 < ratio < 1.
 
-    Only keys are sorted and numbered; the rows come back through a semi-join on the chosen keys.
+    Only keys are sorted and numbered; the rows come back through a semi-join on the chosen keys. Their
+    number is known beforehand: few are sent to every task, so the rows stay where they are; many meet
+    the rows in a shuffle.
     """
     if not 0 < ratio < 1:
         return df
     step = int(1 / ratio)
-    chosen = number_rows(df, key=key).where(F.col("row_no") % step == 0).select(key)
+    numbered, total = _numbered(df, key, "row_no")
+    chosen = numbered.where(F.col("row_no") % step == 0).select(key)
+    if total // step <= BROADCAST_KEYS:
+        chosen = F.broadcast(chosen)
     return df.join(chosen, key, "left_semi")

@@ -121,22 +121,29 @@ def piece_lookup(vocab: DataFrame):
     return look_up
 
 
+def salted_join(many: DataFrame, table: DataFrame, on: str, spread_by: Column, how: str) -> DataFrame:
+    """Join on a key that a large part of ``many`` may share, such as the commonest word.
+
+    Each row draws a salt from its own identity and the table is repeated once per salt, so the rows of
+    one key spread over as many tasks.
+    """
+    salt = F.pmod(spread_by, F.lit(_SALTS)).cast("int")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
+    salted = table.select("*", copies.alias("_salt"))
+    return many.withColumn("_salt", salt).join(salted, [on, "_salt"], how).drop("_salt")
+
+
 def encode_by_join(
     tokenized: DataFrame, word_ids: DataFrame, *, key="doc_id", tokens="tokens", out="ids"
 ) -> DataFrame:
     """Encode through a join, for vocabularies too large to send to every executor.
 
-    ``word_ids`` maps a word to its array of ids. Very frequent words are spread over salts and the
-    word table is repeated once per salt; ids come back in order per document.
+    ``word_ids`` maps a word to its array of ids; ids come back in order per document.
     """
     others = [c for c in tokenized.columns if c != tokens]
     exploded = tokenized.select(key, F.posexplode(tokens).alias("_pos", "word"))
-    exploded = exploded.withColumn(
-        "_salt", F.pmod(F.xxhash64(key, "_pos"), F.lit(_SALTS)).cast("int")
-    )
-    salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
-    replicated = word_ids.select("word", F.col("ids").alias("_ids"), salts.alias("_salt"))
-    found = exploded.join(replicated, ["word", "_salt"], "left")
+    table = word_ids.select("word", F.col("ids").alias("_ids"))
+    found = salted_join(exploded, table, "word", F.xxhash64(key, "_pos"), "left")
     pieces = F.struct("_pos", F.coalesce("_ids", F.array(F.lit(UNK))).alias("_ids"))
     lists = found.groupBy(key).agg(F.sort_array(F.collect_list(pieces)).alias("_all"))
     lists = lists.select(key, F.flatten(F.transform("_all", lambda x: x["_ids"])).alias(out))

@@ -6,7 +6,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from lavra.functions.markup import clean_each
 from lavra.functions.stopwords import STOPWORDS
-from lavra.functions.text import count_stopwords, fold_case, split_words, trim_space
+from lavra.functions.text import (
+    count_stopwords,
+    fold_case,
+    split_words,
+    stopword_hits,
+    trim_space,
+)
 from lavra.session import fence
 
 
@@ -56,13 +62,14 @@ def measure_paragraphs(
 def stopword_usage(docs: DataFrame, *, text="text", lang="lang", stopwords=STOPWORDS) -> DataFrame:
     """The stop-word table (distinct words per language) and how often each occurs in the texts.
 
-    Occurrences are filtered against constant hash sets and summed map-side before the one shuffle.
+    Only stop words leave a text, and they are summed map-side, so the one shuffle carries a list's worth
+    of rows per task.
     """
     pairs = [(code, w.casefold()) for code, ws in stopwords.items() for w in ws]
     table = docs.sparkSession.createDataFrame(pairs, "lang string, word string").distinct()
-    words = docs.select(
-        F.col(lang).alias("lang"), F.explode(split_words(fold_case(text))).alias("word")
-    )
+    words = fence(docs, split_words(fold_case(text)).alias("_words"), keep=[lang])
+    hits = stopword_hits("_words", stopwords, lang)
+    words = words.select(F.col(lang).alias("lang"), F.explode(hits).alias("word"))
     counted = words.groupBy("lang", "word").agg(F.count("*").alias("uses"))
     joined = table.join(counted, ["lang", "word"], "left")
     return joined.select("lang", "word", F.coalesce("uses", F.lit(0)).cast("long").alias("uses"))

@@ -27,7 +27,7 @@ def smooth(
     if not 0 < smoothing < 1:
         raise ValueError("smoothing must lie between 0 and 1")
     reach = math.ceil(math.log(1e-16) / math.log(smoothing))
-    cut = log.withColumn("_chunk", F.floor(F.col(step) / chunk))
+    cut = log.withColumn("_chunk", F.coalesce(F.floor(F.col(step) / chunk), F.lit(0)))
     inside = Window.partitionBy(*by, "_chunk").orderBy(step)
     near = F.collect_list(F.col(value).cast("double")).over(inside.rowsBetween(-reach, 0))
     local = cut.withColumn("_near", near).withColumn("_rn", F.row_number().over(inside))

@@ -25,7 +25,7 @@ from lavra.functions.lattice import (
 )
 from lavra.functions.tokens import SPECIAL_TOKENS, UNK, VOCABULARY_SIZE
 from lavra.operators.cuts import top_rows
-from lavra.operators.encoding import UNKNOWN_PENALTY
+from lavra.operators.encoding import UNKNOWN_PENALTY, salted_join
 from lavra.operators.vocabulary import numbered, word_counts
 from lavra.session import spread, stage
 
@@ -269,7 +269,8 @@ def segment_words_by_join(words: DataFrame, vocab: DataFrame) -> DataFrame:
     plain = vocab.where(~F.col("is_special"))
     longest, lowest = plain.agg(F.max(F.length("piece")), F.min("score")).first()
     edges = words.select("word", F.explode(F.array_distinct(substrings("word", 1, longest))).alias("piece"))
-    found = edges.join(plain.select("piece", "id", "score"), "piece")
+    table = plain.select("piece", "id", "score")
+    found = salted_join(edges, table, "piece", F.xxhash64("word"), "inner")
     each = found.groupBy("word").agg(F.collect_list(F.struct("piece", "id", "score")).alias("edges"))
 
     def ids_of(batches):

@@ -13,14 +13,19 @@ from lavra.operators.filters import apply_rule
 from lavra.operators.measures import measure_documents
 from lavra.operators.unigram import train_unigram
 from lavra.operators.vocabulary import load_vocabulary, save_vocabulary, word_vocabulary
+from lavra.session import stage
 from lavra.sources.corpora import union_sources
 from lavra.sources.storage import is_complete, materialize
 
 
 def curated_split(docs: DataFrame, *, rule="phase2", test_size=0.1, seed=42, min_words=100) -> DataFrame:
-    """Measure, filter, drop the measures, split."""
+    """Measure, filter, drop the measures, split.
+
+    The keys of the kept documents are stored first, so that finding the cut reads no text again.
+    """
     good = apply_rule(measure_documents(docs, min_words=min_words), rule)
-    return train_test_split(good.select("doc_id", "text"), test_size=test_size, seed=seed)
+    keys = stage(good.select("doc_id"), "kept-keys")
+    return train_test_split(good.select("doc_id", "text"), test_size=test_size, seed=seed, keys=keys)
 
 
 def curate(

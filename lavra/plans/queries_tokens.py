@@ -384,4 +384,5 @@ def mlm_mask(spark, folder):
 )
 def batch_pad(spark, folder):
     rows = encoding.model_rows(_encoded(spark, folder)).select("doc_id", "input_ids")
-    return tasks.batch_pad(rows, batch_size=32).select("batch_id", "doc_id", as_text("input_ids").alias("input_ids"))
+    keys = _docs(spark, folder).select("doc_id")
+    return tasks.batch_pad(rows, batch_size=32, keys=keys).select("batch_id", "doc_id", as_text("input_ids").alias("input_ids"))

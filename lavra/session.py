@@ -23,9 +23,19 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+def _own_scratch(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/lavra/{spark.sparkContext.applicationId}"
+
+
 def new_scratch(spark: SparkSession, label: str) -> str:
-    """A path not used before, under the shared folder."""
-    return f"{scratch_root(spark)}/lavra/{label}-{uuid.uuid4().hex}"
+    """A path not used before, under this application's part of the shared folder."""
+    return f"{_own_scratch(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete this application's scratch tables. Results that still read them must be written first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_scratch(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -38,14 +48,21 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give each core work when the input has fewer splits than the cluster has cores.
+SPREAD_BYTES = 1 << 30
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Give each core work when a small input has fewer splits than the cluster has cores.
 
-    Inputs with many splits pass untouched, so large tables are never shuffled here.
+    For scans only: asking for the splits of a plan with shuffles would run them. Inputs over one
+    gigabyte, or with enough splits, pass untouched, so large tables are never shuffled here.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df if splits >= cores else df.repartition(cores)
+    run = scan._jdf.queryExecution()
+    size = int(run.optimizedPlan().stats().sizeInBytes())
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if size > SPREAD_BYTES or run.toRdd().getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores)
 
 
 def fence(df: DataFrame, *columns, keep=None) -> DataFrame:
