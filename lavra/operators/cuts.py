@@ -15,6 +15,7 @@ from lavra.session import stage
 _BUCKETS = 4096
 _SMALL = 50_000
 BROADCAST_KEYS = 2_000_000
+ONE_TASK_ROWS = 4_000_000
 
 
 def shuffle_key(key, seed: int) -> Column:
@@ -124,9 +125,14 @@ def head_percent(df: DataFrame, *, key: str = "doc_id", percent: float, rounding
 def top_rows(df: DataFrame, *, by: str, then: str, n: int) -> DataFrame:
     """The ``n`` rows with the largest integer ``by``, ties by ascending ``then``.
 
-    All rows above the cutoff are taken by filter; only ties on the cutoff itself are ordered.
-    ``df`` is read several times, so pass a stored table.
+    While the best rows of all tasks together fit one task, Spark's own top-k does it in one pass.
+    Beyond that ``df`` is stored, its cutoff found, and all rows above it are taken by filter; only ties
+    on the cutoff itself are ordered.
     """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if tasks * n <= ONE_TASK_ROWS:
+        return df.orderBy(F.desc(by), then).limit(n)
+    df = stage(df, "ranked")
     cut = ordered_cutoff(df, by, lambda _: n, descending=True)
     if cut is None:
         return df.where(F.lit(False))

@@ -38,8 +38,21 @@ UNKNOWN_PENALTY = 10.0
 _built: dict[int, object] = {}
 
 
-def fits_broadcast(vocab: DataFrame, limit: int = BROADCAST_PIECES) -> bool:
-    return vocab.count() <= limit
+def load_pieces(vocab: DataFrame, limit: int = BROADCAST_PIECES) -> list[tuple[str, float]] | None:
+    """Pieces and scores in id order, or None for a vocabulary of more than ``limit`` rows."""
+    rows = vocab.select("id", "piece", "score").limit(limit + 1).toArrow()
+    if rows.num_rows > limit:
+        return None
+    rows = rows.sort_by("id")
+    return list(zip(rows["piece"].to_pylist(), rows["score"].to_pylist()))
+
+
+def _send(vocab: DataFrame, pieces):
+    """A broadcast of the vocabulary; one that is too large is refused, not sent."""
+    pieces = load_pieces(vocab) if pieces is None else pieces
+    if pieces is None:
+        raise ValueError(f"vocabulary beyond {BROADCAST_PIECES} rows; encode_tokens joins it instead")
+    return vocab.sparkSession.sparkContext.broadcast(pieces)
 
 
 def _once_per_worker(shared, build):
@@ -51,36 +64,33 @@ def _once_per_worker(shared, build):
     return _built[id(shared)][1]
 
 
-def _pieces_in_id_order(vocab: DataFrame) -> list[tuple[str, float]]:
-    rows = vocab.select("id", "piece", "score").collect()
-    return [(r["piece"], r["score"]) for r in sorted(rows, key=lambda r: r["id"])]
+def _names(pieces) -> pa.Array:
+    return pa.array([p for p, _ in pieces])
 
 
-def word_encoder(vocab: DataFrame):
+def word_encoder(vocab: DataFrame, pieces=None):
     """Column function: array of words to array of ids, unknown words to ``[UNK]``."""
-    pieces = [p for p, _ in _pieces_in_id_order(vocab)]
-    shared = vocab.sparkSession.sparkContext.broadcast(pieces)
+    shared = _send(vocab, pieces)
 
     @F.arrow_udf("array<int>")
     def encode(tokens: pa.Array) -> pa.Array:
-        known = _once_per_worker(shared, pa.array)
+        known = _once_per_worker(shared, _names)
         ids = pc.fill_null(pc.index_in(tokens.flatten(), value_set=known), UNK)
         return relist(tokens, ids)
 
     return encode
 
 
-def unigram_encoder(vocab: DataFrame, *, per_token: bool = False):
+def unigram_encoder(vocab: DataFrame, pieces=None, *, per_token: bool = False):
     """Column function: array of words to array of ids by best segmentation.
 
     With ``per_token`` the ids of each word stay together in an inner array. A run of characters
     without a piece becomes one ``[UNK]``.
     """
-    pieces = _pieces_in_id_order(vocab)
-    shared = vocab.sparkSession.sparkContext.broadcast(pieces)
+    shared = _send(vocab, pieces)
 
     def build(rows):
-        known = pa.array([p for p, _ in rows])
+        known = _names(rows)
         scores = np.array([s for _, s in rows], dtype=float)
         scores[: len(SPECIAL_TOKENS)] = -np.inf
         plain = scores[len(SPECIAL_TOKENS) :]
@@ -110,12 +120,11 @@ def unigram_encoder(vocab: DataFrame, *, per_token: bool = False):
 
 def piece_lookup(vocab: DataFrame):
     """Column function: array of ids to array of pieces."""
-    pieces = [p for p, _ in _pieces_in_id_order(vocab)]
-    shared = vocab.sparkSession.sparkContext.broadcast(pieces)
+    shared = _send(vocab, None)
 
     @F.arrow_udf("array<string>")
     def look_up(ids: pa.Array) -> pa.Array:
-        known = _once_per_worker(shared, pa.array)
+        known = _once_per_worker(shared, _names)
         return relist(ids, known.take(ids.flatten()))
 
     return look_up
@@ -163,8 +172,9 @@ def encode_tokens(
     limit: int = BROADCAST_PIECES,
 ) -> DataFrame:
     """Replace pre-tokens by ids without special tokens. ``model`` is ``word`` or ``unigram``."""
-    if fits_broadcast(vocab, limit):
-        encoder = word_encoder(vocab) if model == "word" else unigram_encoder(vocab)
+    pieces = load_pieces(vocab, limit)
+    if pieces is not None:
+        encoder = (word_encoder if model == "word" else unigram_encoder)(vocab, pieces)
         others = [c for c in tokenized.columns if c != tokens]
         return fence(tokenized, encoder(F.col(tokens)).alias(out), keep=others)
     if model == "word":

@@ -71,7 +71,7 @@ def seed_pieces(
     counts: DataFrame, *, size: int = SEED_SIZE, longest: int = LONGEST_PIECE
 ) -> DataFrame:
     """The ``size`` candidates with the largest weight, ties in piece order."""
-    candidates = stage(candidate_pieces(counts, longest=longest), "pieces")
+    candidates = candidate_pieces(counts, longest=longest)
     return top_rows(candidates, by="weight", then="piece", n=size)
 
 
@@ -131,10 +131,15 @@ def _summed(words: DataFrame, scores: np.ndarray, uses: Callable, longest: int)
         yield pa.RecordBatch.from_pydict({"piece": used.astype(np.int32), "used": totals[used]})
 
     parts = words.mapInArrow(partial, "piece int, used double")
-    rows = parts.groupBy("piece").agg(F.sum("used").alias("used")).toPandas()
+    return _by_piece(parts.groupBy("piece").agg(F.sum("used").alias("used")), shared, len(scores))
+
+
+def _by_piece(sums: DataFrame, shared, size: int) -> np.ndarray:
+    """One number per piece, gathered as an array; pieces not named get 0."""
+    rows = sums.toArrow()
     shared.unpersist()
-    out = np.zeros(len(scores))
-    out[rows["piece"].to_numpy()] = rows["used"].to_numpy()
+    out = np.zeros(size)
+    out[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
     return out
 
 
@@ -184,11 +189,8 @@ def removal_cost(pieces: DataFrame, scores: np.ndarray, longest: int) -> np.ndar
                 drop = table[numbers] - best_path(edge, n, longest)[0]
                 yield pa.RecordBatch.from_pydict({"piece": numbers.astype(np.int32), "drop": drop})
 
-    rows = pieces.where("n > 1").mapInArrow(cost, "piece int, drop double").toPandas()
-    shared.unpersist()
-    out = np.zeros(len(scores))
-    out[rows["piece"].to_numpy()] = rows["drop"].to_numpy()
-    return out
+    drops = pieces.where("n > 1").mapInArrow(cost, "piece int, drop double")
+    return _by_piece(drops, shared, len(scores))
 
 
 def prune(
@@ -222,8 +224,8 @@ def train_unigram(
     counts = spread(stage(word_counts(docs, text=text), "word-counts"))
     chars = {r["piece"]: r["uses"] for r in character_counts(counts).collect()}
     needed = set(chars) | (byte_alphabet() if alphabet is None else alphabet)
-    seeds = seed_pieces(counts, size=seed_size, longest=longest)
-    weights = {r["piece"]: r["weight"] for r in seeds.collect()} | chars
+    seeds = seed_pieces(counts, size=seed_size, longest=longest).select("piece", "weight").toArrow()
+    weights = dict(zip(seeds["piece"].to_pylist(), seeds["weight"].to_pylist())) | chars
     names = sorted(weights)
     required = np.array([p in needed for p in names])
     scores = np.log(np.array([weights[p] for p in names], dtype=float))
@@ -231,7 +233,7 @@ def train_unigram(
 
     words = lattice(counts, names, longest=longest)
     table = counts.sparkSession.createDataFrame(
-        pd.DataFrame({"word": names, "count": range(len(names))}), "word string, count long"
+        pa.table({"word": names, "count": range(len(names))}), "word string, count long"
     )
     pieces = lattice(spread(table), names, longest=longest)
     room = size - len(SPECIAL_TOKENS)

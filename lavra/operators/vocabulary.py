@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lavra import schemas
@@ -9,7 +10,7 @@ from lavra.functions.markup import compose, compose_each
 from lavra.functions.text import open_piece, pre_tokens, raw_pre_tokens, straight_quotes
 from lavra.functions.tokens import SPECIAL_TOKENS, VOCABULARY_SIZE
 from lavra.operators.cuts import top_rows
-from lavra.session import fence, stage
+from lavra.session import fence
 
 
 def normalize(column) -> Column:
@@ -36,24 +37,24 @@ def word_counts(docs: DataFrame, *, text="text") -> DataFrame:
     return words.groupBy("word").agg(F.count("*").alias("count"))
 
 
-def special_rows(spark: SparkSession) -> DataFrame:
-    rows = [(i, token, 0.0, True) for i, token in enumerate(SPECIAL_TOKENS)]
-    return spark.createDataFrame(rows, schemas.VOCAB)
-
-
 def numbered(pieces: list[tuple[str, float]], spark: SparkSession) -> DataFrame:
     """A vocabulary table from pieces in id order: special tokens first."""
     first = len(SPECIAL_TOKENS)
-    rows = [(first + i, piece, float(score), False) for i, (piece, score) in enumerate(pieces)]
-    return special_rows(spark).unionByName(spark.createDataFrame(rows, schemas.VOCAB))
+    columns = {
+        "id": pa.array(range(first + len(pieces)), pa.int32()),
+        "piece": [*SPECIAL_TOKENS, *(piece for piece, _ in pieces)],
+        "score": [0.0] * first + [float(score) for _, score in pieces],
+        "is_special": [True] * first + [False] * len(pieces),
+    }
+    return spark.createDataFrame(pa.table(columns), schemas.VOCAB)
 
 
 def word_vocabulary(docs: DataFrame, *, size: int = VOCABULARY_SIZE, text="text") -> DataFrame:
     """The ``size`` most frequent words, special tokens included; ties in word order.
 
-    The choice is made on a stored count table; the vocabulary itself has at most ``size`` rows.
+    The vocabulary has at most ``size`` rows; the counts stay on the executors.
     """
-    counts = stage(word_counts(docs, text=text), "word-counts")
+    counts = word_counts(docs, text=text)
     top = top_rows(counts, by="count", then="word", n=size - len(SPECIAL_TOKENS)).collect()
     ranked = sorted(((r["word"], r["count"]) for r in top), key=lambda wc: (-wc[1], wc[0].encode()))
     return numbered(ranked, docs.sparkSession)

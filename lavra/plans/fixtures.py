@@ -22,7 +22,7 @@ def _hash(*columns):
 
 def _digit(hashed, at: int):
     """One hexadecimal digit of a hash as a number."""
-    return F.conv(F.substring(hashed, at, 1), 16, 10).cast("int")
+    return F.instr(F.lit("0123456789abcdef"), F.substring(hashed, at, 1)) - 1
 
 
 def _sql_digit(hashed: str, at: int) -> str:
@@ -162,13 +162,18 @@ def tag_predictions(spark: SparkSession, folder: str) -> DataFrame:
 
     drawn = fence(rows, F.transform("ner_tags", draw).alias("_h"), keep=["id", "ner_tags"])
 
-    def scores(tag, h):
-        guess = F.when(_digit(h, 1) < 2, (tag + 1) % 5).otherwise(tag)
-        return F.array(*[F.when(guess == k, 1 + _digit(h, 2) / F.lit(16.0)).otherwise(0.0) for k in range(5)])
+    def guess(tag, h):
+        wrong = F.when(_digit(h, 1) < 2, (tag + 1) % 5).otherwise(tag)
+        return F.struct(wrong.alias("k"), (1 + _digit(h, 2) / F.lit(16.0)).alias("top"))
+
+    drawn = fence(drawn, F.zip_with("ner_tags", "_h", guess).alias("_guess"))
+
+    def scores(g):
+        return F.array(*[F.when(g["k"] == k, g["top"]).otherwise(0.0) for k in range(5)])
 
     return drawn.select(
         F.col("id").alias("sent_id"),
-        F.zip_with("ner_tags", "_h", scores).alias("logits"),
+        F.transform("_guess", scores).alias("logits"),
         F.zip_with("ner_tags", "_h", lambda t, h: F.when(_digit(h, 3) == 0, F.lit(-100)).otherwise(t)).alias(
             "labels"
         ),

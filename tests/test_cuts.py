@@ -56,8 +56,10 @@ def test_ordered_cutoff_on_clustered_keys(spark, descending):
         assert (cutoff, before, wanted) == (ranked[n - 1], ranked.index(ranked[n - 1]), n)
 
 
+@pytest.mark.parametrize("one_task_rows", [cuts.ONE_TASK_ROWS, 0])
 @pytest.mark.parametrize("n", [0, 1, 5, 20, 200, 999])
-def test_top_rows_cuts_ties_in_order(spark, n):
+def test_top_rows_cuts_ties_in_order(spark, monkeypatch, n, one_task_rows):
+    monkeypatch.setattr(cuts, "ONE_TASK_ROWS", one_task_rows - (n == 0))
     rng = random.Random(5)
     rows = [(f"w{i}", rng.choice([1, 1, 1, 2, 3, 500])) for i in range(200)]
     df = spark.createDataFrame(rows, "word string, count long")
