@@ -119,7 +119,7 @@ def compose(column) -> Column:
 def compose_each(column) -> Column:
     """NFC of every string in an array."""
     texts = _col(column)
-    needs = F.exists(texts, lambda t: t.rlike(r"[^\x00-\x{2ff}]"))
+    needs = F.array_join(texts, "").rlike(r"[^\x00-\x{2ff}]")
     return _only_where(needs, texts, _compose_each)
 
 

@@ -41,40 +41,32 @@ def tags_from_logits(rows: DataFrame, names: list[str], *, logits="logits") -> D
     )
 
 
-def _spans(df: DataFrame, tags: str, out: str, kinds: Column, types: Column) -> DataFrame:
-    """Entity spans of a BIO tag array, each packed into one long as (type, first, last).
+def _spans(df: DataFrame, codes: str, out: str) -> DataFrame:
+    """Entity spans of a tag array, each packed into one long as (type, first, last).
 
-    A span opens at ``B``, or at ``I`` after ``O`` or after another type, and runs to the next opening
-    or ``O``. All inside the row: the tags of one sentence never leave it.
+    A code is twice the type for ``B``, one more for ``I``, negative for ``O``. A span opens at ``B``, or at
+    ``I`` after ``O`` or after another type, and runs to the next opening or ``O``. All inside the row: the
+    tags of one sentence never leave it.
     """
     kept = df.columns
-    step = fence(
-        df,
-        F.transform(tags, lambda t: F.get(kinds, t)).alias("_kind"),
-        F.transform(tags, lambda t: F.get(types, t)).alias("_type"),
-    )
 
-    def role(kind, at):
-        changed = (at == 0) | (F.get("_kind", at - 1) == 0) | (
-            F.get("_type", at - 1) != F.get("_type", at)
-        )
-        opens = (kind == 1) | ((kind == 2) & changed)
-        code = F.when(kind == 0, F.lit(-1).cast("long")).when(
-            opens, F.get("_type", at).cast("long")
-        )
-        return F.struct(at.alias("at"), code.alias("type"))
+    def edge(code, at):
+        earlier = F.coalesce(F.get(codes, at - 1), F.lit(-1))
+        opens = (code % 2 == 0) | (earlier < 0) | (F.shiftright(earlier, 1) != F.shiftright(code, 1))
+        place = at.cast("long")
+        return F.when(code < 0, place).when(opens, (F.shiftright(code, 1) + 1) * F.lit(_AT) + place)
 
-    edges = F.filter(F.transform("_kind", role), lambda e: e["type"].isNotNull())
-    step = fence(step, edges.alias("_edges"), F.size("_kind").alias("_n"), keep=kept)
+    edges = F.filter(F.transform(codes, edge), lambda e: e.isNotNull())
+    step = fence(df, edges.alias("_edges"), F.size(codes).alias("_n"))
 
-    def pack(edge, at):
-        last = F.coalesce(F.get("_edges", at + 1)["at"], F.col("_n")) - 1
-        return F.when(
-            edge["type"] >= 0, (edge["type"] * _AT + edge["at"]) * _AT + last
-        )
+    def pack(opening, at):
+        place = opening.bitwiseAND(F.lit(_AT - 1))
+        after = F.get("_edges", at + 1).bitwiseAND(F.lit(_AT - 1))
+        last = F.coalesce(after, F.col("_n").cast("long")) - 1
+        return F.when(opening >= _AT, (opening - _AT) * F.lit(_AT) + last)
 
     spans = F.filter(F.transform("_edges", pack), lambda s: s.isNotNull())
-    return fence(step, spans.alias(out), keep=kept)
+    return fence(step, spans.alias(out), keep=[c for c in kept if c != codes])
 
 
 def entity_scores(rows: DataFrame, names: list[str], *, logits="logits", labels="labels") -> DataFrame:
@@ -86,8 +78,12 @@ def entity_scores(rows: DataFrame, names: list[str], *, logits="logits", labels=
     if len(names) > 1024:
         raise ValueError("more than 1024 tag names")
     entity_types = sorted({n.split("-", 1)[1] for n in names if "-" in n})
-    kinds = F.array(*[F.lit({"B": 1, "I": 2}.get(n.split("-", 1)[0] if "-" in n else "O", 0)) for n in names])
-    types = F.array(*[F.lit(entity_types.index(n.split("-", 1)[1]) if "-" in n else -1) for n in names])
+    codes = F.array(
+        *[
+            F.lit(2 * entity_types.index(n.split("-", 1)[1]) + (n[0] == "I") if n[:2] in ("B-", "I-") else -1)
+            for n in names
+        ]
+    )
     both = F.zip_with(
         labels, logits, lambda label, scores: F.struct(label.alias("t"), argmax(scores).alias("p"))
     )
@@ -96,13 +92,13 @@ def entity_scores(rows: DataFrame, names: list[str], *, logits="logits", labels=
     )
     tags = fence(
         counted,
-        F.transform("_both", lambda x: x["t"]).alias("_true"),
-        F.transform("_both", lambda x: x["p"]).alias("_pred"),
+        F.transform("_both", lambda x: F.get(codes, x["t"])).alias("_true"),
+        F.transform("_both", lambda x: F.get(codes, x["p"])).alias("_pred"),
         F.size(F.filter("_both", lambda x: x["t"] == x["p"])).alias("_right"),
         F.size("_both").alias("_tokens"),
         keep=[],
     )
-    spans = _spans(_spans(tags, "_true", "_ts", kinds, types), "_pred", "_ps", kinds, types)
+    spans = _spans(_spans(tags, "_true", "_ts"), "_pred", "_ps")
     spans = fence(spans, F.array_intersect("_ts", "_ps").alias("_hits"))
 
     def of_type(array: str, at: int) -> Column:

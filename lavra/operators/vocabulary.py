@@ -21,7 +21,9 @@ def normalize(column) -> Column:
 def normalize_each(column) -> Column:
     """The same for every string in an array."""
     column = F.col(column) if isinstance(column, str) else column
-    return F.transform(compose_each(F.transform(column, straight_quotes)), F.lower)
+    quoted = F.array_join(column, "").rlike("``|''")
+    straight = F.when(quoted, F.transform(column, straight_quotes)).otherwise(column)
+    return F.transform(compose_each(straight), F.lower)
 
 
 def with_tokens(docs: DataFrame, *, text="text", out="tokens") -> DataFrame:

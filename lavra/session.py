@@ -8,19 +8,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+_local_roots: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Folder every executor can reach: the one named by ``spark.checkpoint.dir``.
 
     Only a local session may go without the setting; it then gets a folder of its own.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="lavra-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    app = context.applicationId
+    if app not in _local_roots:
+        _local_roots[app] = tempfile.mkdtemp(prefix="lavra-")
+    return _local_roots[app]
 
 
 def _own_scratch(spark: SparkSession) -> str:
