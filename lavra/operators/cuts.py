@@ -146,9 +146,10 @@ def top_rows(df: DataFrame, *, by: str, then: str, n: int) -> DataFrame:
     return above.unionByName(ties.orderBy(then).limit(wanted - before))
 
 
-def _numbered(df: DataFrame, key: str, out: str) -> tuple[DataFrame, int]:
+def _numbered(df: DataFrame, columns: list[str], order: list, out: str) -> tuple[DataFrame, int]:
     place = F.monotonically_increasing_id()
-    ordered = stage(df.select(key).orderBy(key).select(key, place.alias("_at")), "row-places")
+    ordered = df.select(*columns).orderBy(*order).select(*columns, place.alias("_at"))
+    ordered = stage(ordered, "row-places")
     part = F.shiftright("_at", 33)
     sizes = sorted((r[0], r[1]) for r in ordered.groupBy(part).count().collect())
     starts, seen = [], 0
@@ -160,19 +161,19 @@ def _numbered(df: DataFrame, key: str, out: str) -> tuple[DataFrame, int]:
     rows = (
         ordered.withColumn("_part", part)
         .join(F.broadcast(table), "_part")
-        .select(key, (F.col("_start") + inside).alias(out))
+        .select(*columns, (F.col("_start") + inside).alias(out))
     )
     return rows, seen
 
 
-def number_rows(df: DataFrame, *, key: str, out: str = "row_no") -> DataFrame:
-    """0-based row number in key order, as a table of (key, number).
+def number_rows(df: DataFrame, *, key: str, order: list | None = None, carry=(), out="row_no") -> DataFrame:
+    """0-based row number in key order, or in a given total order, as a table of (key, carried, number).
 
     A range sort gives each task one stretch of keys. Each row keeps its task and its place there in a
     stored table, so that a lost executor cannot change the stretches, and each stretch gets the count
     of rows before it. Only one count per task is gathered.
     """
-    return _numbered(df, key, out)[0]
+    return _numbered(df, [key, *carry], order or [key], out)[0]
 
 
 def every_kth(df: DataFrame, *, key: str = "doc_id", ratio: float) -> DataFrame:
@@ -185,7 +186,7 @@ def every_kth(df: DataFrame, *, key: str = "doc_id", ratio: float) -> DataFrame:
     if not 0 < ratio < 1:
         return df
     step = int(1 / ratio)
-    numbered, total = _numbered(df, key, "row_no")
+    numbered, total = _numbered(df, [key], [key], "row_no")
     chosen = numbered.where(F.col("row_no") % step == 0).select(key)
     if total // step <= BROADCAST_KEYS:
         chosen = F.broadcast(chosen)

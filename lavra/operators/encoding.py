@@ -26,10 +26,9 @@ from lavra.functions.tokens import (
     template_single,
     truncate,
 )
-from lavra.operators.vocabulary import with_tokens
+from lavra.operators.vocabulary import BROADCAST_PIECES, with_tokens
 from lavra.session import fence
 
-BROADCAST_PIECES = 2_000_000
 _MEMO_WORDS = 500_000
 _SALTS = 32
 # Fixed value: how far an unknown character scores below the worst piece.

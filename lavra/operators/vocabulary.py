@@ -9,9 +9,12 @@ from lavra import schemas
 from lavra.functions.markup import compose, compose_each
 from lavra.functions.text import open_piece, pre_tokens, raw_pre_tokens, straight_quotes
 from lavra.functions.tokens import SPECIAL_TOKENS, VOCABULARY_SIZE
-from lavra.operators.cuts import top_rows
+from lavra.operators.cuts import number_rows, top_rows
 from lavra.session import fence
 
+# Vocabularies up to this many rows pass through the driver and are sent to the executors.
+BROADCAST_PIECES = 2_000_000
+
 
 def normalize(column) -> Column:
     """Straight quotes, NFC, lower case, in that order."""
@@ -54,17 +57,26 @@ def numbered(pieces: list[tuple[str, float]], spark: SparkSession) -> DataFrame:
 def word_vocabulary(docs: DataFrame, *, size: int = VOCABULARY_SIZE, text="text") -> DataFrame:
     """The ``size`` most frequent words, special tokens included; ties in word order.
 
-    The vocabulary has at most ``size`` rows; the counts stay on the executors.
+    A vocabulary small enough to be sent to the executors is numbered on the driver; a larger one stays
+    distributed.
     """
-    counts = word_counts(docs, text=text)
-    top = top_rows(counts, by="count", then="word", n=size - len(SPECIAL_TOKENS)).collect()
-    ranked = sorted(((r["word"], r["count"]) for r in top), key=lambda wc: (-wc[1], wc[0].encode()))
-    return numbered(ranked, docs.sparkSession)
+    first = len(SPECIAL_TOKENS)
+    top = top_rows(word_counts(docs, text=text), by="count", then="word", n=size - first)
+    if size <= BROADCAST_PIECES:
+        rows = [(r["word"], r["count"]) for r in top.collect()]
+        return numbered(sorted(rows, key=lambda wc: (-wc[1], wc[0].encode())), docs.sparkSession)
+    order = [F.desc("count"), F.col("word")]
+    rows = number_rows(top, key="word", order=order, carry=["count"], out="id")
+    plain = rows.select(
+        (F.col("id") + first).cast("int").alias("id"), F.col("word").alias("piece"),
+        F.col("count").cast("double").alias("score"), F.lit(False).alias("is_special"),
+    )
+    return numbered([], docs.sparkSession).unionByName(plain)
 
 
 def save_vocabulary(vocab: DataFrame, path: str) -> DataFrame:
-    """Store a vocabulary as one small file in id order."""
-    vocab.coalesce(1).sortWithinPartitions("id").write.mode("overwrite").parquet(path)
+    """Store a vocabulary in id order; a small one becomes one file."""
+    vocab.orderBy("id").write.mode("overwrite").parquet(path)
     return load_vocabulary(vocab.sparkSession, path)
 
 

@@ -191,7 +191,7 @@ def quality_phase2(spark, folder):
 
 @query(
     "min_words_drop",
-    f"WITH {q.LINES} SELECT 'document' AS level, doc_id, NULL::INT AS para_idx FROM documents "
+    f"WITH {q.LINES} SELECT 'document' AS level, doc_id, -1 AS para_idx FROM documents "
     f"WHERE len({q.words('text')}) >= 100 UNION ALL SELECT 'paragraph', doc_id, para_idx FROM lines "
     f"WHERE len({q.words('text')}) >= 2",
 )
@@ -199,7 +199,7 @@ def min_words_drop(spark, folder):
     docs = _docs(spark, folder)
     whole = measures.drop_short(docs, 100)
     lines = measures.drop_short(measures.split_paragraphs(docs), 2)
-    none = F.lit(None).cast("int").alias("para_idx")
+    none = F.lit(-1).alias("para_idx")
     return whole.select(F.lit("document").alias("level"), "doc_id", none).unionByName(
         lines.select(F.lit("paragraph").alias("level"), "doc_id", "para_idx")
     )

@@ -71,3 +71,12 @@ def test_batches_of_copies(spark):
     rows = spark.range(999).select(F.col("id").alias("doc_id"), F.array_repeat(F.lit(1), F.when(F.col("id") % 3 == 0, 9).otherwise(2)).alias("input_ids"))
     out = tasks.batch_pad(rows, batch_size=10)
     assert out.count() == 999 and out.select(F.size("input_ids")).distinct().count() == 1
+
+
+def test_large_vocabulary_is_numbered_on_the_executors(copies, monkeypatch):
+    texts = copies.select("doc_id", "text")
+    want = vocabulary.word_vocabulary(texts, size=9).collect()
+    monkeypatch.setattr(vocabulary, "BROADCAST_PIECES", 0)
+    monkeypatch.setattr(cuts, "ONE_TASK_ROWS", 0)
+    got = vocabulary.word_vocabulary(texts, size=9)
+    assert sorted(got.collect()) == sorted(want) and len(want) == 9
