@@ -45,9 +45,15 @@ def trim_space(column) -> Column:
 
 def fold_case(column) -> Column:
     """Lower case, plus the letters that case folding maps further than lower-casing does."""
-    return F.replace(
-        F.replace(F.lower(_col(column)), F.lit("ß"), F.lit("ss")), F.lit("ſ"), F.lit("s")
-    )
+    out = F.lower(_col(column))
+    for letter, folded in (("ß", "ss"), ("ſ", "s"), ("ς", "σ")):
+        out = F.replace(out, F.lit(letter), F.lit(folded))
+    return out
+
+
+def lower(column) -> Column:
+    """Lower case letter by letter: a final capital sigma gets no form of its own."""
+    return F.lower(F.replace(_col(column), F.lit("Σ"), F.lit("σ")))
 
 
 def stopword_hits(

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lavra import schemas
 from lavra.functions.markup import compose, compose_each
-from lavra.functions.text import open_piece, pre_tokens, raw_pre_tokens, straight_quotes
+from lavra.functions.text import lower, open_piece, pre_tokens, raw_pre_tokens, straight_quotes
 from lavra.functions.tokens import SPECIAL_TOKENS, VOCABULARY_SIZE
 from lavra.operators.cuts import number_rows, top_rows
 from lavra.session import fence
@@ -18,7 +18,7 @@ BROADCAST_PIECES = 2_000_000
 
 def normalize(column) -> Column:
     """Straight quotes, NFC, lower case, in that order."""
-    return F.lower(compose(straight_quotes(column)))
+    return lower(compose(straight_quotes(column)))
 
 
 def normalize_each(column) -> Column:
@@ -26,7 +26,7 @@ def normalize_each(column) -> Column:
     column = F.col(column) if isinstance(column, str) else column
     quoted = F.array_join(column, "").rlike("``|''")
     straight = F.when(quoted, F.transform(column, straight_quotes)).otherwise(column)
-    return F.transform(compose_each(straight), F.lower)
+    return F.transform(compose_each(straight), lower)
 
 
 def with_tokens(docs: DataFrame, *, text="text", out="tokens") -> DataFrame:

@@ -14,7 +14,7 @@ def words(text: str) -> str:
 
 
 def fold(text: str) -> str:
-    return f"replace(replace(lower({text}), 'ß', 'ss'), 'ſ', 's')"
+    return f"replace(replace(replace(lower({text}), 'ß', 'ss'), 'ſ', 's'), 'ς', 'σ')"
 
 
 def trim(text: str) -> str:

@@ -10,7 +10,7 @@ from lavra.operators.vocabulary import normalize, with_tokens
 
 ODD = [
     "", " ", "\n\n", "a\x1cb\x1fc\x85d\xa0e　f g​h", "É o\tÊ  ß ſo", "x1y22", "😀 emoji", " z ",
-    "  lead", "trail \r\n", "İstanbul", "one",
+    "  lead", "trail \r\n", "İstanbul", "one", "ΣΑΣ ςΣ the",
 ]
 
 
@@ -98,7 +98,7 @@ def test_paragraphs_flatten(spark):
 
 
 def test_measures_like_python(docs):
-    stop = ["the", "Of", "dass"]
+    stop = ["the", "Of", "dass", "σας"]
     texts = [*ODD, "THE of cat OF daß", "ß" * 3 + " the"]
     folded = {s.casefold() for s in stop}
     got = measures.measure_documents(docs(*texts), min_words=0, stopwords=stop).collect()
