@@ -6,14 +6,27 @@ share their edges, so each step runs over all of them at once.
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+_LONG_WORD = 256
+_BLOCK = 1 << 20
+
 
-def edges_of(n: int, longest: int) -> list[tuple[int, int]]:
+def edges_of(n: int, longest: int):
     """(start, end) of every edge of a word of ``n`` characters."""
-    return [(s, e) for s in range(n) for e in range(s + 1, min(n, s + longest) + 1)]
+    return ((s, e) for s in range(n) for e in range(s + 1, min(n, s + longest) + 1))
+
+
+def edge_ends(n: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """The starts and the ends of the edges, in the same order."""
+    widths = np.minimum(longest, n - np.arange(n))
+    starts = np.repeat(np.arange(n), widths)
+    firsts = np.repeat(np.cumsum(widths) - widths, widths)
+    return starts, starts + np.arange(len(starts)) - firsts + 1
 
 
 def by_length(sizes: np.ndarray):
@@ -23,65 +36,78 @@ def by_length(sizes: np.ndarray):
             yield int(n), np.flatnonzero(sizes == n)
 
 
+def _numbers(strings, known: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.index_in(strings, value_set=known), -1).to_numpy()
+
+
 def edge_pieces(words: pa.Array, longest: int, known: pa.Array):
     """For each word length: its rows, and the piece number of each edge (edges x words), -1 for none.
 
-    All substrings of the batch are looked up together, so the table of pieces is hashed once.
+    The substrings of the batch are looked up together, so the table of pieces is hashed once. Long words
+    are cut one by one instead, in blocks, since few share a length.
     """
-    groups, slices = [], []
+    groups, slices, long = [], [], []
     for n, rows in by_length(pc.utf8_length(words).to_numpy()):
         same = words.take(pa.array(rows))
-        edges = edges_of(n, longest)
-        groups.append((n, rows, len(edges)))
-        slices.extend(pc.utf8_slice_codeunits(same, s, e) for s, e in edges)
-    if not slices:
-        return
-    found = pc.fill_null(pc.index_in(pa.chunked_array(slices), value_set=known), -1).to_numpy()
-    at = 0
-    for n, rows, edges in groups:
-        size = edges * len(rows)
-        yield n, rows, found[at : at + size].reshape(edges, len(rows))
+        if n > _LONG_WORD:
+            long.append((n, rows, same.to_pylist()))
+            continue
+        at = len(slices)
+        slices.extend(pc.utf8_slice_codeunits(same, s, e) for s, e in edges_of(n, longest))
+        groups.append((n, rows, len(slices) - at))
+    if slices:
+        found, at = _numbers(pa.chunked_array(slices), known), 0
+        for n, rows, edges in groups:
+            size = edges * len(rows)
+            yield n, rows, found[at : at + size].reshape(edges, len(rows))
+            at += size
+    strings = (w[s:e] for n, _, same in long for w in same for s, e in edges_of(n, longest))
+    blocks = iter(lambda: list(islice(strings, _BLOCK)), [])
+    found = [_numbers(pa.array(block, pa.string()), known) for block in blocks]
+    found, at = np.concatenate(found) if found else None, 0
+    for n, rows, same in long:
+        size = len(edge_ends(n, longest)[0]) * len(rows)
+        yield n, rows, found[at : at + size].reshape(len(rows), -1).T
         at += size
 
 
 def edge_scores(pieces: np.ndarray, n: int, longest: int, scores: np.ndarray, unknown: float):
     """Score of each edge; a character that is no piece still passes, at ``unknown``."""
-    table = np.append(scores, -np.inf)
-    out = table[pieces]
-    for at, (s, e) in enumerate(edges_of(n, longest)):
-        if e == s + 1:
-            out[at][np.isneginf(out[at])] = unknown
+    out = np.append(scores, -np.inf)[pieces]
+    starts, ends = edge_ends(n, longest)
+    single = np.flatnonzero(ends - starts == 1)
+    out[single] = np.where(np.isneginf(out[single]), unknown, out[single])
     return out
 
 
 def expected_uses(edge: np.ndarray, n: int, longest: int) -> np.ndarray:
     """Expected use of each edge over all segmentations of its word (forward-backward)."""
-    edges = edges_of(n, longest)
     ahead = np.full((n + 1, edge.shape[1]), -np.inf)
     behind = ahead.copy()
     ahead[0] = behind[n] = 0.0
-    for at, (s, e) in enumerate(edges):
+    for at, (s, e) in enumerate(edges_of(n, longest)):
         ahead[e] = np.logaddexp(ahead[e], ahead[s] + edge[at])
-    for at in range(len(edges) - 1, -1, -1):
-        s, e = edges[at]
-        behind[s] = np.logaddexp(behind[s], behind[e] + edge[at])
-    starts, ends = np.array(edges).T
+    at = len(edge)
+    for s in range(n - 1, -1, -1):
+        for e in range(min(n, s + longest), s, -1):
+            at -= 1
+            behind[s] = np.logaddexp(behind[s], behind[e] + edge[at])
+    starts, ends = edge_ends(n, longest)
     return np.exp(ahead[starts] + edge + behind[ends] - ahead[n])
 
 
 def best_path(edge: np.ndarray, n: int, longest: int):
     """Score of each word's best segmentation, and its edges from the last to the first (-1 past it)."""
-    edges = edges_of(n, longest)
     words = edge.shape[1]
     best = np.full((n + 1, words), -np.inf)
     back = np.full((n + 1, words), -1)
     best[0] = 0.0
-    for at, (s, e) in enumerate(edges):
+    for at, (s, e) in enumerate(edges_of(n, longest)):
         score = best[s] + edge[at]
         better = score > best[e]
         best[e][better] = score[better]
         back[e][better] = at
-    starts = np.array([s for s, _ in edges])
+    starts, _ = edge_ends(n, longest)
     here, column, path = np.full(words, n), np.arange(words), []
     while (here > 0).any():
         taken = np.where(here > 0, back[here, column], -1)

@@ -19,7 +19,6 @@ from lavra.functions.lattice import (
     by_length,
     edge_pieces,
     edge_scores,
-    edges_of,
     expected_uses,
     segment,
 )
@@ -27,7 +26,7 @@ from lavra.functions.tokens import SPECIAL_TOKENS, UNK, VOCABULARY_SIZE
 from lavra.operators.cuts import top_rows
 from lavra.operators.encoding import UNKNOWN_PENALTY, salted_join
 from lavra.operators.vocabulary import numbered, word_counts
-from lavra.session import spread, stage
+from lavra.session import fence, spread, stage
 
 # Fixed values from public implementations of the paper.
 SEED_SIZE = 1_000_000
@@ -37,6 +36,8 @@ SUB_ITERATIONS = 2
 HEADROOM = 1.1
 MIN_USE = 0.5
 
+_LONG_WORD = 256
+
 
 def byte_alphabet() -> set[str]:
     """256 characters, one per byte: printable bytes stand for themselves, others move above U+0100."""
@@ -58,11 +59,29 @@ def substrings(word, shortest: int, longest: int) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(1), n), from_start))
 
 
+def explode_substrings(words: DataFrame, shortest: int, longest: int, keep: list[str]) -> DataFrame:
+    """One row per substring of ``word``, as ``piece``, beside the kept columns.
+
+    Long words are cut from their characters: finding a place in a string takes a walk from its start.
+    """
+    n = F.length("word")
+    short = words.where((n >= shortest) & (n <= _LONG_WORD)).select(
+        *keep, F.explode(substrings("word", shortest, longest)).alias("piece")
+    )
+    chars = fence(words.where(n > _LONG_WORD), F.split("word", "").alias("_chars"), keep=keep)
+
+    def from_start(start):
+        lengths = F.sequence(F.lit(shortest), F.least(F.lit(longest), F.size("_chars") - start + 1))
+        return F.transform(lengths, lambda k: F.array_join(F.slice("_chars", start, k), ""))
+
+    starts = F.sequence(F.lit(1), F.size("_chars") - shortest + 1)
+    pieces = F.explode(F.flatten(F.transform(starts, from_start))).alias("piece")
+    return short.unionByName(chars.select(*keep, pieces))
+
+
 def candidate_pieces(counts: DataFrame, *, longest: int = LONGEST_PIECE) -> DataFrame:
     """Every substring of two or more characters with its weighted count and count x length."""
-    found = counts.where(F.length("word") > 1).select(
-        F.explode(substrings("word", 2, longest)).alias("piece"), "count"
-    )
+    found = explode_substrings(counts, 2, longest, ["count"])
     summed = found.groupBy("piece").agg(F.sum("count").alias("uses"))
     return summed.withColumn("weight", F.col("uses") * F.length("piece"))
 
@@ -185,7 +204,7 @@ def removal_cost(pieces: DataFrame, scores: np.ndarray, longest: int) -> np.ndar
         for batch in batches:
             for n, numbers, edges in _groups(batch):
                 edge = edge_scores(edges, n, longest, table, unknown)
-                edge[edges_of(n, longest).index((0, n))] = -np.inf
+                edge[n - 1] = -np.inf  # the edge over the whole piece
                 drop = table[numbers] - best_path(edge, n, longest)[0]
                 yield pa.RecordBatch.from_pydict({"piece": numbers.astype(np.int32), "drop": drop})
 
@@ -270,7 +289,7 @@ def segment_words_by_join(words: DataFrame, vocab: DataFrame) -> DataFrame:
     """
     plain = vocab.where(~F.col("is_special"))
     longest, lowest = plain.agg(F.max(F.length("piece")), F.min("score")).first()
-    edges = words.select("word", F.explode(F.array_distinct(substrings("word", 1, longest))).alias("piece"))
+    edges = explode_substrings(words, 1, longest, ["word"])
     table = plain.select("piece", "id", "score")
     found = salted_join(edges, table, "piece", F.xxhash64("word"), "inner")
     each = found.groupBy("word").agg(F.collect_list(F.struct("piece", "id", "score")).alias("edges"))

@@ -86,7 +86,8 @@ def test_lattice_against_all_segmentations():
             top = max(s for s, _ in options)
             assert best[column] == pytest.approx(top)
             mass = sum(np.exp(s) for s, _ in options)
-            for at, (s, e) in enumerate(lattice.edges_of(n, 16)):
+            for at, (s, e) in enumerate(zip(*map(np.ndarray.tolist, lattice.edge_ends(n, 16)))):
+                assert (s, e) == list(lattice.edges_of(n, 16))[at]
                 want = 0.0
                 for score, parts in options:
                     place = 0
@@ -212,3 +213,27 @@ def test_batches(spark):
         own = r["doc_id"] % 5 + 1
         assert r["input_ids"] == [1] * own + [0] * (max(mates) - own)
         assert r["labels"] == [7] * own + [-100] * (max(mates) - own)
+
+
+def test_long_words_are_cut_like_short_ones(spark, monkeypatch):
+    words = ["abcab" * 3, "ab", "a", "cabbage" * 2]
+    counts = spark.createDataFrame([(w, i + 1) for i, w in enumerate(words)], "word string, count long")
+    want = sorted(map(tuple, unigram.candidate_pieces(counts, longest=4).collect()))
+    monkeypatch.setattr(unigram, "_LONG_WORD", 3)
+    assert sorted(map(tuple, unigram.candidate_pieces(counts, longest=4).collect())) == want
+    brute = {}
+    for i, w in enumerate(words):
+        for s in range(len(w)):
+            for e in range(s + 2, min(len(w), s + 4) + 1):
+                brute[w[s:e]] = brute.get(w[s:e], 0) + i + 1
+    assert want == sorted((p, n, n * len(p)) for p, n in brute.items())
+
+
+def test_long_words_in_the_lattice(monkeypatch):
+    known, values = pa.array(["a", "b", "ab", "ba"]), np.array([-1.0, -2.0, -1.5, -2.6])
+    words = pa.array(["ab" * 40 + "x", "b" * 81, "a", "abba", "ba" * 30])
+    want = lattice.segment(words, known, values, 16, -9.0)
+    monkeypatch.setattr(lattice, "_LONG_WORD", 2)
+    monkeypatch.setattr(lattice, "_BLOCK", 100)
+    assert lattice.segment(words, known, values, 16, -9.0) == want
+    assert want[0] == [2] * 40 + [-1] and want[1] == [1] * 81
