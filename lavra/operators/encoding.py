@@ -27,7 +27,7 @@ from lavra.functions.tokens import (
     truncate,
 )
 from lavra.operators.vocabulary import BROADCAST_PIECES, with_tokens
-from lavra.session import fence
+from lavra.session import fence, stage
 
 _MEMO_WORDS = 500_000
 _SALTS = 32
@@ -183,7 +183,7 @@ def encode_tokens(
         return encode_by_join(tokenized, table, key=key, tokens=tokens, out=out)
     from lavra.operators.unigram import segment_words_by_join
 
-    words = tokenized.select(F.explode(tokens).alias("word")).distinct()
+    words = stage(tokenized.select(F.explode(tokens).alias("word")).distinct(), "words")
     table = segment_words_by_join(words, vocab)
     return encode_by_join(tokenized, table, key=key, tokens=tokens, out=out)
 
