@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -11,6 +13,26 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 _local_roots: dict[str, str] = {}
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Hand the package's code to the Python workers, once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(prefix="lavra-"), "lavra.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, files in os.walk(os.path.join(home, "lavra")):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, home))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Folder every executor can reach: the one named by ``spark.checkpoint.dir``.
 
