@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lavra.llm import minhash
+from lavra.llm import contamination, langid, minhash, packing, pii, warc
 from lavra.plans.registry import query
 
 
@@ -12,6 +13,53 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def held_out() -> Column:
+    """Rows that no model may learn from. A row without a key is not held out, and not learned from either."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def learnable(docs: DataFrame) -> DataFrame:
+    return docs.where(F.col("doc_id").isNotNull() & ~held_out())
+
+
+@query("op1_best_fit_packing")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.token_pieces(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
 @query("op7_minhash_near_dedup")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, folder, "documents"))
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    model = langid.fit(learnable(docs))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+# A user gives a secret of their own; this one only makes the query repeatable.
+QUERY_KEY = b"pseudonym key of the registered query"
+
+
+@query("op5_pii_pseudonyms")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    return pii.pseudonymize(docs, QUERY_KEY)
+
+
+@query("op6_benchmark_decontamination")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    found = contamination.contamination(docs, read(spark, folder, "benchmark"))
+    return found.select("doc_id", F.inline("hits"))
+
+
+@query("op10_warc_index")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    directory, archive = warc.write_archives(warc.mark_revisits(read(spark, folder, "pages")))
+    records = warc.read_records(warc.read_blocks(directory, archive), archive)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

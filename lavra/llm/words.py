@@ -18,6 +18,10 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_STOP = np.zeros(256, dtype=bool)
+_STOP[[44, 46]] = True
 
 
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -64,8 +68,11 @@ def strings(data: np.ndarray, starts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(kind, len(starts), buffers)
 
 
-def split_words(texts: pa.Array, *, fold: bool = False) -> Words:
-    """Words of every row; with ``fold``, A-Z become a-z first."""
+def split_words(texts: pa.Array, *, fold: bool = False, stops: bool = False) -> Words:
+    """Words of every row; with ``fold``, A-Z become a-z first.
+
+    With ``stops``, a full stop or comma after one of A-Z and a-z begins a new word.
+    """
     data, bounds = raw(texts)
     space = _SPACE[data]
     inside = ~space
@@ -73,6 +80,8 @@ def split_words(texts: pa.Array, *, fold: bool = False) -> Words:
     first[1:] &= space[:-1]
     heads = bounds[:-1][bounds[:-1] < bounds[1:]]
     first[heads] = inside[heads]
+    if stops:
+        first[1:] |= _STOP[data[1:]] & _LETTER[data[:-1]]
     kept = data[inside]
     if fold:
         kept = _FOLD[kept]
