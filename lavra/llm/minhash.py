@@ -8,8 +8,8 @@ are whole sets, where the least overlap is exact), so they also share one of the
 
 In each list every class is first held against the list's hub, the class whose values are the most
 frequent. What the hubs join is one component; after that only pairs of different components are left,
-which blocks of bounded size enumerate inside tasks. Pairs pass an estimate on the union sketch, then
-the exact similarity on whole sets decides.
+which blocks of bounded size compare inside tasks. Pairs with a hub pass an estimate on the union sketch,
+then the exact similarity on whole sets decides, as it does in the blocks.
 """
 
 from __future__ import annotations
@@ -29,11 +29,14 @@ from lavra.session import stage
 SKETCH = 32
 SHARED = 14
 THRESHOLD = 85  # per cent
-BLOCK = 256
+BLOCK = 1024  # classes in a part of a cluster
+BLOCK_VALUES = 1 << 20  # and shingles in it, both about
+COLUMNS = 8192
 
 
-def _sketch_rows(key: str, key_type, with_sets: bool):
-    fields = [(key, key_type), ("n_shingles", pa.int64()), ("fp", pa.binary()), ("sketch", pa.list_(pa.int64()))]
+def _sketch_rows(key_type, with_sets: bool):
+    fields = [("key", key_type), ("hash", pa.int64()), ("n_shingles", pa.int64())]
+    fields += [("fp", pa.binary()), ("sketch", pa.list_(pa.int64()))]
     if with_sets:
         fields = [("fp", pa.binary()), ("set", pa.binary())]
     schema = pa.schema(fields)
@@ -49,6 +52,7 @@ def _sketch_rows(key: str, key_type, with_sets: bool):
                 else:
                     columns = [
                         batch.column(0).slice(start, stop - start),
+                        batch.column(2).slice(start, stop - start),
                         [len(s) for s in sets],
                         prints,
                         [s[:SKETCH] for s in sets],
@@ -60,14 +64,12 @@ def _sketch_rows(key: str, key_type, with_sets: bool):
 
 
 def sketches(docs: DataFrame, *, key="doc_id", text="text") -> DataFrame:
-    """Per row: key, ``n_shingles``, fingerprint ``fp`` of the whole set, and the bottom-k ``sketch``."""
-    rows = docs.select(key, F.col(text).cast("string").alias("_text"))
-    kind = rows.schema[0].dataType
-    arrow = pa.string() if kind.simpleString() == "string" else pa.int64()
-    if arrow == pa.int64():
-        rows = rows.withColumn(key, F.col(key).cast("long"))
-    out = f"`{key}` {'string' if arrow == pa.string() else 'long'}, n_shingles long, fp binary, sketch array<long>"
-    return rows.mapInArrow(_sketch_rows(key, arrow, False), out)
+    """Per row: ``key``, ``hash`` of the text, ``n_shingles``, fingerprint ``fp`` of the whole set, bottom-k ``sketch``."""
+    string = docs.schema[key].dataType.simpleString() == "string"
+    words = F.col(text).cast("string")
+    rows = docs.select((F.col(key) if string else F.col(key).cast("long")).alias("key"), words.alias("text"), F.xxhash64(words).alias("hash"))
+    out = f"key {'string' if string else 'long'}, hash long, n_shingles long, fp binary, sketch array<long>"
+    return rows.mapInArrow(_sketch_rows(pa.string() if string else pa.int64(), False), out)
 
 
 def _prefix(n, threshold: int):
@@ -164,62 +166,114 @@ def _exact(pairs: DataFrame, sets: DataFrame, clusters: DataFrame, threshold: in
     return rows.mapInArrow(_verified(threshold), "a long, b long")
 
 
-def _cross_pairs(threshold: int):
-    least = _least_estimate(threshold)
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, from incidence matrices of a bounded number of values at a time."""
+    sets = left + right
+    values, place = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    often = np.bincount(place) > 1  # values of one set only are in no intersection
+    number = np.cumsum(often) - 1
+    inside = often[place]
+    place, owner = number[place[inside]], owner[inside]
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    total = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, int(often.sum()), COLUMNS):
+        a, b = np.searchsorted(place, [low, low + COLUMNS])
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[owner[a:b], place[a:b] - low] = 1
+        total += part[: len(left)] @ part[len(left) :].T
+    return total
+
+
+def _linking(rows, threshold: int):
+    """Links of one block that join different components, no more than it takes to join them."""
+    cid, comp, side, sets = rows
+    left = [i for i, s in enumerate(side) if s < 2]
+    right = [i for i, s in enumerate(side) if s > 0]
+    if not left or not right:
+        return
+    common = _overlaps([sets[i] for i in left], [sets[i] for i in right])
+    n = np.array([len(s) for s in sets], np.float32)
+    union = n[left][:, None] + n[right][None, :] - common
+    comps = np.array(comp)
+    linked = (100 * common >= threshold * union) & (comps[left][:, None] != comps[right][None, :])
+    root: dict[int, int] = {}
+
+    def find(x):
+        while (up := root.get(x, x)) != x:
+            x = up
+        return x
+
+    for x, y in np.argwhere(linked):
+        i, j = left[x], right[y]
+        a, b = find(comp[i]), find(comp[j])
+        if a != b:
+            root[a] = b
+            yield cid[i], cid[j]
+
+
+def _blocks_linked(threshold: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def compare(rows, i, j):
-        """Pairs of one block whose component differs, size fits and sketch estimate passes."""
-        cid, n, comp, sketch, part = rows
-        left = [x for x in range(len(cid)) if part[x] == i]
-        right = left if i == j else [x for x in range(len(cid)) if part[x] == j]
-        for x in left:
-            for y in right:
-                if comp[x] == comp[y] or i == j and cid[x] >= cid[y]:
-                    continue
-                if min(n[x], n[y]) * 100 < max(n[x], n[y]) * threshold:
-                    continue
-                union = np.union1d(sketch[x], sketch[y])[:SKETCH]
-                both = np.intersect1d(np.intersect1d(union, sketch[x], assume_unique=True), sketch[y], assume_unique=True)
-                if len(both) >= least * len(union):
-                    yield min(cid[x], cid[y]), max(cid[x], cid[y])
-
     def run(batches):
-        def groups():
-            place, rows = None, ([], [], [], [], [])
-            for batch in batches:
-                names = ("value", "i", "j", "cid", "n", "component", "sketch", "part")
-                for value, i, j, *row in zip(*(batch.column(x).to_pylist() for x in names)):
-                    if (value, i, j) != place:
-                        if place is not None:
-                            yield place, rows
-                        place, rows = (value, i, j), ([], [], [], [], [])
-                    for column, x in zip(rows, row):
-                        column.append(x)
-            if place is not None:
-                yield place, rows
-
-        for (_, i, j), rows in groups():
-            found = list(dict.fromkeys(compare(rows, i, j)))
-            if found:
-                a, b = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+        place, rows = None, ([], [], [], [])
+
+        def links():
+            found = list(_linking(rows, threshold))
+            columns = [pa.array([f[i] for f in found], pa.int64()) for i in range(2)]
+            return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+        for batch in batches:
+            names = ("block", "cid", "component", "side", "set")
+            for block, cid, comp, side, data in zip(*(batch.column(x).to_pylist() for x in names)):
+                if block != place:
+                    if rows[0]:
+                        yield links()
+                    place, rows = block, ([], [], [], [])
+                for column, x in zip(rows, (cid, comp, side, np.frombuffer(data, np.int64))):
+                    column.append(x)
+        if rows[0]:
+            yield links()
 
     return run
 
 
-def near_duplicates(docs: DataFrame, *, key="doc_id", text="text", threshold: int = THRESHOLD) -> DataFrame:
-    """Per row: key, ``n_shingles``, ``component_id`` and ``kept``.
+def _across(lists: DataFrame, sets: DataFrame, clusters: DataFrame, joined: DataFrame, threshold: int) -> DataFrame:
+    """Links between components that share an inverted list.
 
-    Rows link when ``100 * intersection >= threshold * union`` of their shingle sets. The component is
-    named by the smallest key in it. Null and wordless texts have no shingles, link with nothing and are
-    kept. Repeated rows share a component; a repeated smallest key is kept each time. A null key counts
-    as larger than all others and its row is kept only if it is linked with no row that has a key.
-    Other columns are not read, so their names cannot clash. An empty table gives no rows.
+    Lists name the pairs of cluster parts that may hold such links, not pairs of classes. Each pair of
+    parts is a block of bounded size: all its sets are compared at once, exactly, and only links that
+    join components come back.
     """
+    known = clusters.join(joined.withColumnRenamed("node", "cid"), "cid", "left")
+    # What is joined already stands apart, so that its parts need not be compared with each other.
+    spot = F.concat_ws(":", "cluster", "part", F.isnull("component"))
+    known = known.select("cid", spot.alias("spot"), F.coalesce("component", "cid").alias("component"))
+    known = stage(known, "placed")
+    spots = lists.select("value", "cid").join(known, "cid").groupBy("value", "spot")
+    spots = spots.agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    mixed = spots.groupBy("value").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least <> most")
+    spots = stage(spots.join(mixed.select("value"), "value"), "spots")
+    other = spots.select("value", F.col("spot").alias("spot2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    apart = "spot <= spot2 AND NOT (low = high AND low2 = high2 AND low = low2)"
+    blocks = spots.join(other, "value").where(apart).select("spot", "spot2").distinct()
+    blocks = stage(blocks.withColumn("block", F.concat_ws("|", "spot", "spot2")), "blocks")
+    one = blocks.where("spot = spot2").select("block", "spot", F.lit(1).alias("side"))
+    two = blocks.where("spot <> spot2")
+    needs = one.unionByName(two.select("block", "spot", F.lit(0).alias("side"))).unionByName(
+        two.select("block", F.col("spot2").alias("spot"), F.lit(2).alias("side"))
+    )
+    rows = known.join(sets, "cid").join(needs, "spot").select("block", "cid", "component", "side", "set")
+    rows = rows.repartition("block").sortWithinPartitions("block")
+    return rows.mapInArrow(_blocks_linked(threshold), "a long, b long")
+
+
+def _grouped(docs: DataFrame, key: str, text: str, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with their fingerprints, and for each fingerprint its smallest key and its component."""
     rows = stage(sketches(docs, key=key, text=text), "sketches")
     classes = rows.where("n_shingles > 0").groupBy("fp").agg(
-        F.min(key).alias("first_key"), F.min("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")
+        F.min("key").alias("first_key"), F.min("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")
     )
     classes = stage(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     lists = stage(inverted_lists(classes, threshold), "lists")
@@ -230,7 +284,8 @@ def near_duplicates(docs: DataFrame, *, key="doc_id", text="text", threshold: in
     star = stage(star.groupBy("cid", "hub").agg(F.max("m").alias("m")), "star")
     # Classes near each other share a cluster, in parts of about BLOCK.
     home = star.groupBy("cid").agg(F.max(F.struct("m", "hub"))["hub"].alias("cluster"))
-    size = home.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    sizes = home.join(classes.select("cid", "n_shingles"), "cid")
+    size = sizes.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_VALUES)).alias("parts"))
     home = home.join(size, "cluster").select("cid", "cluster", F.pmod(F.xxhash64("cid"), F.col("parts")).alias("part"))
     alone = star.select(F.col("hub").alias("cid")).distinct().join(home, "cid", "left_anti")
     clusters = home.unionByName(alone.select("cid", F.col("cid").alias("cluster"), F.lit(-1).cast("long").alias("part")))
@@ -239,7 +294,7 @@ def near_duplicates(docs: DataFrame, *, key="doc_id", text="text", threshold: in
     wanted = clusters.join(classes.select("cid", "fp", "first_key"), "cid").select("cid", "fp", "first_key")
     source = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
     found = source.join(wanted.select("first_key").distinct(), source["_key"].eqNullSafe(F.col("first_key")), "left_semi")
-    sets = found.mapInArrow(_sketch_rows(key, None, True), "fp binary, set binary")
+    sets = found.mapInArrow(_sketch_rows(None, True), "fp binary, set binary")
     sets = sets.join(wanted.select("cid", "fp"), "fp").groupBy("cid").agg(F.first("set").alias("set"))
     sets = stage(sets, "sets")
 
@@ -247,27 +302,50 @@ def near_duplicates(docs: DataFrame, *, key="doc_id", text="text", threshold: in
     links = stage(_exact(_estimated(pairs, classes, threshold), sets, clusters, threshold), "links")
     joined = stage(components(links), "components")
 
-    labelled = lists.join(joined.withColumnRenamed("node", "cid"), "cid", "left")
-    labelled = stage(labelled.withColumn("component", F.coalesce("component", "cid")), "labelled")
-    mixed = labelled.groupBy("value").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")
-    ).where("low <> high")
-    left = labelled.join(mixed.select("value", "parts"), "value")
-    left = left.join(classes.select("cid", "sketch"), "cid")
-    left = left.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
-    other = F.sequence(F.lit(0), F.col("parts") - 1)
-    dealt = left.withColumn("o", F.explode(other)).select(
-        "value", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "cid", "n", "component", "sketch", "part"
-    )
-    dealt = dealt.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j")
-    more = dealt.mapInArrow(_cross_pairs(threshold), "a long, b long").distinct()
-    more = _exact(more, sets, clusters, threshold)
-    joined = components(stage(links.unionByName(more), "links"))
+    more = stage(_across(lists, sets, clusters, joined, threshold), "links")
+    joined = components(links.unionByName(more))
 
     named = classes.join(joined.withColumnRenamed("node", "cid"), "cid", "left")
     named = stage(named.select("fp", "first_key", F.coalesce("component", "cid").alias("component")), "named")
+    return rows.drop("sketch"), named
+
+
+def near_duplicates(docs: DataFrame, *, key="doc_id", text="text", threshold: int = THRESHOLD) -> DataFrame:
+    """Per row: key, ``n_shingles``, ``component_id`` and ``kept``.
+
+    Rows link when ``100 * intersection >= threshold * union`` of their shingle sets. The component is
+    named by the smallest key in it. Null and wordless texts have no shingles, link with nothing and are
+    kept. Repeated rows share a component; a repeated smallest key is kept each time. A null key counts
+    as larger than all others and its row is kept only if it is linked with no row that has a key.
+    Other columns are not read, so their names cannot clash. An empty table gives no rows.
+    """
+    rows, named = _grouped(docs, key, text, threshold)
     lowest = named.groupBy("component").agg(F.min("first_key").alias("component_id"))
-    by_print = named.join(lowest, "component").select("fp", "component_id")
-    out = rows.drop("sketch").join(by_print, "fp", "left")
-    component = F.when(F.col("n_shingles") == 0, F.col(key)).otherwise(F.col("component_id"))
-    return out.select(key, "n_shingles", component.alias("component_id")).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
+    out = rows.join(named.join(lowest, "component").select("fp", "component_id"), "fp", "left")
+    component = F.when(F.col("n_shingles") == 0, F.col("key")).otherwise(F.col("component_id"))
+    out = out.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"))
+    return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
+
+
+def keep_one(docs: DataFrame, *, key="doc_id", text="text", threshold: int = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` with one row of each component, that with the smallest key; all columns stay.
+
+    Rows of equal key go by the hash of their text, null keys last, and of repeated rows one stays. Rows
+    without shingles all stay.
+    """
+    rows, named = _grouped(docs, key, text, threshold)
+    full = rows.where("n_shingles > 0").groupBy("fp", "key", "hash").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("key").isNull().alias("none"), "key", "hash", "n")
+    chosen = full.join(named.select("fp", "component"), "fp").groupBy("component").agg(F.min(order).alias("m"))
+    chosen = stage(chosen.select("m.key", "m.hash", "m.n"), "kept")
+    plain = rows.where("n_shingles = 0").select("key", "hash").distinct()
+    tagged = docs.withColumn("_hash", F.xxhash64(F.col(text).cast("string")))
+
+    def among(kept):
+        kept = kept.select(F.col("key").alias("_kept_key"), F.col("hash").alias("_kept_hash"))
+        same = tagged[key].eqNullSafe(kept["_kept_key"]) & (tagged["_hash"] == kept["_kept_hash"])
+        return tagged.join(kept, same, "left_semi").drop("_hash")
+
+    out = among(chosen.where("n = 1").select("key", "hash").unionByName(plain))
+    repeated = chosen.where("n > 1")
+    return out if repeated.isEmpty() else out.unionByName(among(repeated).dropDuplicates([key, text]))

@@ -22,7 +22,7 @@ from lavra.session import stage
 
 SIZE = 2048
 END = 0
-_MEMO_WORDS = 600_000
+_MEMO_WORDS = 300_000
 
 _encoders: dict[str, "_Encoder"] = {}
 
@@ -87,7 +87,7 @@ def _cut(key, key_type, path: str, size: int, end: int):
         encoder, part, seen = _encoders[path], TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         for batch in batches:
             texts = batch.column(1)
-            for a, b in slices(texts, 16 << 20):
+            for a, b in slices(texts):
                 ids, bounds = encoder(texts.slice(a, b - a))
                 rows = np.arange(b - a)
                 flat = np.insert(ids, bounds[1:], end).astype("<u4")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lavra.llm import contamination, langid, minhash, packing, pii, warc
+from lavra.llm import boosting, contamination, discriminant, langid, licenses, minhash, packing, pii, secrets, statistics, warc
+from lavra.session import stage
 from lavra.plans.registry import query
 
 
@@ -41,6 +42,46 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def _measured(docs: DataFrame) -> DataFrame:
+    """Statistics of all documents, written once for learning and scoring."""
+    return stage(docs.select("doc_id", statistics.measured("text").alias("s")).select("doc_id", "s.*"), "statistics")
+
+
+def _labelled(rows: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    return learnable(rows).join(read(spark, folder, "labels").select("doc_id", "quality"), "doc_id")
+
+
+@query("op2_quality_classifier")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _measured(read(spark, folder, "documents"))
+    model = discriminant.fit(_labelled(rows.select("doc_id", "features"), spark, folder))
+    found = rows.select("doc_id", held_out().alias("held_out"), discriminant.scored(model, "features").alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@query("op3_quality_rules")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _measured(read(spark, folder, "documents"))
+    model = boosting.fit(_labelled(rows.select("doc_id", "features"), spark, folder))
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    found = rows.select("doc_id", *base, failed.alias("base_failed"), boosting.scored(model, "features").alias("score"))
+    return found.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= 0.5))
+
+
+@query("op4_license_scan")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.license_scan(read(spark, folder, "documents"))
+
+
+@query("op8_secret_scan")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.secret_scan(read(spark, folder, "documents"))
+    counts = [F.size(F.filter("base", lambda s, r=rank: s["rank"] == r)).cast("long").alias(f"n_{kind[0]}") for rank, kind in enumerate(secrets.BASE)]
+    base = F.sha2(secrets.span_text(F.col("base")).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, base, secrets.span_text(F.concat("base", "more")).alias("spans"))
+
+
 # A user gives a secret of their own; this one only makes the query repeatable.
 QUERY_KEY = b"pseudonym key of the registered query"
 

@@ -34,3 +34,16 @@ def components(rows, threshold=85):
         r = find(x)
         low[r] = i if low.get(r) is None else low[r] if i is None else min(low[r], i)
     return sorted((i, len(s), low[find(x)], i == low[find(x)]) for x, (i, s) in enumerate(sets))
+
+
+def statistics(text):
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)."""
+    text = text or ""
+    words = WORD.findall(text)
+    windows = {}
+    for i in range(len(words) - 2):
+        windows.setdefault(tuple(words[i : i + 3]), []).append(i)
+    covered = {i + k for at in windows.values() if len(at) > 1 for i in at for k in range(3)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    symbols = len(re.findall(r"[#*$%&|<>]", text))
+    return len(words), sum(map(len, words)), symbols, len(lines) - len(set(lines)), len(covered)
