@@ -57,11 +57,12 @@ def lower(column) -> Column:
 
 
 def stopword_hits(
-    folded_words, stopwords: Mapping[str, Sequence[str]] | Sequence[str], lang=None
+    folded_words, stopwords: Mapping[str, Sequence[str]] | Sequence[str], lang=None, default: Sequence[str] | None = None
 ) -> Column:
     """Those of the (already case-folded) words that are stop words, repeats included.
 
-    ``stopwords`` is one list, or a list per language with ``lang`` naming the row's language.
+    ``stopwords`` is one list, or a list per language with ``lang`` naming the row's language. Rows of
+    another language, or of none, are held against ``default``: if not given, the words of all lists.
     Membership is a constant hash set inside the lambda, so no join is needed.
     """
     words = _col(folded_words)
@@ -72,11 +73,12 @@ def stopword_hits(
 
     if not isinstance(stopwords, Mapping):
         return hits(stopwords)
-    none = F.array().cast("array<string>")
-    branches = F.when(F.lit(False), none)
+    if default is None:
+        default = sorted({w for values in stopwords.values() for w in values})
+    branches = F.when(F.lit(False), F.array().cast("array<string>"))
     for code, values in stopwords.items():
         branches = branches.when(_col(lang) == code, hits(values))
-    return branches.otherwise(none)
+    return branches.otherwise(hits(default))
 
 
 def count_stopwords(folded_words, stopwords, lang=None) -> Column:

@@ -18,10 +18,29 @@ BROADCAST_KEYS = 2_000_000
 ONE_TASK_ROWS = 4_000_000
 
 
+def key_columns(key) -> list[str]:
+    """The names of a key of one or several columns."""
+    return [key] if isinstance(key, str) else list(key)
+
+
 def shuffle_key(key, seed: int) -> Column:
-    """A seeded pseudo-random order over a unique key, the same in every run and partitioning."""
-    key = F.col(key) if isinstance(key, str) else key
-    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
+    """A seeded pseudo-random order over a unique key, the same in every run and partitioning.
+
+    The key is a column, or the names of several; a null part differs from every text.
+    """
+    if isinstance(key, (str, Column)):
+        text = (F.col(key) if isinstance(key, str) else key).cast("string")
+    else:
+        text = F.to_json(F.array(*[F.col(k).cast("string") for k in key]))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(text, F.lit("null"))).cast("binary"))
+
+
+def require_unique(df: DataFrame, key) -> None:
+    """Raise if a key stands in two rows. Only keys move, and one row comes back at most."""
+    names = key_columns(key)
+    again = df.groupBy(*names).agg(F.count("*").alias("_n")).where("_n > 1").limit(1).collect()
+    if again:
+        raise ValueError(f"key {names} is not unique: {again[0]}")
 
 
 def _hash_histogram(hashes: DataFrame, prefix: str) -> list[tuple[str, int]]:
@@ -55,14 +74,16 @@ def shuffled_cutoff(df: DataFrame, key: str, seed: int, share) -> str | None:
 
 
 def train_test_split(
-    df: DataFrame, *, key: str = "doc_id", test_size: float = 0.1, seed: int = 42, keys: DataFrame | None = None
+    df: DataFrame, *, key="doc_id", test_size: float = 0.1, seed: int = 42, keys: DataFrame | None = None
 ) -> DataFrame:
-    """Add ``split``: exactly ceil(test_size * n) rows are test, the rest train. Keys must be unique.
+    """Add ``split``: exactly ceil(test_size * n) rows are test, the rest train.
 
-    The cut is found in a few passes over the keys; where computing ``df`` is dear, pass its keys as a
+    The key is one column or several, such as source and id; a repeated key raises. The cut is found in a few passes over the keys; where computing ``df`` is dear, pass its keys as a
     stored table. The rows themselves are read once and never move.
     """
-    cut = shuffled_cutoff(df if keys is None else keys, key, seed, lambda n: math.ceil(test_size * n))
+    keys = df if keys is None else keys
+    require_unique(keys, key)
+    cut = shuffled_cutoff(keys, key, seed, lambda n: math.ceil(test_size * n))
     if cut is None:
         return df.withColumn("split", F.lit("train"))
     is_test = shuffle_key(key, seed) <= cut
@@ -70,10 +91,12 @@ def train_test_split(
 
 
 def shuffled_fraction(
-    df: DataFrame, *, key: str = "doc_id", fraction: float, seed: int = 42, keys: DataFrame | None = None
+    df: DataFrame, *, key="doc_id", fraction: float, seed: int = 42, keys: DataFrame | None = None
 ) -> DataFrame:
     """Exactly floor(fraction * n) rows in seeded random choice."""
-    cut = shuffled_cutoff(df if keys is None else keys, key, seed, lambda n: math.floor(fraction * n))
+    keys = df if keys is None else keys
+    require_unique(keys, key)
+    cut = shuffled_cutoff(keys, key, seed, lambda n: math.floor(fraction * n))
     return df.where(F.lit(False)) if cut is None else df.where(shuffle_key(key, seed) <= cut)
 
 
@@ -94,8 +117,15 @@ def ordered_cutoff(df: DataFrame, key: str, share, *, descending: bool = False):
     before = 0
     while low < high:
         width = -(-(high - low + 1) // _BUCKETS)
-        distance = (F.lit(high) - F.col("k")) if descending else (F.col("k") - F.lit(low))
-        bucket = F.floor(distance / F.lit(width)) if width > 1 else distance
+        # The whole range of a long is wider than a long.
+        wide = high - low >= 1 << 62
+        k, edge = (c.cast("decimal(38,0)") if wide else c for c in (F.col("k"), F.lit(high if descending else low)))
+        distance = edge - k if descending else k - edge
+        if wide:
+            distance = (distance - F.pmod(distance, F.lit(width).cast("decimal(38,0)"))) / F.lit(width)
+            bucket = F.round(distance).cast("long")
+        else:
+            bucket = F.floor(distance / F.lit(width)) if width > 1 else distance
         inside = keys.where(F.col("k").between(low, high))
         for part, n in sorted(
             (r["b"], r["count"]) for r in inside.groupBy(bucket.alias("b")).count().collect()

@@ -142,21 +142,23 @@ def salted_join(many: DataFrame, table: DataFrame, on: str, spread_by: Column, h
 
 
 def encode_by_join(
-    tokenized: DataFrame, word_ids: DataFrame, *, key="doc_id", tokens="tokens", out="ids"
+    tokenized: DataFrame, word_ids: DataFrame, *, tokens="tokens", out="ids"
 ) -> DataFrame:
     """Encode through a join, for vocabularies too large to send to every executor.
 
     ``word_ids`` maps a word to its array of ids; ids come back in order per document.
     """
     others = [c for c in tokenized.columns if c != tokens]
-    exploded = tokenized.select(key, F.posexplode(tokens).alias("_pos", "word"))
+    # Rows are told apart by a number of their own, fixed by writing it, so keys may repeat or be null.
+    rows = stage(tokenized.withColumn("_row", F.monotonically_increasing_id()), "tokens")
+    exploded = rows.select("_row", F.posexplode(tokens).alias("_pos", "word"))
     table = word_ids.select("word", F.col("ids").alias("_ids"))
-    found = salted_join(exploded, table, "word", F.xxhash64(key, "_pos"), "left")
+    found = salted_join(exploded, table, "word", F.xxhash64("_row", "_pos"), "left")
     pieces = F.struct("_pos", F.coalesce("_ids", F.array(F.lit(UNK))).alias("_ids"))
-    lists = found.groupBy(key).agg(F.sort_array(F.collect_list(pieces)).alias("_all"))
-    lists = lists.select(key, F.flatten(F.transform("_all", lambda x: x["_ids"])).alias(out))
+    lists = found.groupBy("_row").agg(F.sort_array(F.collect_list(pieces)).alias("_all"))
+    lists = lists.select("_row", F.flatten(F.transform("_all", lambda x: x["_ids"])).alias(out))
     empty = F.array().cast("array<int>")
-    kept = tokenized.select(*others).join(lists, key, "left")
+    kept = rows.select("_row", *others).join(lists, "_row", "left").drop("_row")
     return kept.withColumn(out, F.coalesce(out, empty))
 
 
@@ -164,7 +166,6 @@ def encode_tokens(
     tokenized: DataFrame,
     vocab: DataFrame,
     *,
-    key="doc_id",
     tokens="tokens",
     out="ids",
     model="word",
@@ -180,12 +181,12 @@ def encode_tokens(
         table = vocab.where(~F.col("is_special")).select(
             F.col("piece").alias("word"), F.array("id").alias("ids")
         )
-        return encode_by_join(tokenized, table, key=key, tokens=tokens, out=out)
+        return encode_by_join(tokenized, table, tokens=tokens, out=out)
     from lavra.operators.unigram import segment_words_by_join
 
     words = stage(tokenized.select(F.explode(tokens).alias("word")).distinct(), "words")
     table = segment_words_by_join(words, vocab)
-    return encode_by_join(tokenized, table, key=key, tokens=tokens, out=out)
+    return encode_by_join(tokenized, table, tokens=tokens, out=out)
 
 
 def encode_documents(docs: DataFrame, vocab: DataFrame, *, model="word", text="text") -> DataFrame:

@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from lavra.functions.tokens import CONTEXT_SIZE, VOCABULARY_SIZE
-from lavra.operators.cuts import train_test_split
+from lavra.operators.cuts import key_columns, train_test_split
 from lavra.operators.encoding import encode_documents, model_rows
 from lavra.operators.filters import apply_rule
 from lavra.operators.measures import measure_documents
@@ -15,28 +15,34 @@ from lavra.operators.unigram import train_unigram
 from lavra.operators.vocabulary import load_vocabulary, save_vocabulary, word_vocabulary
 from lavra.session import stage
 from lavra.sources.corpora import union_sources
-from lavra.sources.storage import is_complete, materialize
+from lavra.sources.storage import materialize, reusable, write_parameters
 
 
-def curated_split(docs: DataFrame, *, rule="phase2", test_size=0.1, seed=42, min_words=100) -> DataFrame:
-    """Measure, filter, drop the measures, split.
+def curated_split(
+    docs: DataFrame, *, key="doc_id", rule="phase2", test_size=0.1, seed=42, min_words=100
+) -> DataFrame:
+    """Measure, filter, drop the measures, split. The key is one column or several and must be unique.
 
     The keys of the kept documents are stored first, so that finding the cut reads no text again.
     """
+    names = key_columns(key)
     good = apply_rule(measure_documents(docs, min_words=min_words), rule)
-    keys = stage(good.select("doc_id"), "kept-keys")
-    return train_test_split(good.select("doc_id", "text"), test_size=test_size, seed=seed, keys=keys)
+    keys = stage(good.select(*names), "kept-keys")
+    return train_test_split(good.select(*names, "text"), key=key, test_size=test_size, seed=seed, keys=keys)
 
 
 def curate(
-    spark: SparkSession, sources: list[DataFrame], path: str, *, rebuild=False, **options
+    spark: SparkSession, sources: list[DataFrame], path: str, *, key="doc_id", rebuild=False, **options
 ) -> DataFrame:
-    """The split corpus under ``path``, built from the sources unless it is there."""
+    """The split corpus under ``path``, built from the sources unless it is there.
+
+    Sources that number their rows on their own need a key of ``("source", "doc_id")``.
+    """
     def build():
-        docs = union_sources(sources, ("doc_id", "text", "lang"))
-        return curated_split(docs, **options)
+        docs = union_sources(sources, (*key_columns(key), "text", "lang"))
+        return curated_split(docs, key=key, **options)
 
-    return materialize(spark, build, path, rebuild=rebuild)
+    return materialize(spark, build, path, parameters={"key": key, **options}, rebuild=rebuild)
 
 
 def vocabulary(
@@ -44,30 +50,35 @@ def vocabulary(
 ) -> DataFrame:
     """The vocabulary under ``path``, trained on the train split unless it is there."""
     spark = corpus.sparkSession
-    if not rebuild and is_complete(spark, path):
+    parameters = {"size": size, "model": model, **options}
+    if not rebuild and reusable(spark, path, parameters):
         return load_vocabulary(spark, path)
     train = corpus.where("split = 'train'") if "split" in corpus.columns else corpus
     build = partial(train_unigram, **options) if model == "unigram" else word_vocabulary
-    return save_vocabulary(build(train, size=size), path)
+    stored = save_vocabulary(build(train, size=size), path)
+    write_parameters(spark, path, parameters)
+    return stored
 
 
 def tokenize(
     corpus: DataFrame, vocab: DataFrame, path: str, *, model="unigram",
-    max_length=CONTEXT_SIZE, pad=False, rebuild=False,
+    max_length=CONTEXT_SIZE, pad=False, rebuild=False, made_from: dict | None = None,
 ) -> DataFrame:
-    """Model rows of every split under ``path``."""
+    """Model rows of every split under ``path``. ``made_from`` names what corpus and vocabulary were made with."""
     def build():
         coded = encode_documents(corpus, vocab, model=model)
         return model_rows(coded, max_length=max_length, pad=pad)
 
-    return materialize(corpus.sparkSession, build, path, rebuild=rebuild)
+    parameters = {"model": model, "max_length": max_length, "pad": pad, "made_from": made_from}
+    return materialize(corpus.sparkSession, build, path, parameters=parameters, rebuild=rebuild)
 
 
 def raw_to_rows(
     spark: SparkSession, sources: list[DataFrame], folder: str, *, size=VOCABULARY_SIZE,
-    model="unigram", rebuild=False,
+    model="unigram", key="doc_id", rebuild=False,
 ) -> DataFrame:
     """The whole flow; each stage is a table under ``folder``."""
-    corpus = curate(spark, sources, f"{folder}/corpus", rebuild=rebuild)
+    corpus = curate(spark, sources, f"{folder}/corpus", key=key, rebuild=rebuild)
     vocab = vocabulary(corpus, f"{folder}/vocabulary", size=size, model=model, rebuild=rebuild)
-    return tokenize(corpus, vocab, f"{folder}/tokenized", model=model, rebuild=rebuild)
+    made_from = {"size": size, "key": key}
+    return tokenize(corpus, vocab, f"{folder}/tokenized", model=model, rebuild=rebuild, made_from=made_from)

@@ -255,3 +255,17 @@ def stream_curate(spark, folder):
     kept = _shown(ingest.curate(arriving), "doc_id")
     ingest.write_new(kept, f"{out}/table", f"{out}/progress").awaitTermination()
     return spark.read.schema(kept.schema).parquet(f"{out}/table")
+
+
+_RENAMED = "CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN 'it' ELSE lang END"
+
+
+@query(
+    "quality_unlisted_languages",
+    q.with_(q.DOC_MEASURES.replace("FROM documents", f"FROM (SELECT * REPLACE ({_RENAMED} AS lang) FROM documents)"))
+    + f"SELECT lang, count(*) AS documents FROM measured {_rule_sql('>= 100', 2, 2, 15)} GROUP BY lang",
+)
+def quality_unlisted_languages(spark, folder):
+    docs = _docs(spark, folder).withColumn("lang", F.expr(_RENAMED))
+    kept = filters.apply_rule(measures.measure_documents(docs), "phase2")
+    return kept.groupBy("lang").agg(F.count("*").alias("documents"))

@@ -210,25 +210,27 @@ def filter_tokenized(spark, folder):
         q.ENC,
         "pieces AS (SELECT doc_id, pos, coalesce(piece, '[UNK]') AS piece FROM enc_tok LEFT JOIN vocab ON tok = piece)",
     )
-    + "SELECT doc_id, string_agg(piece, ' ' ORDER BY pos) AS pieces FROM pieces GROUP BY doc_id",
+    + "SELECT doc_id, coalesce(p.pieces, '') AS pieces FROM documents LEFT JOIN "
+    "(SELECT doc_id, string_agg(piece, ' ' ORDER BY pos) AS pieces FROM pieces GROUP BY doc_id) AS p USING (doc_id)",
 )
 def ids_to_pieces(spark, folder):
     vocab = _vocab(spark, folder)
     coded = encoding.encode_documents(_docs(spark, folder), vocab)
     pieces = encoding.piece_lookup(vocab)(F.col("ids"))
-    return coded.where(F.size("ids") > 0).select("doc_id", F.array_join(pieces, " ").alias("pieces"))
+    return coded.select("doc_id", F.array_join(pieces, " ").alias("pieces"))
 
 
 @query(
     "decode_ids",
     q.with_(q.ENC, "known AS (SELECT doc_id, pos, piece FROM enc_tok JOIN vocab ON tok = piece)")
-    + "SELECT doc_id, md5(substr(replace(string_agg(piece, '' ORDER BY pos), '▁', ' '), 2)) AS text_md5 "
-    "FROM known GROUP BY doc_id",
+    + "SELECT doc_id, md5(coalesce(k.whole, '')) AS text_md5 FROM documents LEFT JOIN "
+    "(SELECT doc_id, substr(replace(string_agg(piece, '' ORDER BY pos), '▁', ' '), 2) AS whole "
+    "FROM known GROUP BY doc_id) AS k USING (doc_id)",
 )
 def decode_ids(spark, folder):
     vocab = _vocab(spark, folder)
     coded = encoding.encode_documents(_docs(spark, folder), vocab)
-    framed = coded.where(F.exists("ids", lambda x: x >= 5)).select("doc_id", tk.template_single("ids").alias("ids"))
+    framed = coded.select("doc_id", tk.template_single("ids").alias("ids"))
     text = encoding.decode(F.col("ids"), encoding.piece_lookup(vocab))
     return framed.select("doc_id", F.md5(text.cast("binary")).alias("text_md5"))
 

@@ -28,7 +28,7 @@ def text_list(values) -> str:
 STOP_CASE = (
     "CASE lang "
     + " ".join(f"WHEN '{k}' THEN {text_list(v)}" for k, v in STOPWORDS.items())
-    + " ELSE [] END"
+    + f" ELSE {text_list(sorted({w for values in STOPWORDS.values() for w in values}))} END"
 )
 
 _MEASURES = f"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,10 +26,54 @@ def is_complete(spark: SparkSession, path: str) -> bool:
     return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 
 
+_RECORD = "_parameters.json"
+
+
+def _record_path(spark: SparkSession, path: str):
+    file = spark._jvm.org.apache.hadoop.fs.Path(path, _RECORD)
+    return file, file.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _plain(parameters: dict) -> str:
+    return json.dumps(parameters, sort_keys=True, default=repr)
+
+
+def write_parameters(spark: SparkSession, path: str, parameters: dict) -> None:
+    """Keep beside a stored stage what it was built with."""
+    file, store = _record_path(spark, path)
+    out = store.create(file, True)
+    out.write(bytearray(_plain(parameters).encode()))
+    out.close()
+
+
+def same_parameters(spark: SparkSession, path: str, parameters: dict) -> bool:
+    """Whether a stored stage was built with these parameters; one without a record was not."""
+    file, store = _record_path(spark, path)
+    if not store.exists(file):
+        return False
+    stream = store.open(file)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8") == _plain(parameters)
+    finally:
+        stream.close()
+
+
+def reusable(spark: SparkSession, path: str, parameters: dict) -> bool:
+    """Whether a finished stage can be used again. One built otherwise raises; it is not overwritten unasked."""
+    if not is_complete(spark, path):
+        return False
+    if not same_parameters(spark, path, parameters):
+        raise ValueError(f"{path} was built with other parameters; pass rebuild=True to replace it")
+    return True
+
+
 def materialize(
-    spark: SparkSession, build: Callable[[], DataFrame], path: str, *, rebuild: bool = False
+    spark: SparkSession, build: Callable[[], DataFrame], path: str, *, parameters: dict | None = None, rebuild: bool = False
 ) -> DataFrame:
-    """The stored table if it is complete, else build and store it."""
-    if not rebuild and is_complete(spark, path):
+    """The stored table if it is complete and was built with the same parameters, else build and store it."""
+    parameters = parameters or {}
+    if not rebuild and reusable(spark, path, parameters):
         return spark.read.parquet(path)
-    return save(build(), path, mode="overwrite")
+    stored = save(build(), path, mode="overwrite")
+    write_parameters(spark, path, parameters)
+    return stored

@@ -98,3 +98,25 @@ def test_split_has_no_exchange(spark):
     out = cuts.train_test_split(spark.range(100).withColumnRenamed("id", "doc_id"))
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
     assert out.where(F.col("split") == "test").count() == 10
+
+
+def test_repeated_keys_are_refused_and_pairs_of_columns_are_keys(spark):
+    import pytest
+
+    from lavra.operators import cuts
+
+    rows = spark.range(200).selectExpr("id % 100 AS doc_id", "if(id < 100, 'a', 'b') AS source")
+    with pytest.raises(ValueError, match="not unique"):
+        cuts.train_test_split(rows)
+    split = cuts.train_test_split(rows, key=("source", "doc_id"))
+    assert split.where("split = 'test'").count() == 20 and split.count() == 200
+
+
+def test_cut_over_the_whole_range_of_a_long(spark):
+    from lavra.operators import cuts
+
+    keys = [-(2**63), -(2**62), -5, 0, 7, 2**62, 2**63 - 2, 2**63 - 1]
+    rows = spark.createDataFrame([(k,) for k in keys], "doc_id long")
+    for n in range(1, 9):
+        assert cuts.ordered_cutoff(rows, "doc_id", lambda _, n=n: n)[0] == keys[n - 1]
+        assert cuts.ordered_cutoff(rows, "doc_id", lambda _, n=n: n, descending=True)[0] == keys[-n]

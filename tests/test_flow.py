@@ -95,3 +95,17 @@ def test_spread_leaves_large_inputs_alone(spark):
     many = spark.range(100, numPartitions=64)
     assert session.spread(many) is many
     assert session.spread(spark.range(100, numPartitions=1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_stored_stages_know_their_parameters(spark, tmp_path):
+    import pytest
+
+    from lavra.plans import curation
+
+    docs = spark.createDataFrame([(i, f"w{i % 50} w{i % 7} the cat") for i in range(400)], "doc_id long, text string")
+    path = str(tmp_path / "vocabulary")
+    assert curation.vocabulary(docs, path, size=30, model="word").count() == 30
+    assert curation.vocabulary(docs, path, size=30, model="word").count() == 30
+    with pytest.raises(ValueError, match="other parameters"):
+        curation.vocabulary(docs, path, size=20, model="word")
+    assert curation.vocabulary(docs, path, size=20, model="word", rebuild=True).count() == 20

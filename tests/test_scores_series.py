@@ -151,3 +151,23 @@ def test_wide_and_overlay(spark):
     assert wide == {1: (1.0, 3.0), 2: (None, 2.0)}
     assert {r["step"]: (r["a"], r["b"]) for r in series.overlay(log, "a", "b").collect()} == wide
     assert log.where(F.col("step") > 5).count() == 0
+
+
+def test_smooth_with_nulls_and_long_memory(spark):
+    import numpy as np
+    import pandas as pd
+
+    from lavra.operators import series
+
+    rng = np.random.default_rng(1)
+    for smoothing in (0.6, 0.99, 0.999):
+        values = rng.normal(size=3000)
+        values[rng.random(3000) < 0.3] = np.nan
+        rows = [("r", "t", i * 3, None if np.isnan(v) else float(v)) for i, v in enumerate(values)] + [(None, "t", 5, 1.0)]
+        log = spark.createDataFrame(rows, "run_id string, tag string, step long, value double")
+        got = series.smooth(log, smoothing=smoothing, chunk=500).where("run_id = 'r'").toPandas().sort_values("step")["smoothed"]
+        want = pd.Series(values).ewm(alpha=1 - smoothing).mean()
+        assert np.allclose(got.to_numpy(float), want.to_numpy(), atol=1e-9, equal_nan=True)
+    one = spark.createDataFrame([("r", "t", i, v) for i, v in enumerate([1.0, None, 3.0, 4.0])], "run_id string, tag string, step long, value double")
+    got = [r.smoothed for r in series.smooth(one).orderBy("step").collect()]
+    assert np.allclose(got, [1, 1, 3.36 / 1.36, (3.36 * 0.6 + 4) / (1.36 * 0.6 + 1)])

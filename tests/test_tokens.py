@@ -237,3 +237,12 @@ def test_long_words_in_the_lattice(monkeypatch):
     monkeypatch.setattr(lattice, "_BLOCK", 100)
     assert lattice.segment(words, known, values, 16, -9.0) == want
     assert want[0] == [2] * 40 + [-1] and want[1] == [1] * 81
+
+
+def test_join_encoding_keeps_rows_of_one_key_apart(spark):
+    from lavra.operators import encoding, vocabulary
+
+    texts = spark.createDataFrame([(1, "a b c"), (1, "d e"), (None, "a"), (2, "")], "doc_id long, text string")
+    vocab = vocabulary.word_vocabulary(texts)
+    tokens = vocabulary.with_tokens(texts)
+    assert sorted(encoding.encode_tokens(tokens, vocab, limit=0).collect(), key=repr) == sorted(encoding.encode_tokens(tokens, vocab).collect(), key=repr)
