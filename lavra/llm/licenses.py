@@ -38,10 +38,16 @@ TEMPLATES = (
 )
 
 
+# What normalising replaces, in this order; a word is a run of letters, digits and inner full stops.
+STEPS = ((r"[^\p{L}\p{N}.\n]+", " "), (r"\.+([ \n]|\z)", " $1"), (r" *\n *", "\n"), (" +", " "))
+
+
 def normal(text: Column) -> Column:
-    """Lower case; every run of other characters than letters, digits and inner full stops is one space."""
-    low = F.regexp_replace(F.lower(text), r"(?:[^\p{L}\p{N}.\n]|\.(?![\p{L}\p{N}]))+", " ")
-    return F.regexp_replace(low, r" ?\n ?", "\n")
+    """Lower case, with single spaces between words, and with its line ends."""
+    text = F.lower(text)
+    for pattern, new in STEPS:
+        text = F.regexp_replace(text, pattern, new)
+    return text
 
 
 def _bigrams(words: Column) -> Column:
@@ -92,3 +98,39 @@ def license_scan(
     best = found.groupBy("key", "row", "part", "license").agg(F.max("dice").alias("dice"))
     out = best.groupBy("key", "license").agg(F.max("dice").alias("dice"), F.count("*").alias("n_units"))
     return out.select(F.col("key").alias(key), "license", "dice", "n_units")
+
+
+def scan_sql(templates=TEMPLATES, threshold: float = THRESHOLD) -> str:
+    """The same scan of ``documents`` in DuckDB's SQL."""
+
+    def plain(text: str) -> str:
+        text = f"lower({text})"
+        for pattern, new in STEPS:
+            new = new.replace("$1", "\\1").replace("\n", "' || chr(10) || '")
+            pattern = pattern.replace("\n", "\\n")
+            text = f"regexp_replace({text}, '{pattern}', '{new}', 'g')"
+        return text
+
+    values = ", ".join(f"({i}, '{name}', '{notice.replace(chr(39), chr(39) * 2)}')" for i, (name, notice) in enumerate(templates))
+    pairs = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    return f"""
+    WITH t AS (SELECT i, license, string_split(trim(replace({plain("notice")}, chr(10), ' ')), ' ') AS w FROM (VALUES {values}) AS v(i, license, notice)),
+    tb AS (SELECT i, license, len({pairs}) AS size, unnest({pairs}) AS bigram FROM t),
+    d AS (SELECT row_number() OVER () AS r, doc_id, {plain("text")} AS n FROM documents WHERE text IS NOT NULL),
+    u AS (
+        SELECT r, doc_id, 'l' || generate_subscripts(x, 1) AS part, unnest(x) AS s FROM (SELECT r, doc_id, string_split(n, chr(10)) AS x FROM d)
+        UNION ALL
+        SELECT r, doc_id, 'b' || generate_subscripts(x, 1), replace(unnest(x), chr(10), ' ')
+        FROM (SELECT r, doc_id, string_split_regex(n, '\\n\\n+') AS x FROM d WHERE contains(n, chr(10)))
+        UNION ALL
+        SELECT r, doc_id, 'w', regexp_replace(n, '\\n+', ' ', 'g') FROM d WHERE contains(n, chr(10))
+    ),
+    ws AS (SELECT r, doc_id, part, string_split(trim(s), ' ') AS w FROM u),
+    ub AS (SELECT r, doc_id, part, len({pairs}) AS n, unnest({pairs}) AS bigram FROM ws WHERE len(w) > 1),
+    c AS (SELECT r, doc_id, part, n, i, license, size, count(*) AS common FROM ub JOIN tb USING (bigram) GROUP BY ALL),
+    f AS (
+        SELECT r, doc_id, part, license, max(2::DOUBLE * common / (n + size)) AS dice FROM c
+        WHERE 2::DOUBLE * common / (n + size) >= {threshold} GROUP BY ALL
+    )
+    SELECT doc_id, license, max(dice) AS dice, count(*) AS n_units FROM f GROUP BY ALL
+    """

@@ -69,7 +69,7 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= 0.5))
 
 
-@query("op4_license_scan")
+@query("op4_license_scan", licenses.scan_sql())
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.license_scan(read(spark, folder, "documents"))
 
@@ -77,7 +77,7 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_secret_scan")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets.secret_scan(read(spark, folder, "documents"))
-    counts = [F.size(F.filter("base", lambda s, r=rank: s["rank"] == r)).cast("long").alias(f"n_{kind[0]}") for rank, kind in enumerate(secrets.BASE)]
+    counts = [secrets.count_of("base", kind).alias(f"n_{kind}") for kind in secrets.KINDS[:3]]
     base = F.sha2(secrets.span_text(F.col("base")).cast("binary"), 256).alias("base_sha256")
     return found.select("doc_id", *counts, base, secrets.span_text(F.concat("base", "more")).alias("spans"))
 

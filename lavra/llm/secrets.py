@@ -96,6 +96,17 @@ def _apart(span: Column, others: Column) -> Column:
     return ~F.exists(others, lambda o: (o["start"] < span["stop"]) & (span["start"] < o["stop"]))
 
 
+def _long_enough(places: Column, sizes: Column, least: int) -> Column:
+    fitting = F.zip_with(places, sizes, lambda p, n: F.when(n >= least, p))
+    return F.filter(fitting, lambda p: p.isNotNull())
+
+
+def count_of(spans, kind: str) -> Column:
+    """How many spans are of a kind."""
+    rank = KINDS.index(kind)
+    return F.size(F.filter(spans, lambda s: s["rank"] == rank)).cast("long")
+
+
 def secret_scan(docs: DataFrame, *, key="doc_id", text="text") -> DataFrame:
     """Per row: key, ``base`` and ``more``, arrays of (start, rank, stop) of the named patterns and of
     high-entropy strings that overlap none of them; code points, stop exclusive, ordered.
@@ -118,8 +129,7 @@ def secret_scan(docs: DataFrame, *, key="doc_id", text="text") -> DataFrame:
         places = _places(t, pattern, rank)
         if group:
             sizes = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(group)), F.length)
-            fitting = F.zip_with(places, sizes, lambda p, n, k=least: F.when(n >= k, p))
-            places = F.filter(fitting, lambda p: p.isNotNull())
+            places = _long_enough(places, sizes, least)
         else:
             # Matches are maximal runs, so the shortest one wanted can be asked for directly.
             head, run = pattern[: pattern.index("[")], pattern[pattern.index("[") : -1]
@@ -130,7 +140,7 @@ def secret_scan(docs: DataFrame, *, key="doc_id", text="text") -> DataFrame:
         _places(t, CANDIDATE, len(BASE)), lambda p: F.struct(p.alias("span"), F.substring(t, p["start"] + 1, p["stop"] - p["start"]).alias("word"))
     )
     free = F.filter(word, lambda w: _apart(w["span"], F.col("base")) & ~w["word"].rlike(ALLOWED))
-    bits = F.when(F.col("_long"), free).otherwise(F.array().cast(f"array<struct<span:struct<start:int,rank:int,stop:int>,word:string>>"))
+    bits = F.when(F.col("_long"), free).otherwise(F.array().cast("array<struct<span:struct<start:int,rank:int,stop:int>,word:string>>"))
     rows = fence(rows, bits.alias("_free"), keep=[key, "base"])
     strong = F.filter(
         "_free",

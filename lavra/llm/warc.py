@@ -258,8 +258,7 @@ def lookup(urls: DataFrame, directory: DataFrame, folder: str, *, url="url") ->
     """
     n = directory.count()
     step = max(1, -(-n // SEGMENTS))
-    placed = directory.select("*", F.monotonically_increasing_id().alias("_at"))
-    firsts = placed.select("first_key", "last_key", F.struct("file", "offset", "length").alias("block"))
+    firsts = directory.select("first_key", "last_key", F.struct("file", "offset", "length").alias("block"))
     if n == 0:
         return urls.sparkSession.createDataFrame([], _CAPTURE)
     heads = [r[0] for r in firsts.where(F.pmod(F.xxhash64("block"), F.lit(step)) == 0).select("first_key").toLocalIterator()]

@@ -47,3 +47,39 @@ def statistics(text):
     lines = [x for x in text.split("\n") if WORD.search(x)]
     symbols = len(re.findall(r"[#*$%&|<>]", text))
     return len(words), sum(map(len, words)), symbols, len(lines) - len(set(lines)), len(covered)
+
+
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def secret_spans(text):
+    """(start, rank, stop) of the named patterns, in order."""
+    text = text or ""
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(out)
+
+
+def entropy_windows(word, window=20):
+    """Largest entropy over the windows of a word."""
+    import math
+
+    best = 0.0
+    for i in range(len(word) - window + 1):
+        part = word[i : i + window]
+        best = max(best, -sum(part.count(c) / window * math.log2(part.count(c) / window) for c in set(part)))
+    return best
+
+
+def entropy_spans(text, base):
+    from lavra.llm import secrets
+
+    out = []
+    for m in re.finditer(secrets.CANDIDATE, text or ""):
+        if any(a < m.end() and m.start() < b for a, _, b in base) or re.search(secrets.ALLOWED, m[0]):
+            continue
+        least = secrets.HEX_BITS if re.fullmatch("[0-9a-fA-F]+", m[0]) else secrets.MIXED_BITS
+        if entropy_windows(m[0]) >= least - 1e-9:
+            out.append((m.start(), 3, m.end()))
+    return out
