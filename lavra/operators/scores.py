@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import functools
-import operator
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lavra.functions.tokens import IGNORE, argmax, softmax
 from lavra.session import fence
 
-_AT = 1 << 24
-
 
 def label_table(spark, names: list[str]) -> DataFrame:
     """Class ids and their names."""
@@ -19,11 +14,8 @@ def label_table(spark, names: list[str]) -> DataFrame:
 
 
 def with_label_names(rows: DataFrame, labels: DataFrame, *, label="label", out="label_name"):
-    """Add the name of a class id; the label table has one row per class, so it is sent out."""
-    if labels.count() > 100_000:
-        named = rows.join(labels, rows[label] == labels["id"], "left")
-    else:
-        named = rows.join(F.broadcast(labels), rows[label] == labels["id"], "left")
+    """Add the name of a class id. Spark sends the label table out while it is small enough."""
+    named = rows.join(labels, rows[label] == labels["id"], "left")
     return named.select(*rows.columns, F.col("name").alias(out))
 
 
@@ -42,7 +34,7 @@ def tags_from_logits(rows: DataFrame, names: list[str], *, logits="logits") -> D
 
 
 def _spans(df: DataFrame, codes: str, out: str) -> DataFrame:
-    """Entity spans of a tag array, each packed into one long as (type, first, last).
+    """Entity spans of a tag array as structs of type, first and last place.
 
     A code is twice the type for ``B``, one more for ``I``, negative for ``O``. A span opens at ``B``, or at
     ``I`` after ``O`` or after another type, and runs to the next opening or ``O``. All inside the row: the
@@ -53,19 +45,18 @@ def _spans(df: DataFrame, codes: str, out: str) -> DataFrame:
     def edge(code, at):
         earlier = F.coalesce(F.get(codes, at - 1), F.lit(-1))
         opens = (code % 2 == 0) | (earlier < 0) | (F.shiftright(earlier, 1) != F.shiftright(code, 1))
-        place = at.cast("long")
-        return F.when(code < 0, place).when(opens, (F.shiftright(code, 1) + 1) * F.lit(_AT) + place)
+        kind = F.when(code < 0, -1).otherwise(F.shiftright(code, 1))
+        return F.when((code < 0) | opens, F.struct(kind.alias("type"), at.alias("at")))
 
     edges = F.filter(F.transform(codes, edge), lambda e: e.isNotNull())
     step = fence(df, edges.alias("_edges"), F.size(codes).alias("_n"))
 
-    def pack(opening, at):
-        place = opening.bitwiseAND(F.lit(_AT - 1))
-        after = F.get("_edges", at + 1).bitwiseAND(F.lit(_AT - 1))
-        last = F.coalesce(after, F.col("_n").cast("long")) - 1
-        return F.when(opening >= _AT, (opening - _AT) * F.lit(_AT) + last)
+    def close(opening, at):
+        last = F.coalesce(F.get("_edges", at + 1)["at"], F.col("_n")) - 1
+        span = F.struct(opening["type"].alias("type"), opening["at"].alias("first"), last.alias("last"))
+        return F.when(opening["type"] >= 0, span)
 
-    spans = F.filter(F.transform("_edges", pack), lambda s: s.isNotNull())
+    spans = F.filter(F.transform("_edges", close), lambda s: s.isNotNull())
     return fence(step, spans.alias(out), keep=[c for c in kept if c != codes])
 
 
@@ -73,16 +64,13 @@ def entity_scores(rows: DataFrame, names: list[str], *, logits="logits", labels=
     """Precision, recall and F1 over exact entity spans, per type and over all, with token accuracy.
 
     ``rows`` has one sentence per row: an array of scores per token, and the labels; positions with the
-    ignored label do not count. Spans are matched inside the row, so the only exchange is one small sum.
+    ignored label do not count. Spans are matched inside the row; each gives one row to a sum by type, so
+    the only exchange is one small sum. Names without a type give the line over all alone.
     """
-    if len(names) > 1024:
-        raise ValueError("more than 1024 tag names")
-    entity_types = sorted({n.split("-", 1)[1] for n in names if "-" in n})
+    entity_types = sorted({n.split("-", 1)[1] for n in names if n[:2] in ("B-", "I-")})
+    numbers = {name: at for at, name in enumerate(entity_types)}
     codes = F.array(
-        *[
-            F.lit(2 * entity_types.index(n.split("-", 1)[1]) + (n[0] == "I") if n[:2] in ("B-", "I-") else -1)
-            for n in names
-        ]
+        *[F.lit(2 * numbers[n.split("-", 1)[1]] + (n[0] == "I") if n[:2] in ("B-", "I-") else -1) for n in names]
     )
     both = F.zip_with(
         labels, logits, lambda label, scores: F.struct(label.alias("t"), argmax(scores).alias("p"))
@@ -101,42 +89,31 @@ def entity_scores(rows: DataFrame, names: list[str], *, logits="logits", labels=
     spans = _spans(_spans(tags, "_true", "_ts"), "_pred", "_ps")
     spans = fence(spans, F.array_intersect("_ts", "_ps").alias("_hits"))
 
-    def of_type(array: str, at: int) -> Column:
-        low, high = at * _AT * _AT, (at + 1) * _AT * _AT
-        return F.sum(F.size(F.filter(array, lambda s: (s >= low) & (s < high))).cast("long"))
-
-    sums = [
-        of_type(array, at).alias(f"{array}{at}")
-        for at in range(len(entity_types))
-        for array in ("_ts", "_ps", "_hits")
-    ]
-    total = spans.agg(
-        F.sum("_right").alias("_right"), F.sum("_tokens").alias("_tokens"), *sums
-    )
+    def part(kind, true=0, pred=0, hits=0, right=0, tokens=0):
+        values = {"type": kind, "true": true, "pred": pred, "hits": hits, "right": right, "tokens": tokens}
+        return F.struct(*[(v if isinstance(v, Column) else F.lit(v)).cast("long").alias(k) for k, v in values.items()])
 
-    def line(name: str, pick) -> Column:
-        true, pred, hits = (pick(a) for a in ("_ts", "_ps", "_hits"))
-        zero = F.lit(0.0)
-        return F.struct(
-            F.lit(name).alias("entity"),
-            F.coalesce(F.try_divide(hits, pred), zero).alias("precision"),
-            F.coalesce(F.try_divide(hits, true), zero).alias("recall"),
-            F.coalesce(F.try_divide(2 * hits, true + pred), zero).alias("f1"),
-            F.coalesce(true, F.lit(0)).cast("long").alias("support"),
-            (F.try_divide("_right", "_tokens") if name == "overall" else F.lit(None).cast("double")).alias(
-                "accuracy"
-            ),
-        )
-
-    def over_all(array):
-        return functools.reduce(
-            operator.add, [F.col(f"{array}{i}") for i in range(len(entity_types))]
-        )
-
-    lines = [
-        line(name, lambda array, i=i: F.col(f"{array}{i}")) for i, name in enumerate(entity_types)
-    ]
-    return total.select(F.inline(F.array(*lines, line("overall", over_all))))
+    parts = F.concat(
+        F.array(part(-1, right=F.col("_right"), tokens=F.col("_tokens"))),
+        F.transform("_ts", lambda s: part(s["type"], true=1)),
+        F.transform("_ps", lambda s: part(s["type"], pred=1)),
+        F.transform("_hits", lambda s: part(s["type"], hits=1)),
+    )
+    sums = [F.sum(c).alias(c) for c in ("true", "pred", "hits", "right", "tokens")]
+    total = spans.select(F.inline(parts)).rollup("type").agg(*sums)
+    total = total.withColumn("type", F.coalesce("type", F.lit(-2))).where("type <> -1")
+    lines = [(-2, "overall"), *enumerate(entity_types)]
+    table = rows.sparkSession.createDataFrame(lines, "type long, entity string")
+    found = table.join(total, "type", "left")
+    zero = F.lit(0.0)
+    return found.select(
+        "entity",
+        F.coalesce(F.try_divide("hits", "pred"), zero).alias("precision"),
+        F.coalesce(F.try_divide("hits", "true"), zero).alias("recall"),
+        F.coalesce(F.try_divide(2 * F.col("hits"), F.col("true") + F.col("pred")), zero).alias("f1"),
+        F.coalesce("true", F.lit(0)).cast("long").alias("support"),
+        F.when(F.col("type") == -2, F.try_divide("right", "tokens")).alias("accuracy"),
+    )
 
 
 def classification_scores(rows: DataFrame, *, logits="logits", label="label") -> DataFrame:

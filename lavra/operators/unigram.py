@@ -7,6 +7,7 @@ score per piece out, at most ``seed_size`` of them, and one sum per piece back.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -246,6 +247,9 @@ def train_unigram(
     seeds = seed_pieces(counts, size=seed_size, longest=longest).select("piece", "weight").toArrow()
     weights = dict(zip(seeds["piece"].to_pylist(), seeds["weight"].to_pylist())) | chars
     names = sorted(weights)
+    if not names:  # an empty corpus: the alphabet with equal scores
+        first = sorted(needed)[: size - len(SPECIAL_TOKENS)]
+        return numbered([(c, -math.log(len(first))) for c in first], docs.sparkSession)
     required = np.array([p in needed for p in names])
     scores = np.log(np.array([weights[p] for p in names], dtype=float))
     scores -= np.log(np.exp(scores).sum())

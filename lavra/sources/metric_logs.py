@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lavra import schemas
@@ -17,13 +19,25 @@ def metric_tags(log: DataFrame) -> DataFrame:
 
 
 def metric_series(log: DataFrame, tag: str, *, after_step: int | None = None) -> DataFrame:
-    """Steps and values of one tag, optionally past a step; a tag that is missing gives no rows."""
+    """Steps and values of one tag, optionally past a step; a tag that is missing gives no rows.
+
+    ``warn_missing`` looks for the tag first and warns where it is not there.
+    """
     test = F.col("tag") == tag
     if after_step is not None:
         test &= F.col("step") > after_step
     return log.where(test).select("run_id", "step", "value")
 
 
+def warn_missing(log: DataFrame, tags: list[str]) -> list[str]:
+    """Those of the tags that the log does not have, each with a warning. One row per tag comes back at most."""
+    found = {r["tag"] for r in log.where(F.col("tag").isin(tags)).select("tag").distinct().collect()}
+    missing = [t for t in tags if t not in found]
+    for tag in missing:
+        warnings.warn(f"tag {tag!r} is not in the log", stacklevel=2)
+    return missing
+
+
 def latest_run(log: DataFrame, *, parent: str = "parent") -> DataFrame:
     """Rows of the newest run under each parent; equal times go to the larger run id.
 

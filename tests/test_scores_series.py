@@ -171,3 +171,33 @@ def test_smooth_with_nulls_and_long_memory(spark):
     one = spark.createDataFrame([("r", "t", i, v) for i, v in enumerate([1.0, None, 3.0, 4.0])], "run_id string, tag string, step long, value double")
     got = [r.smoothed for r in series.smooth(one).orderBy("step").collect()]
     assert np.allclose(got, [1, 1, 3.36 / 1.36, (3.36 * 0.6 + 4) / (1.36 * 0.6 + 1)])
+
+
+def test_entity_scores_without_types_and_with_many(spark):
+    from lavra.operators import scores
+
+    rows = spark.createDataFrame([([0, 0], [[0.9, 0.1], [0.2, 0.8]])], "labels array<int>, logits array<array<double>>")
+    only = scores.entity_scores(rows, ["O", "X"]).collect()
+    assert [(r.entity, r.support, r.accuracy) for r in only] == [("overall", 0, 0.5)]
+    names = ["O"] + [f"{p}-T{i}" for i in range(700) for p in "BI"]
+    logits = [[float(j == k) for j in range(len(names))] for k in (1, 2, 0, 5)]
+    many = {r.entity: r for r in scores.entity_scores(spark.createDataFrame([([1, 2, 0, 5], logits)], rows.schema), names).collect()}
+    assert len(many) == 701 and many["overall"].support == 2 and many["T0"].f1 == 1 and many["T2"].f1 == 1 and many["T5"].support == 0
+    assert scores.entity_scores(rows.limit(0), ["O", "B-X"]).where("entity = 'overall'").first().accuracy is None
+
+
+def test_missing_tags_warn(spark):
+    import pytest
+
+    from lavra.sources import metric_logs
+
+    log = spark.createDataFrame([("r", "loss", 1, 1.0)], "run_id string, tag string, step long, value double")
+    with pytest.warns(UserWarning, match="'lr'"):
+        assert metric_logs.warn_missing(log, ["loss", "lr"]) == ["lr"]
+
+
+def test_training_on_an_empty_corpus(spark):
+    from lavra.operators.unigram import train_unigram
+
+    vocab = train_unigram(spark.createDataFrame([], "doc_id long, text string"), size=30).collect()
+    assert len(vocab) == 30 and sorted(r.id for r in vocab) == list(range(30))
