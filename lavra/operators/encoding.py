@@ -50,7 +50,7 @@ def _send(vocab: DataFrame, pieces):
     """A broadcast of the vocabulary; one that is too large is refused, not sent."""
     pieces = load_pieces(vocab) if pieces is None else pieces
     if pieces is None:
-        raise ValueError(f"vocabulary beyond {BROADCAST_PIECES} rows; encode_tokens joins it instead")
+        raise ValueError(f"vocabulary beyond {BROADCAST_PIECES} rows; encode_columns and with_pieces join it instead")
     return vocab.sparkSession.sparkContext.broadcast(pieces)
 
 
@@ -162,31 +162,59 @@ def encode_by_join(
     return kept.withColumn(out, F.coalesce(out, empty))
 
 
-def encode_tokens(
-    tokenized: DataFrame,
-    vocab: DataFrame,
-    *,
-    tokens="tokens",
-    out="ids",
-    model="word",
-    limit: int = BROADCAST_PIECES,
+def word_id_table(vocab: DataFrame) -> DataFrame:
+    """Words and their one id as an array, for ``encode_by_join``."""
+    plain = vocab.where(~F.col("is_special"))
+    return plain.select(F.col("piece").alias("word"), F.array("id").alias("ids"))
+
+
+def encode_columns(
+    tokenized: DataFrame, vocab: DataFrame, columns: dict[str, str], *, model="word", limit: int = BROADCAST_PIECES
 ) -> DataFrame:
-    """Replace pre-tokens by ids without special tokens. ``model`` is ``word`` or ``unigram``."""
+    """Replace columns of pre-tokens by columns of ids without special tokens.
+
+    ``columns`` maps each to the name of its ids; ``model`` is ``word`` or ``unigram``. A vocabulary that is
+    sent out is read once and serves all columns in one pass; a larger one is joined column by column.
+    """
     pieces = load_pieces(vocab, limit)
     if pieces is not None:
         encoder = (word_encoder if model == "word" else unigram_encoder)(vocab, pieces)
-        others = [c for c in tokenized.columns if c != tokens]
-        return fence(tokenized, encoder(F.col(tokens)).alias(out), keep=others)
-    if model == "word":
-        table = vocab.where(~F.col("is_special")).select(
-            F.col("piece").alias("word"), F.array("id").alias("ids")
-        )
-        return encode_by_join(tokenized, table, tokens=tokens, out=out)
-    from lavra.operators.unigram import segment_words_by_join
+        others = [c for c in tokenized.columns if c not in columns]
+        return fence(tokenized, *[encoder(F.col(c)).alias(out) for c, out in columns.items()], keep=others)
+    for tokens, out in columns.items():
+        if model == "word":
+            table = word_id_table(vocab)
+        else:
+            from lavra.operators.unigram import segment_words_by_join
 
-    words = stage(tokenized.select(F.explode(tokens).alias("word")).distinct(), "words")
-    table = segment_words_by_join(words, vocab)
-    return encode_by_join(tokenized, table, tokens=tokens, out=out)
+            words = stage(tokenized.select(F.explode(tokens).alias("word")).distinct(), "words")
+            table = segment_words_by_join(words, vocab)
+        tokenized = encode_by_join(tokenized, table, tokens=tokens, out=out)
+    return tokenized
+
+
+def encode_tokens(
+    tokenized: DataFrame, vocab: DataFrame, *, tokens="tokens", out="ids", model="word", limit: int = BROADCAST_PIECES
+) -> DataFrame:
+    """Replace pre-tokens by ids without special tokens. ``model`` is ``word`` or ``unigram``."""
+    return encode_columns(tokenized, vocab, {tokens: out}, model=model, limit=limit)
+
+
+def with_pieces(
+    rows: DataFrame, vocab: DataFrame, *, ids="ids", out="pieces", limit: int = BROADCAST_PIECES
+) -> DataFrame:
+    """Add the pieces of an array of ids, in order; a vocabulary beyond ``limit`` rows is joined."""
+    if load_pieces(vocab, limit) is not None:
+        return rows.withColumn(out, piece_lookup(vocab)(F.col(ids)))
+    numbered = stage(rows.withColumn("_row", F.monotonically_increasing_id()), "ids")
+    each = numbered.select("_row", F.posexplode(ids).alias("_pos", "_id"))
+    table = vocab.select(F.col("id").alias("_id"), "piece")
+    found = salted_join(each, table, "_id", F.xxhash64("_row", "_pos"), "left")
+    lists = found.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_pos", "piece"))).alias("_all"))
+    lists = lists.select("_row", F.col("_all.piece").alias(out))
+    joined = numbered.join(lists, "_row", "left").drop("_row")
+    # An empty array has no rows to join; a null one stays null.
+    return joined.withColumn(out, F.coalesce(out, F.when(F.col(ids).isNotNull(), F.array().cast("array<string>"))))
 
 
 def encode_documents(docs: DataFrame, vocab: DataFrame, *, model="word", text="text") -> DataFrame:
@@ -216,3 +244,12 @@ def model_rows(
 def decode(ids: Column, look_up, *, skip_specials: bool = True) -> Column:
     """Ids to text. Not an inverse: every piece carries its own space."""
     return join_pieces(look_up(strip_specials(ids) if skip_specials else ids))
+
+
+def decoded(
+    rows: DataFrame, vocab: DataFrame, *, ids="ids", out="text", skip_specials: bool = True, limit: int = BROADCAST_PIECES
+) -> DataFrame:
+    """Add the text of an array of ids, for a vocabulary of any size."""
+    plain = rows.withColumn("_plain", strip_specials(ids) if skip_specials else F.col(ids))
+    found = with_pieces(plain, vocab, ids="_plain", out="_pieces", limit=limit)
+    return found.withColumn(out, join_pieces("_pieces")).drop("_plain", "_pieces")

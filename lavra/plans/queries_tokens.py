@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lavra.functions import text as tx, tokens as tk
 from lavra.operators import cuts, encoding, filters, tasks, unigram, vocabulary
 from lavra.plans import fixtures as fx, sql as q
-from lavra.plans.registry import query
+from lavra.plans.registry import ORACLES, query
 from lavra.session import as_text, fence, new_scratch
 from lavra.sources import storage
 from lavra.sources.corpora import table
@@ -280,6 +280,29 @@ def align_labels(spark, folder):
     return rows.select("id", as_text("labels").alias("labels"), F.size("input_ids").cast("long").alias("length"))
 
 
+@query("encode_words_join", ORACLES["encode_words"])
+def encode_words_join(spark, folder):
+    rows = tasks.encode_words(fx.tagged_words(spark, folder), _vocab(spark, folder), max_length=_LENGTH, limit=0)
+    words = F.transform("word_ids", lambda w: F.coalesce(w.cast("string"), F.lit("-")))
+    return rows.select("id", as_text("input_ids").alias("input_ids"), F.array_join(words, " ").alias("word_ids"))
+
+
+@query("align_labels_join", ORACLES["align_labels"])
+def align_labels_join(spark, folder):
+    tagged, vocab = fx.tagged_words(spark, folder), _vocab(spark, folder)
+    rows = tasks.encode_tagged(tagged, vocab, max_length=_LENGTH, limit=0)
+    return rows.select("id", as_text("labels").alias("labels"), F.size("input_ids").cast("long").alias("length"))
+
+
+@query("decode_ids_join", ORACLES["decode_ids"])
+def decode_ids_join(spark, folder):
+    vocab = _vocab(spark, folder)
+    coded = encoding.encode_documents(_docs(spark, folder), vocab)
+    framed = coded.select("doc_id", tk.template_single("ids").alias("ids"))
+    text = encoding.decoded(framed, vocab, limit=0)
+    return text.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 _PAIR_LENGTH = 128
 _PAIR_ENC = q.with_(
     q.PRE,
