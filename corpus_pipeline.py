@@ -6,15 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lavra.llm import contamination, langid, minhash, packing, pii
-from lavra.llm.queries import QUERY_KEY, learnable, read
+from lavra.llm.queries import QUERY_KEY, bound_batches, learnable, read
+from lavra.plans.registry import query
 from lavra.session import new_scratch, ship_package
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+def _prepare(spark: SparkSession) -> None:
+    ship_package(spark)
+    bound_batches(spark)
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language prediction is not rejected; the model learns from the documents themselves."""
-    ship_package(spark)
+    _prepare(spark)
     model = langid.fit(learnable(docs))
     return langid.identify(docs, model).where(~F.col("rejected")).select(*docs.columns)
 
@@ -24,20 +28,20 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
     Of rows that repeat an id with the same text one stays, and one of near copies that have no id.
     """
-    ship_package(spark)
+    _prepare(spark)
     return minhash.keep_one(docs).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    ship_package(spark)
+    _prepare(spark)
     found = contamination.contamination(docs, read(spark, sf_dir, "benchmark"))
     return found.where(F.size("hits") == 0).select(*docs.columns)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with pseudonyms for personal data; ``n_chars`` follows the new text."""
-    ship_package(spark)
+    _prepare(spark)
     changed = pii.pseudonymize(docs, QUERY_KEY)
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -46,7 +50,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of token ids with the documents in each."""
-    ship_package(spark)
+    _prepare(spark)
     pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
     return packing.sequences(packing.pack(pieces))
 
@@ -63,6 +67,7 @@ STAGES = [
 ORACLE_SQL = None
 
 
+@query("pipeline", ORACLE_SQL)
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
     docs = read(spark, sf_dir, "documents")

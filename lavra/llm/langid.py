@@ -20,6 +20,7 @@ BUCKETS = 1 << 16
 SAMPLE_ROWS = 3072  # labelled texts used for training and calibration, over all languages
 WIDTH = 16
 EPOCHS = 6
+SMOOTH = 0.005
 REJECT_SHARE = 0.0005  # share of rightly labelled texts that the rejection threshold may cost
 
 
@@ -144,7 +145,10 @@ def fit(labelled: DataFrame, *, key="doc_id", text="text", lang="lang", sample_r
     z = np.array([share @ logits[idx] for (idx, share), x in zip(bags, apart) if x])
     truth = labels[apart]
     scales = np.geomspace(0.02, 5, 60)
-    losses = [-np.log(_softmax(z / t)[np.arange(len(truth)), truth] + 1e-12).mean() for t in scales]
+    # Smoothed targets keep a sample without errors from asking for certainty.
+    target = np.full((len(truth), len(languages)), SMOOTH / len(languages))
+    target[np.arange(len(truth)), truth] += 1 - SMOOTH
+    losses = [-(target * np.log(_softmax(z / t) + 1e-12)).sum(axis=1).mean() for t in scales]
     temperature = float(scales[int(np.argmin(losses))])
     p = _softmax(z / temperature)
     right = p.argmax(axis=1) == truth
