@@ -262,6 +262,26 @@ def ema_smooth(spark, folder):
     return _rounded(series.smooth(log, smoothing=0.6, chunk=1024), smoothed=6)
 
 
+_GAPS = "CASE WHEN step % 5 = 0 THEN NULL ELSE value END"
+
+
+@query(
+    "ema_smooth_gaps",
+    q.with_(
+        fx.METRIC_LOG,
+        f"listed AS (SELECT run_id, tag, list(step ORDER BY step) AS steps, list({_GAPS} ORDER BY step) AS xs FROM metric_log GROUP BY ALL)",
+        "points AS (SELECT run_id, tag, unnest(steps) AS step, unnest(range(1, len(xs) + 1)) AS i, xs FROM listed)",
+        "sums AS (SELECT run_id, tag, step, xs[i] AS value, "
+        "list_sum(list_transform(xs[1:i], lambda x, j: coalesce(x, 0) * 0.99::DOUBLE ** (i - j))) AS total, "
+        "list_sum(list_transform(xs[1:i], lambda x, j: CASE WHEN x IS NULL THEN 0 ELSE 0.99::DOUBLE ** (i - j) END)) AS weight FROM points)",
+    )
+    + "SELECT run_id, tag, step, value, round(total / nullif(weight, 0), 6) AS smoothed FROM sums",
+)
+def ema_smooth_gaps(spark, folder):
+    log = fx.metric_log(spark, folder).select("run_id", "tag", "step", F.expr(_GAPS).alias("value"))
+    return _rounded(series.smooth(log, smoothing=0.99, chunk=1024), smoothed=6)
+
+
 @query(
     "split_log_series",
     q.with_(fx.LOGGING_STEPS)
