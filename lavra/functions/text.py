@@ -129,16 +129,29 @@ WIDE = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F)) + "　"
 NARROW = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
 
 
+_LATER = rf"[\x{{80}}-\x{{bf}}{CP1252_HIGH}]"
+# Damage inside sound text. Only lead bytes that read as letters hardly ever met before such a mark are taken:
+# Latin letters and marks (two bytes), punctuation (three), emoji (four).
+DAMAGED = rf"(?:[\x{{c2}}\x{{c3}}]{_LATER}|\x{{e2}}[\x{{80}}-\x{{84}}€‚ƒ„]{_LATER}|\x{{f0}}[\x{{9f}}Ÿ]{_LATER}{_LATER})+"
+
+
 def undo_mojibake(column) -> Column:
     """UTF-8 that was read as Latin-1 or windows-1252, read back as UTF-8.
 
-    Applies when the whole text maps to single bytes that form valid UTF-8; other text is kept.
+    A text that as a whole maps to single bytes of valid UTF-8 is read back as a whole. In other texts
+    runs that look damaged are read back each on its own, and the rest is kept.
     """
     text = _col(column)
+    gaps, runs = F.split(text, DAMAGED, -1), F.regexp_extract_all(text, F.lit(DAMAGED), F.lit(0))
+    mended = F.zip_with(gaps, F.transform(runs, lambda r: _undo(r, r)), lambda g, r: F.concat(g, F.coalesce(r, F.lit(""))))
+    return _undo(text, F.when(text.rlike(DAMAGED), F.array_join(mended, "")).otherwise(text))
+
+
+def _undo(text: Column, otherwise: Column) -> Column:
     single = F.translate(text, CP1252_HIGH, CP1252_BYTES)
     looks_broken = text.rlike(r"[\x{c2}-\x{f4}]") & single.rlike(r"\A[\x00-\x{ff}]*\z")
     bytes_ = F.when(looks_broken, F.encode(single, "ISO-8859-1")).cast("string")
-    return F.when(F.is_valid_utf8(bytes_), bytes_).otherwise(text)
+    return F.when(F.is_valid_utf8(bytes_), bytes_).otherwise(otherwise)
 
 
 def repair_text(column) -> Column:

@@ -57,6 +57,17 @@ def fix_mojibake(spark, folder):
     return docs.select("doc_id", F.md5(tx.repair_text("text").cast("binary")).alias("text_md5"))
 
 
+@query("fix_mojibake_lines", "SELECT doc_id, md5(text || chr(10) || '日') AS text_md5 FROM documents")
+def fix_mojibake_lines(spark, folder):
+    """Documents with every second line damaged must come back as they were."""
+    lines = F.split(F.concat("text", F.lit("\n日")), "\n")
+    damaged = F.transform(lines, lambda x, i: F.when(i % 2 == 0, F.decode(F.encode(x, "UTF-8"), "ISO-8859-1")).otherwise(x))
+    # The last line cannot be read as single bytes, so no text is broken as a whole.
+    kept = F.concat(F.slice(damaged, F.lit(1), F.size(lines) - 1), F.array(F.lit("日")))
+    docs = _docs(spark, folder).select("doc_id", F.array_join(kept, "\n").alias("text"))
+    return docs.select("doc_id", F.md5(tx.undo_mojibake("text").cast("binary")).alias("text_md5"))
+
+
 @query(
     "flatten_paragraphs",
     f"SELECT doc_id, md5(text || {q.NL}) AS text_md5 FROM documents",

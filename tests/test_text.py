@@ -145,3 +145,11 @@ def test_short_or_cut_token_rows(spark):
     full, cut, short, tiny = [2] + [7] * 10 + [3, 0], [2] + [7] * 12, [2] + [7] * 8 + [3, 0, 0, 0], [2, 3, 0]
     df = spark.createDataFrame([(full,), (cut,), (short,), (tiny,)], "input_ids array<int>")
     assert [r[0] for r in filters.drop_bad_token_rows(df).collect()] == [full]
+
+
+def test_repair_of_parts(spark):
+    from lavra.functions import text as tx
+
+    texts = ["funÃ§Ã£o e café 日", "itâ€™s 日", "«CAFÉ» 日 GRÄ«", "ðŸ˜€ 日", "plain", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(tx.undo_mojibake("t").alias("o")).collect()
+    assert [r.o for r in rows] == ["função e café 日", "it’s 日", "«CAFÉ» 日 GRÄ«", "😀 日", "plain", None]
