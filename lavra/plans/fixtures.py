@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lavra.plans.inputs import table
 from lavra.functions.text import split_words
 from lavra.operators.measures import split_paragraphs
 from lavra.plans import sql as q
 from lavra.session import fence
-from lavra.sources.corpora import table
 
 TAGS = ["O", "B-ORG", "I-ORG", "B-LOC", "I-LOC"]
 

@@ -8,8 +8,8 @@ from lavra.functions import tokens as tk
 from lavra.operators import encoding, reports, scores, series, vocabulary
 from lavra.plans import fixtures as fx, sql as q
 from lavra.plans.evaluation import evaluate
+from lavra.plans.inputs import table
 from lavra.plans.registry import query
-from lavra.sources.corpora import table
 
 
 def _docs(spark, folder):

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from lavra.operators import cuts, scores
 from lavra.plans import fixtures as fx, sql as q
+from lavra.plans.inputs import table
 from lavra.plans.registry import query
-from lavra.session import new_scratch
+from lavra.session import new_scratch, spread
 from lavra.sources import corpora, metric_logs, storage
-from lavra.sources.corpora import table
 
 def _digest():
     return F.md5(F.col("text").cast("binary")).alias("text_md5")
@@ -20,7 +20,7 @@ _DOCS = "SELECT doc_id, md5(text) AS text_md5 FROM documents"
 
 @query("scan_documents", "SELECT doc_id, source, n_chars, md5(text) AS text_md5 FROM documents WHERE lang = 'en'")
 def scan_documents(spark, folder):
-    docs = corpora.scan_documents(spark, f"{folder}/documents.parquet", lang="en")
+    docs = spread(corpora.scan_documents(spark, f"{folder}/documents.parquet", lang="en"))
     return docs.select("doc_id", "source", "n_chars", _digest())
 
 

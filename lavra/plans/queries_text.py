@@ -8,9 +8,9 @@ from lavra.functions import markup, text as tx
 from lavra.operators import filters, measures, reports
 from lavra.operators.vocabulary import normalize
 from lavra.plans import fixtures as fx, sql as q
+from lavra.plans.inputs import table
 from lavra.plans.registry import query
 from lavra.session import new_scratch
-from lavra.sources.corpora import table
 from lavra.streaming import ingest
 
 _MEASURED = "num_words, stopwords, round(average, 6) AS average"

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from lavra.functions import text as tx, tokens as tk
 from lavra.operators import cuts, encoding, filters, tasks, unigram, vocabulary
 from lavra.plans import fixtures as fx, sql as q
+from lavra.plans.inputs import table
 from lavra.plans.registry import ORACLES, query
 from lavra.session import as_text, fence, new_scratch
 from lavra.sources import storage
-from lavra.sources.corpora import table
 
 _LENGTH = 512
 

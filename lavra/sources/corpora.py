@@ -7,28 +7,27 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lavra import schemas
-from lavra.session import spread
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the given tables."""
-    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def scan_documents(spark: SparkSession, path: str, *, lang: str | None = None) -> DataFrame:
     """One row per page or document; the language test reaches the parquet scan."""
     docs = spark.read.parquet(path)
-    return spread(docs if lang is None else docs.where(F.col("lang") == lang))
+    return docs if lang is None else docs.where(F.col("lang") == lang)
 
 
 def scan_nested(spark: SparkSession, path: str) -> DataFrame:
     """A corpus whose text is a list of paragraphs, each a list of strings."""
-    return spread(spark.read.schema(schemas.NESTED_DOCS).parquet(path))
+    return spark.read.schema(schemas.NESTED_DOCS).parquet(path)
 
 
 def scan_json_lines(spark: SparkSession, glob: str, schema: str = schemas.RAW_DOCS) -> DataFrame:
     """JSON lines, plain or compressed, by path or glob."""
-    return spread(spark.read.schema(schema).json(glob))
+    return spark.read.schema(schema).json(glob)
 
 
 def scan_text_files(spark: SparkSession, folder: str, *, suffix: str = ".txt") -> DataFrame:
