@@ -9,7 +9,7 @@ from lavra.operators import cuts, encoding, filters, tasks, unigram, vocabulary
 from lavra.plans import fixtures as fx, sql as q
 from lavra.plans.inputs import table
 from lavra.plans.registry import ORACLES, query
-from lavra.session import as_text, fence, new_scratch
+from lavra.session import as_text, fence, new_scratch, stage
 from lavra.sources import storage
 
 _LENGTH = 512
@@ -79,6 +79,31 @@ def unigram_vocab(spark, folder):
     return _unigram(spark, folder).select("id", "piece", F.round("score", 4).alias("score"), "is_special")
 
 
+_FACTS_SIZE = 4_096
+
+
+@query(
+    "unigram_vocab_facts",
+    q.with_(q.PRE, "chars AS (SELECT DISTINCT unnest(string_split(w, '')) AS c FROM (SELECT unnest(toks) AS w FROM pre))")
+    + f"SELECT {_FACTS_SIZE}::BIGINT AS pieces, {_FACTS_SIZE}::BIGINT AS distinct_pieces, 0 AS first_id, "
+    f"{_FACTS_SIZE - 1} AS last_id, 5::BIGINT AS specials, (SELECT count(*) FROM chars)::BIGINT AS chars_covered",
+)
+def unigram_vocab_facts(spark, folder):
+    """What holds for every trained vocabulary: its size, distinct pieces, gapless ids, and every character covered."""
+    vocab = stage(_unigram(spark, folder, _FACTS_SIZE), "vocabulary")
+    words = vocabulary.word_counts(_docs(spark, folder))
+    chars = words.select(F.explode(F.split("word", "")).alias("piece")).where("piece <> ''").distinct()
+    covered = chars.join(vocab.where(~F.col("is_special")), "piece", "left_semi").agg(F.count("*").alias("chars_covered"))
+    facts = vocab.agg(
+        F.count("*").alias("pieces"),
+        F.count_distinct("piece").alias("distinct_pieces"),
+        F.min("id").alias("first_id"),
+        F.max("id").alias("last_id"),
+        F.count_if("is_special").alias("specials"),
+    )
+    return facts.withColumn("_one", F.lit(1)).join(covered.withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
 @query("encode_unigram")
 def encode_unigram(spark, folder):
     coded = encoding.encode_documents(_docs(spark, folder), _unigram(spark, folder), model="unigram")
