@@ -32,14 +32,12 @@ THRESHOLD = 85  # per cent
 BLOCK = 1024  # classes in a part of a cluster
 BLOCK_VALUES = 1 << 20  # and shingles in it, both about
 COLUMNS = 8192
+FILTER_BITS = 1 << 24  # of the Bloom filter that goes to all tasks, whatever the input
 
 
-def _sketch_rows(key_type, with_sets: bool):
+def _sketch_rows(key_type):
     fields = [("key", key_type), ("hash", pa.int64()), ("n_shingles", pa.int64())]
-    fields += [("fp", pa.binary()), ("sketch", pa.list_(pa.int64()))]
-    if with_sets:
-        fields = [("fp", pa.binary()), ("set", pa.binary())]
-    schema = pa.schema(fields)
+    schema = pa.schema([*fields, ("fp", pa.binary()), ("sketch", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
@@ -47,29 +45,71 @@ def _sketch_rows(key_type, with_sets: bool):
             for start, stop in slices(texts):
                 sets = shingle_sets(texts.slice(start, stop - start))
                 prints = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-                if with_sets:
-                    columns = [prints, [s.tobytes() for s in sets]]
-                else:
-                    columns = [
-                        batch.column(0).slice(start, stop - start),
-                        batch.column(2).slice(start, stop - start),
-                        [len(s) for s in sets],
-                        prints,
-                        [s[:SKETCH] for s in sets],
-                    ]
+                columns = [
+                    batch.column(0).slice(start, stop - start),
+                    batch.column(2).slice(start, stop - start),
+                    [len(s) for s in sets],
+                    prints,
+                    [s[:SKETCH] for s in sets],
+                ]
                 arrays = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     return run
 
 
+def _spots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of a hash in the filter."""
+    h = h.view(np.uint64)
+    return (h % np.uint64(FILTER_BITS)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def _filter_of(hashes: DataFrame):
+    """A Bloom filter over a column ``h``, as bytes; bits are gathered as distinct places, at most FILTER_BITS / 64 words."""
+
+    def places(batches):
+        for batch in batches:
+            spots = np.unique(np.concatenate(_spots(batch.column(0).to_numpy(zero_copy_only=False))))
+            bit = np.left_shift(np.uint64(1), (spots & 63).astype(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(spots >> 6), pa.array(bit)], names=["word", "bit"])
+
+    words = hashes.mapInArrow(places, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(FILTER_BITS // 64, np.int64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return hashes.sparkSession.sparkContext.broadcast(table)
+
+
+def _set_rows(shared):
+    """Fingerprint and whole set of the rows whose hash may be wanted."""
+    schema = pa.schema([("fp", pa.binary()), ("set", pa.binary())])
+
+    def run(batches):
+        table = shared.value
+        for batch in batches:
+            one, two = _spots(batch.column(0).to_numpy(zero_copy_only=False))
+            here = [(table[x >> 6] >> (x & 63)) & 1 for x in (one, two)]
+            texts = batch.column(1).filter(pa.array((here[0] & here[1]).astype(bool)))
+            for start, stop in slices(texts):
+                sets = [s.tobytes() for s in shingle_sets(texts.slice(start, stop - start))]
+                prints = [xxhash.xxh3_128_digest(s) for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), pa.array(sets, pa.binary())], schema=schema)
+
+    return run
+
+
+def _keyed(docs: DataFrame, key: str):
+    """The key as the type it is compared in."""
+    string = docs.schema[key].dataType.simpleString() == "string"
+    return F.col(key) if string else F.col(key).cast("long")
+
+
 def sketches(docs: DataFrame, *, key="doc_id", text="text") -> DataFrame:
     """Per row: ``key``, ``hash`` of the text, ``n_shingles``, fingerprint ``fp`` of the whole set, bottom-k ``sketch``."""
     string = docs.schema[key].dataType.simpleString() == "string"
     words = F.col(text).cast("string")
-    rows = docs.select((F.col(key) if string else F.col(key).cast("long")).alias("key"), words.alias("text"), F.xxhash64(words).alias("hash"))
+    rows = docs.select(_keyed(docs, key).alias("key"), words.alias("text"), F.xxhash64(words).alias("hash"))
     out = f"key {'string' if string else 'long'}, hash long, n_shingles long, fp binary, sketch array<long>"
-    return rows.mapInArrow(_sketch_rows(pa.string() if string else pa.int64(), False), out)
+    return rows.mapInArrow(_sketch_rows(pa.string() if string else pa.int64()), out)
 
 
 def _prefix(n, threshold: int):
@@ -292,9 +332,11 @@ def _grouped(docs: DataFrame, key: str, text: str, threshold: int) -> tuple[Data
     clusters = stage(clusters, "clusters")
 
     wanted = clusters.join(classes.select("cid", "fp", "first_key"), "cid").select("cid", "fp", "first_key")
-    source = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
-    found = source.join(wanted.select("first_key").distinct(), source["_key"].eqNullSafe(F.col("first_key")), "left_semi")
-    sets = found.mapInArrow(_sketch_rows(None, True), "fp binary, set binary")
+    # Only documents whose key passes a filter of fixed size are shingled again; what it lets through
+    # beyond the wanted ones, more as the input grows, is dropped by the join on fingerprints.
+    passing = _filter_of(wanted.select(F.xxhash64("first_key").alias("h")))
+    source = docs.select(F.xxhash64(_keyed(docs, key)).alias("h"), F.col(text).cast("string").alias("_text"))
+    sets = source.mapInArrow(_set_rows(passing), "fp binary, set binary")
     sets = sets.join(wanted.select("cid", "fp"), "fp").groupBy("cid").agg(F.first("set").alias("set"))
     sets = stage(sets, "sets")
 
