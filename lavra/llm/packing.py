@@ -22,7 +22,8 @@ from lavra.session import stage
 
 SIZE = 2048
 END = 0
-_MEMO_WORDS = 300_000
+_MEMO_WORDS = 150_000
+_SLICE_BYTES = 2 << 20
 
 _encoders: dict[str, "_Encoder"] = {}
 
@@ -87,7 +88,7 @@ def _cut(key, key_type, path: str, size: int, end: int):
         encoder, part, seen = _encoders[path], TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         for batch in batches:
             texts = batch.column(1)
-            for a, b in slices(texts):
+            for a, b in slices(texts, _SLICE_BYTES):
                 ids, bounds = encoder(texts.slice(a, b - a))
                 rows = np.arange(b - a)
                 flat = np.insert(ids, bounds[1:], end).astype("<u4")
@@ -106,8 +107,8 @@ def _cut(key, key_type, path: str, size: int, end: int):
                 keys = batch.column(0).slice(a, b - a).take(pa.array(row))
                 columns = [keys, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length)]
                 columns += [data.cast(pa.binary()), pa.array(np.full(len(row), part)), pa.array(rank)]
-                for at in range(0, len(row), 4096):
-                    some = [c.slice(at, 4096) for c in columns]
+                for at in range(0, len(row), 512):
+                    some = [c.slice(at, 512) for c in columns]
                     yield pa.RecordBatch.from_arrays(some, schema=schema)
 
     return run
