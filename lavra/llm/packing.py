@@ -8,6 +8,7 @@ group is ever gathered and no text moves.
 
 from __future__ import annotations
 
+import os
 from array import array
 from bisect import bisect_right
 
@@ -22,7 +23,7 @@ from lavra.session import stage
 
 SIZE = 2048
 END = 0
-_MEMO_WORDS = 150_000
+_MEMO_WORDS = 400_000
 _SLICE_BYTES = 2 << 20
 
 _encoders: dict[str, "_Encoder"] = {}
@@ -36,6 +37,8 @@ class _Encoder:
     """
 
     def __init__(self, path: str):
+        # A task has one core; threads of the library's own would only hold memory.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.forget()
 
@@ -51,8 +54,8 @@ class _Encoder:
             self.forget()
         known = self.known
         new = [w for w in distinct if w not in known]
-        for at in range(0, len(new), 20_000):
-            block = new[at : at + 20_000]
+        for at in range(0, len(new), 4_000):
+            block = new[at : at + 4_000]
             for w, e in zip(block, self.tokenizer.encode_batch_fast(block, add_special_tokens=False)):
                 ids = e.ids
                 known[w] = len(self.sizes)
