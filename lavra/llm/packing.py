@@ -23,8 +23,8 @@ from lavra.session import stage
 
 SIZE = 2048
 END = 0
-_MEMO_WORDS = 400_000
-_SLICE_BYTES = 2 << 20
+_MEMO_WORDS = 300_000
+_SLICE_BYTES = 4 << 20
 
 _encoders: dict[str, "_Encoder"] = {}
 
