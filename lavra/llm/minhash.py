@@ -1,10 +1,11 @@
 """Near duplicates by bottom-k sketches of one hash function.
 
 Equal shingle sets form one class by a 128-bit fingerprint, so copies never meet pair by pair. A class keeps its
-``SKETCH`` smallest shingle hashes. Two classes with Jaccard similarity of at least the threshold share
-at least ``SHARED`` of them (the binomial tail at the threshold 0.85 is below 1e-8, and smaller sketches
-are whole sets, where the least overlap is exact), so they also share one of the rarest
-``SKETCH - SHARED + 1``. Only those open an inverted list: frequent passages drop out without loss.
+``SKETCH`` smallest shingle hashes. Two classes with Jaccard similarity of at least the threshold miss only so
+many of each other's sketch values: no more than shingles of their union are outside of the intersection,
+which is exact and decides for short texts, and no more than ``SKETCH`` less the ``least_shared`` of the
+threshold, but with chance under ``MISSED``. So they share one of the rarest values, one more than may be
+missed. Only those open an inverted list: frequent passages drop out without loss.
 
 In each list every class is first held against the list's hub, the class whose values are the most
 frequent. What the hubs join is one component; after that only pairs of different components are left,
@@ -27,7 +28,7 @@ from lavra.llm.words import slices
 from lavra.session import stage
 
 SKETCH = 32
-SHARED = 14
+MISSED = 1e-8  # chance that two long sets at the threshold share fewer sketch values than assumed
 THRESHOLD = 85  # per cent
 BLOCK = 1024  # classes in a part of a cluster
 BLOCK_VALUES = 1 << 20  # and shingles in it, both about
@@ -112,10 +113,28 @@ def sketches(docs: DataFrame, *, key="doc_id", text="text") -> DataFrame:
     return rows.mapInArrow(_sketch_rows(pa.string() if string else pa.int64()), out)
 
 
+def least_shared(threshold: int) -> int:
+    """How many sketch values two sets at the threshold share, but with chance under ``MISSED`` (binomial tail)."""
+    t, tail, shared = threshold / 100, 0.0, 0
+    while shared < SKETCH:
+        tail += math.comb(SKETCH, shared) * t**shared * (1 - t) ** (SKETCH - shared)
+        if tail >= MISSED:
+            break
+        shared += 1
+    return shared
+
+
 def _prefix(n, threshold: int):
-    """How many of its rarest sketch values a class must offer."""
-    least = F.ceil(n * threshold / 100)
-    return F.least(n - least + 1, F.when(n > SKETCH, F.lit(SKETCH - SHARED + 1)).otherwise(n)).cast("int")
+    """How many of its rarest sketch values a class must offer.
+
+    Where every partner's sketch is its whole set, the least overlap of whole sets counts. Else each shingle
+    of the union outside of the intersection, ``n * (100 - threshold) / threshold`` at most, may push one
+    shared value out of a sketch.
+    """
+    whole = n - F.ceil(n * threshold / 100) + 1
+    apart = F.floor(n * (100 - threshold) / threshold) + 1
+    cut = F.least(apart, F.lit(SKETCH - least_shared(threshold) + 1))
+    return F.when(n * 100 < (SKETCH + 1) * threshold, whole).otherwise(cut).cast("int")
 
 
 def inverted_lists(classes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

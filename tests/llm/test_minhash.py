@@ -1,3 +1,4 @@
+import math
 import random
 
 import duckdb
@@ -38,6 +39,29 @@ def test_near_copies_chains_and_ties(spark):
     assert _sorted(minhash.near_duplicates(frame)) == brute.components(rows)
 
 
+@pytest.mark.parametrize("threshold", [85, 80])
+def test_texts_inside_longer_texts(spark, threshold):
+    # Words of one pair only, so that a pair that is missed joins through no other text.
+    rows, n = [], 0
+    for words in range(30, 71):
+        for more in range(1, 17):
+            text = [f"p{n}w{i}" for i in range(words + more)]
+            if (words - 4) * 100 >= threshold * (words + more - 4):
+                rows += [(n, " ".join(text[:words])), (n + 1, " ".join(text))]
+                n += 2
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame, threshold=threshold).collect()}
+    want = {i: c for a in range(0, n, 2) for i, _, c, _ in brute.components(rows[a : a + 2], threshold)}
+    assert got == want and all(c == i - i % 2 for i, c in want.items())
+
+
+@pytest.mark.parametrize("threshold", [50, 80, 85, 90, 99])
+def test_shared_sketch_values_by_the_binomial_tail(threshold):
+    t = threshold / 100
+    tail = [sum(math.comb(32, i) * t**i * (1 - t) ** (32 - i) for i in range(s)) for s in range(33)]
+    assert minhash.least_shared(threshold) == max(s for s in range(33) if tail[s] < 1e-8)
+
+
 def test_large_group_of_near_copies_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 8)
     rng = random.Random(5)
