@@ -110,6 +110,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op10_warc_index")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
-    directory, archive = warc.write_archives(warc.mark_revisits(read(spark, folder, "pages")))
-    records = warc.read_records(warc.read_blocks(directory, archive), archive)
+    pages = read(spark, folder, "pages")
+    directory, archive = warc.write_archives(warc.mark_revisits(pages))
+    # All URLs are looked up, nulls by their empty key, so each capture comes through the index.
+    records = warc.read_records(warc.lookup(pages.select("url"), directory, archive), archive)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -67,6 +67,21 @@ def test_made_pages_index_and_lookup(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_query_looks_up_every_url(spark, monkeypatch, tmp_path):
+    rows, frame = _made(spark)
+    frame.select("page_id", "url", "html").write.parquet(f"{tmp_path}/pages.parquet")
+    asked, lookup = [], warc.lookup
+
+    def spied(urls, *more):
+        asked.extend(r.url for r in urls.collect())
+        return lookup(urls, *more)
+
+    monkeypatch.setattr(warc, "lookup", spied)
+    monkeypatch.setattr(warc, "BLOCK_LINES", 4)
+    assert sorted(map(tuple, queries.op10(spark, str(tmp_path)).collect()), key=repr) == _want([(i, h or "") for i, _, h in rows])
+    assert set(asked) == {u for _, u, _ in rows} and None in asked
+
+
 def test_archives_are_plain_gzip_members(spark):
     _, frame = _made(spark)
     _, folder = warc.write_archives(warc.mark_revisits(frame))
