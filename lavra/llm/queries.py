@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lavra.llm import boosting, contamination, discriminant, langid, licenses, minhash, packing, pii, secrets, statistics, warc
+from lavra.llm import boosting, contamination, discriminant, exact, langid, licenses, minhash, packing, pii, secrets, statistics, warc
 from lavra.session import stage
 from lavra.plans.registry import query
 
@@ -115,3 +115,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     # All URLs are looked up, nulls by their empty key, so each capture comes through the index.
     records = warc.read_records(warc.lookup(pages.select("url"), directory, archive), archive)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op11_exact_dedup", exact.GROUPS_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return exact.exact_groups(read(spark, folder, "documents"))
