@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lavra.llm import boosting, contamination, discriminant, exact, langid, lexical, licenses, minhash, packing, pii, secrets, statistics, warc
+from lavra.llm import boosting, contamination, conversations, discriminant, exact, langid, lexical, licenses, minhash, packing, pii, secrets, statistics, warc
 from lavra.session import stage
 from lavra.plans.registry import query
 
@@ -125,3 +125,8 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_lexical_search", lexical.BEST_SQL)
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return lexical.best_documents(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+@query("op13_conversation_repair")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.repair_report(read(spark, folder, "conversations"))
