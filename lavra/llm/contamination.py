@@ -3,8 +3,9 @@
 An item of n characters may differ in ``k = floor(n * share)`` of them. Cut into k + 1 pieces, at least
 one piece then stands in the document unchanged: an automaton over all pieces finds these, and Myers'
 bit-parallel edit distance verifies the item around each. Both sides are compared in lower case with
-each run of other characters than letters and digits as one space. Items reach the tasks in blocks of
-bounded size, one pass over the documents per block.
+each run of other characters than letters and digits as one space. Items shorter than ``LEAST_CHARS`` are
+found as they stand only, between word bounds. Items reach the tasks in blocks of bounded size, one pass
+over the documents per block.
 """
 
 from __future__ import annotations
@@ -77,12 +78,22 @@ def pieces(item: str, share: float = SHARE) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+def _bounded(text: str, start: int, stop: int) -> bool:
+    """Whether a piece of normal text stands on its own. Scripts from U+2E80 on write no spaces between words."""
+
+    def apart(at):
+        pair = text[max(at - 1, 0) : at + 1]
+        return at in (0, len(text)) or " " in pair or max(pair) >= "\u2e80"
+
+    return apart(start) and apart(stop)
+
+
 class _Search:
     def __init__(self, items: list[tuple[int, str]], share: float):
         self.items, self.share = items, share
         by_piece: dict[str, list[tuple[int, int]]] = {}
         for number, (_, text) in enumerate(items):
-            for start, piece in pieces(text, share):
+            for start, piece in pieces(text, share) if len(text) >= LEAST_CHARS else [(0, text)]:
                 by_piece.setdefault(piece, []).append((number, start))
         self.automaton = ahocorasick.Automaton()
         for piece, places in by_piece.items():
@@ -102,6 +113,11 @@ class _Search:
         for number, starts in around.items():
             item = self.items[number][1]
             n, most = len(item), int(len(item) * self.share)
+            if n < LEAST_CHARS:
+                alone = min((s for s in starts if _bounded(plain, s, s + n)), default=None)
+                if alone is not None:
+                    hits.append((number, 0, alone, alone + n))
+                continue
             exact = min((s for s in starts if s >= 0 and plain.startswith(item, s)), default=None)
             if exact is not None:
                 hits.append((number, 0, exact, exact + n))
@@ -151,7 +167,7 @@ def _blocks(items: DataFrame):
     held, size = [], 0
     for number, text in items.toLocalIterator():
         plain = normal(text)
-        if len(plain) < LEAST_CHARS:
+        if not plain:
             continue
         if held and size + len(plain) > BLOCK_CHARS:
             yield held
@@ -166,8 +182,9 @@ def contamination(
 ) -> DataFrame:
     """Add ``hits``: per item found its id, edit distance and place (code points, end exclusive) in the text.
 
-    Of several places the one with the least distance counts. Null texts have no hits; items that are
-    null or shorter than ``LEAST_CHARS`` normalised characters are no evidence and are not searched. An
+    Of several places the one with the least distance counts. Null texts have no hits, null items and those
+    without a letter or digit are not found; those shorter than ``LEAST_CHARS`` normalised characters are
+    found without edits, between word bounds. An
     equal item under two ids is found under both. Other columns pass through; one named ``hits`` is replaced.
     """
     items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item).cast("long"), F.col(item_text).cast("string"))

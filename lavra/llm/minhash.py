@@ -392,7 +392,7 @@ def keep_one(docs: DataFrame, *, key="doc_id", text="text", threshold: int = THR
     """The rows of ``docs`` with one row of each component, that with the smallest key; all columns stay.
 
     Rows of equal key go by the hash of their text, null keys last, and of repeated rows one stays. Rows
-    without shingles all stay.
+    without shingles all stay. Any column names may be there.
     """
     rows, named = _grouped(docs, key, text, threshold)
     full = rows.where("n_shingles > 0").groupBy("fp", "key", "hash").agg(F.count("*").alias("n"))
@@ -400,12 +400,16 @@ def keep_one(docs: DataFrame, *, key="doc_id", text="text", threshold: int = THR
     chosen = full.join(named.select("fp", "component"), "fp").groupBy("component").agg(F.min(order).alias("m"))
     chosen = stage(chosen.select("m.key", "m.hash", "m.n"), "kept")
     plain = rows.where("n_shingles = 0").select("key", "hash").distinct()
-    tagged = docs.withColumn("_hash", F.xxhash64(F.col(text).cast("string")))
+    # Names that ``docs`` does not have, in any case.
+    fresh = "kept"
+    while any(c.lower().startswith(fresh) for c in docs.columns):
+        fresh = f"_{fresh}"
+    tagged = docs.withColumn(f"{fresh}_here", F.xxhash64(F.col(text).cast("string")))
 
     def among(kept):
-        kept = kept.select(F.col("key").alias("_kept_key"), F.col("hash").alias("_kept_hash"))
-        same = tagged[key].eqNullSafe(kept["_kept_key"]) & (tagged["_hash"] == kept["_kept_hash"])
-        return tagged.join(kept, same, "left_semi").drop("_hash")
+        kept = kept.select(F.col("key").alias(f"{fresh}_key"), F.col("hash").alias(f"{fresh}_hash"))
+        same = tagged[key].eqNullSafe(kept[f"{fresh}_key"]) & (tagged[f"{fresh}_here"] == kept[f"{fresh}_hash"])
+        return tagged.join(kept, same, "left_semi").drop(f"{fresh}_here")
 
     out = among(chosen.where("n = 1").select("key", "hash").unionByName(plain))
     repeated = chosen.where("n > 1")

@@ -67,6 +67,16 @@ def test_items_with_edits_against_brute_force(spark):
     assert {h.item_id for r in got if r.doc_id == 502 for h in r.hits} == {3}
 
 
+def test_short_items_stand_alone(spark):
+    items = [(1, "What is the capital of Peru?"), (2, "日本の首都はどこですか"), (3, "cat"), (4, "?!"), (5, "Müller")]
+    texts = ["Q: what is the CAPITAL of Peru", "what is the capital of Perus", "それで日本の首都はどこですかと聞いた", "concatenate", "a cat.", "MÜLLER", "Müllerin ?!", ""]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = c.contamination(frame, spark.createDataFrame(items, "item_id long, text string")).orderBy("doc_id").collect()
+    assert [[(h.item_id, h.distance, r.text[h.start : h.end]) for h in r.hits] for r in got] == [
+        [(1, 0, "what is the CAPITAL of Peru")], [], [(2, 0, "日本の首都はどこですか")], [], [(3, 0, "cat")], [(5, 0, "MÜLLER")], [], [],
+    ]
+
+
 def test_blocks_and_empty_tables(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog today")], "doc_id long, text string")
     bench = spark.createDataFrame([(i, f"quick brown fox jumps over the lazy dog {i}") for i in range(4)], "item_id long, text string")

@@ -17,7 +17,7 @@ def test_run_against_stage_by_stage_brute_force(spark):
     model = langid.fit(learnable(docs))
     known = {r.doc_id: r for r in langid.identify(docs, model).where("NOT rejected").collect()}
     assert len(known) > 0.99 * docs.count()
-    kept = {i for i, _, _, first in brute.components([(i, r.text) for i, r in known.items()]) if first}
+    kept = {i for i, _, _, first in brute.components([(i, r.text) for i, r in known.items()], threshold=80) if first}
     bench = [(b.item_id, contamination.normal(b.text)) for b in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     search = contamination._Search([b for b in bench if len(b[1]) >= contamination.LEAST_CHARS], contamination.SHARE)
     kept = {i for i in kept if not search(known[i].text)}
@@ -49,6 +49,13 @@ def test_keep_one_of_repeats_nulls_and_ties(spark):
     assert minhash.keep_one(frame.limit(0)).count() == 0
 
 
+def test_keep_one_leaves_columns_of_any_name(spark):
+    rows = [(1, "one two three four five six", 4, 5, 6), (2, "one two three four five six", 7, 8, 9)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _hash int, kept_key int, _Kept_hash int")
+    out = minhash.keep_one(frame)
+    assert out.columns == frame.columns and [tuple(r) for r in out.collect()] == rows[:1]
+
+
 def test_stages_keep_the_columns_of_documents(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
