@@ -24,12 +24,12 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest id.
+    """One document of each group of near copies (80 % of five-word shingles), that with the smallest id.
 
     Of rows that repeat an id with the same text one stays, and one of near copies that have no id.
     """
     _prepare(spark)
-    return minhash.keep_one(docs).select(*docs.columns)
+    return minhash.keep_one(docs, threshold=80).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
