@@ -29,6 +29,12 @@ def edge_ends(n: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
     return starts, starts + np.arange(len(starts)) - firsts + 1
 
 
+def _spans(n: int, longest: int) -> list[tuple[int, int]]:
+    """For each start the range of its edges."""
+    stops = np.cumsum(np.minimum(longest, n - np.arange(n))).tolist()
+    return list(zip([0, *stops], stops))
+
+
 def by_length(sizes: np.ndarray):
     """Row numbers of each word length; empty words have no edges."""
     for n in np.unique(sizes):
@@ -85,13 +91,13 @@ def expected_uses(edge: np.ndarray, n: int, longest: int) -> np.ndarray:
     ahead = np.full((n + 1, edge.shape[1]), -np.inf)
     behind = ahead.copy()
     ahead[0] = behind[n] = 0.0
-    for at, (s, e) in enumerate(edges_of(n, longest)):
-        ahead[e] = np.logaddexp(ahead[e], ahead[s] + edge[at])
-    at = len(edge)
+    spans = _spans(n, longest)
+    for s, (a, b) in enumerate(spans):  # the edges of one start end at different places
+        ends = slice(s + 1, s + 1 + b - a)
+        ahead[ends] = np.logaddexp(ahead[ends], ahead[s] + edge[a:b])
     for s in range(n - 1, -1, -1):
-        for e in range(min(n, s + longest), s, -1):
-            at -= 1
-            behind[s] = np.logaddexp(behind[s], behind[e] + edge[at])
+        a, b = spans[s]
+        behind[s] = np.logaddexp.reduce(behind[s + 1 : s + 1 + b - a][::-1] + edge[a:b][::-1], axis=0)
     starts, ends = edge_ends(n, longest)
     return np.exp(ahead[starts] + edge + behind[ends] - ahead[n])
 
@@ -102,11 +108,12 @@ def best_path(edge: np.ndarray, n: int, longest: int):
     best = np.full((n + 1, words), -np.inf)
     back = np.full((n + 1, words), -1)
     best[0] = 0.0
-    for at, (s, e) in enumerate(edges_of(n, longest)):
-        score = best[s] + edge[at]
-        better = score > best[e]
-        best[e][better] = score[better]
-        back[e][better] = at
+    for s, (a, b) in enumerate(_spans(n, longest)):
+        ends = slice(s + 1, s + 1 + b - a)
+        score = best[s] + edge[a:b]
+        better = score > best[ends]
+        best[ends] = np.where(better, score, best[ends])
+        back[ends] = np.where(better, np.arange(a, b)[:, None], back[ends])
     starts, _ = edge_ends(n, longest)
     here, column, path = np.full(words, n), np.arange(words), []
     while (here > 0).any():

@@ -23,6 +23,7 @@ from lavra.functions.lattice import (
     expected_uses,
     segment,
 )
+from lavra.functions.suffixes import Best, PrefixSums, suffixes
 from lavra.functions.tokens import SPECIAL_TOKENS, UNK, VOCABULARY_SIZE
 from lavra.operators.cuts import top_rows
 from lavra.operators.encoding import UNKNOWN_PENALTY, salted_join
@@ -38,6 +39,8 @@ HEADROOM = 1.1
 MIN_USE = 0.5
 
 _LONG_WORD = 256
+# Longer words are trained on in parts of this many characters. Seeds are counted on whole words.
+TRAINED_CHARS = 4_096
 
 
 def byte_alphabet() -> set[str]:
@@ -80,18 +83,68 @@ def explode_substrings(words: DataFrame, shortest: int, longest: int, keep: list
     return short.unionByName(chars.select(*keep, pieces))
 
 
-def candidate_pieces(counts: DataFrame, *, longest: int = LONGEST_PIECE) -> DataFrame:
-    """Every substring of two or more characters with its weighted count and count x length."""
-    found = explode_substrings(counts, 2, longest, ["count"])
-    summed = found.groupBy("piece").agg(F.sum("count").alias("uses"))
-    return summed.withColumn("weight", F.col("uses") * F.length("piece"))
+def _suffix_rows(shortest: int, longest: int):
+    def cut(batches):
+        for batch in batches:
+            for block in suffixes(batch.column("word"), batch.column("count").to_numpy(), shortest, longest):
+                yield from block.to_batches()
+
+    return cut
+
+
+def _substring_totals(shortest: int, longest: int, limit: int | None):
+    names = ["piece", "uses", "edge"]
+
+    def total(batches):
+        sums, best = PrefixSums(shortest, longest), Best(limit or 0)
+
+        def rows(found):
+            for pieces, uses, edges in found:
+                if limit is None:
+                    yield pa.RecordBatch.from_arrays([pieces, pa.array(uses), pa.array(edges)], names=names)
+                    continue
+                for at in (pa.array(np.flatnonzero(edges)), pa.array(np.flatnonzero(~edges))):
+                    if not len(at):
+                        continue
+                    taken, amounts = pieces.take(at), uses[at.to_numpy()]
+                    if edges[at[0].as_py()]:
+                        yield pa.RecordBatch.from_arrays([taken, pa.array(amounts), pa.array(np.ones(len(at), bool))], names=names)
+                    else:
+                        best.add(taken, amounts)
+
+        for batch in batches:
+            if batch.num_rows:
+                yield from rows(sums(batch.column("suffix"), batch.column("uses").to_numpy()))
+        yield from rows(sums.rest())
+        if limit is not None:
+            pieces, uses = best.taken()
+            yield pa.RecordBatch.from_arrays([pieces, pa.array(uses), pa.array(np.zeros(len(uses), bool))], names=names)
+
+    return total
+
+
+def candidate_pieces(counts: DataFrame, *, longest: int = LONGEST_PIECE, limit: int | None = None) -> DataFrame:
+    """Every substring of two or more characters with its weighted count and count x length.
+
+    Words give one row per place, their suffixes cut at the longest piece. Range partitions of sorted
+    suffixes then hold each substring in one stretch, so it is added up where it lies; only what may go on
+    in a neighbouring partition, a few strings of each, is added up again. With a ``limit`` each task drops
+    what cannot be among that many largest.
+    """
+    found = counts.select("word", "count").mapInArrow(_suffix_rows(2, longest), "suffix string, uses long")
+    ordered = found.repartitionByRange("suffix").sortWithinPartitions("suffix")
+    totals = ordered.mapInArrow(_substring_totals(2, longest, limit), "piece string, uses long, edge boolean")
+    totals = stage(totals, "substrings")
+    inner = totals.where(~F.col("edge")).select("piece", "uses")
+    edges = totals.where("edge").groupBy("piece").agg(F.sum("uses").alias("uses"))
+    return inner.unionByName(edges).withColumn("weight", F.col("uses") * F.length("piece"))
 
 
 def seed_pieces(
     counts: DataFrame, *, size: int = SEED_SIZE, longest: int = LONGEST_PIECE
 ) -> DataFrame:
     """The ``size`` candidates with the largest weight, ties in piece order."""
-    candidates = candidate_pieces(counts, longest=longest)
+    candidates = candidate_pieces(counts, longest=longest, limit=size)
     return top_rows(candidates, by="weight", then="piece", n=size)
 
 
@@ -100,6 +153,21 @@ def character_counts(counts: DataFrame) -> DataFrame:
     return chars.where(F.col("piece") != "").groupBy("piece").agg(F.sum("count").alias("uses"))
 
 
+def _in_parts(counts: DataFrame) -> DataFrame:
+    """Words longer than ``TRAINED_CHARS`` in parts, so that no row of the lattice grows with its word."""
+
+    def cut(batches):
+        for batch in batches:
+            for word, count in zip(batch.column("word").to_pylist(), batch.column("count").to_pylist()):
+                parts = [word[a : a + TRAINED_CHARS] for a in range(0, len(word), TRAINED_CHARS)]
+                for at in range(0, len(parts), 256):
+                    some = parts[at : at + 256]
+                    yield pa.RecordBatch.from_pydict({"word": some, "count": [count] * len(some)})
+
+    long = F.length("word") > TRAINED_CHARS
+    return counts.where(~long).unionByName(counts.where(long).mapInArrow(cut, "word string, count long"))
+
+
 def lattice(counts: DataFrame, pieces: list[str], *, longest: int = LONGEST_PIECE) -> DataFrame:
     """Each word as its length, its count and the piece number of every substring. Narrow, stored once."""
     shared = counts.sparkSession.sparkContext.broadcast(pieces)
@@ -254,7 +322,7 @@ def train_unigram(
     scores = np.log(np.array([weights[p] for p in names], dtype=float))
     scores -= np.log(np.exp(scores).sum())
 
-    words = lattice(counts, names, longest=longest)
+    words = lattice(_in_parts(counts), names, longest=longest)
     table = counts.sparkSession.createDataFrame(
         pa.table({"word": names, "count": range(len(names))}), "word string, count long"
     )

@@ -65,7 +65,7 @@ def fertility_unigram(spark, folder):
     from lavra.operators.unigram import train_unigram
 
     docs = _docs(spark, folder)
-    vocab = train_unigram(docs, size=4_096, seed_size=32_768)
+    vocab = train_unigram(docs)
     return _rounded(reports.fertility_per_document(docs, vocab, model="unigram"), fertility=6)
 
 

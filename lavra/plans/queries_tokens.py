@@ -51,7 +51,7 @@ def word_vocabulary(spark, folder):
     return _vocab(spark, folder).where(~F.col("is_special")).select("id", "piece", "score")
 
 
-_SEEDS = 100_000
+_SEEDS = unigram.SEED_SIZE
 
 
 @query(
@@ -70,8 +70,8 @@ def unigram_seed_pieces(spark, folder):
     return seeds.select("piece", "weight")
 
 
-def _unigram(spark, folder, size=4_096):
-    return unigram.train_unigram(_docs(spark, folder), size=size, seed_size=8 * size)
+def _unigram(spark, folder):
+    return unigram.train_unigram(_docs(spark, folder))
 
 
 @query("unigram_vocab")
@@ -79,26 +79,24 @@ def unigram_vocab(spark, folder):
     return _unigram(spark, folder).select("id", "piece", F.round("score", 4).alias("score"), "is_special")
 
 
-_FACTS_SIZE = 4_096
-
-
 @query(
     "unigram_vocab_facts",
     q.with_(q.PRE, "chars AS (SELECT DISTINCT unnest(string_split(w, '')) AS c FROM (SELECT unnest(toks) AS w FROM pre))")
-    + f"SELECT {_FACTS_SIZE}::BIGINT AS pieces, {_FACTS_SIZE}::BIGINT AS distinct_pieces, 0 AS first_id, "
-    f"{_FACTS_SIZE - 1} AS last_id, 5::BIGINT AS specials, (SELECT count(*) FROM chars)::BIGINT AS chars_covered",
+    + "SELECT 0::BIGINT AS beyond_size, 0::BIGINT AS repeated, 0 AS first_id, 0::BIGINT AS gaps, 5::BIGINT AS specials, "
+    "(SELECT count(*) FROM chars)::BIGINT AS chars_covered",
 )
 def unigram_vocab_facts(spark, folder):
-    """What holds for every trained vocabulary: its size, distinct pieces, gapless ids, and every character covered."""
-    vocab = stage(_unigram(spark, folder, _FACTS_SIZE), "vocabulary")
+    """What holds for every trained vocabulary: its size at most, distinct pieces, gapless ids, and every character covered."""
+    vocab = stage(_unigram(spark, folder), "vocabulary")
     words = vocabulary.word_counts(_docs(spark, folder))
     chars = words.select(F.explode(F.split("word", "")).alias("piece")).where("piece <> ''").distinct()
     covered = chars.join(vocab.where(~F.col("is_special")), "piece", "left_semi").agg(F.count("*").alias("chars_covered"))
+    n = F.count("*")
     facts = vocab.agg(
-        F.count("*").alias("pieces"),
-        F.count_distinct("piece").alias("distinct_pieces"),
+        F.greatest(n - VOCABULARY_SIZE, F.lit(0).cast("long")).alias("beyond_size"),
+        (n - F.count_distinct("piece")).alias("repeated"),
         F.min("id").alias("first_id"),
-        F.max("id").alias("last_id"),
+        (F.max("id").cast("long") + 1 - n).alias("gaps"),
         F.count_if("is_special").alias("specials"),
     )
     return facts.withColumn("_one", F.lit(1)).join(covered.withColumn("_one", F.lit(1)), "_one").drop("_one")

@@ -1,11 +1,12 @@
 import itertools
+import random
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lavra.functions import lattice, tokens as tk
+from lavra.functions import lattice, suffixes, tokens as tk
 from lavra.operators import encoding, tasks, unigram, vocabulary
 from conftest import SMALL
 from lavra.sources.corpora import table
@@ -215,18 +216,50 @@ def test_batches(spark):
         assert r["labels"] == [7] * own + [-100] * (max(mates) - own)
 
 
-def test_long_words_are_cut_like_short_ones(spark, monkeypatch):
-    words = ["abcab" * 3, "ab", "a", "cabbage" * 2]
-    counts = spark.createDataFrame([(w, i + 1) for i, w in enumerate(words)], "word string, count long")
-    want = sorted(map(tuple, unigram.candidate_pieces(counts, longest=4).collect()))
-    monkeypatch.setattr(unigram, "_LONG_WORD", 3)
-    assert sorted(map(tuple, unigram.candidate_pieces(counts, longest=4).collect())) == want
-    brute = {}
-    for i, w in enumerate(words):
+def _substrings(words, longest):
+    found = {}
+    for w, n in words:
         for s in range(len(w)):
-            for e in range(s + 2, min(len(w), s + 4) + 1):
-                brute[w[s:e]] = brute.get(w[s:e], 0) + i + 1
-    assert want == sorted((p, n, n * len(p)) for p, n in brute.items())
+            for e in range(s + 2, min(len(w), s + longest) + 1):
+                found[w[s:e]] = found.get(w[s:e], 0) + n
+    return sorted((p, n, n * len(p)) for p, n in found.items())
+
+
+@pytest.mark.parametrize("block, parts", [(1 << 16, 1), (7, 9)])
+def test_substring_totals_against_brute_force(spark, monkeypatch, block, parts):
+    rng = random.Random(block)
+    words = {"".join(rng.choices("abé日", k=rng.randrange(9))) for _ in range(300)} | {"abcab" * 30, "a", "", "a\0b\0", "ab\0", "cabbage" * 2}
+    rows = [(w, rng.randrange(1, 9)) for w in sorted(words)]
+    monkeypatch.setattr(suffixes, "BLOCK", block)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        counts = spark.createDataFrame(rows, "word string, count long").repartition(3)
+        assert sorted(map(tuple, unigram.candidate_pieces(counts, longest=4).collect())) == _substrings(rows, 4)
+        best = sorted(_substrings(rows, 16), key=lambda r: (-r[2], r[0]))[:40]
+        assert [tuple(r) for r in unigram.seed_pieces(counts, size=40).orderBy(F.desc("weight"), "piece").collect()] == best
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_best_of_many_batches_keeps_ties():
+    best = suffixes.Best(3)
+    for start in range(0, 300_000, 1000):
+        best.add(pa.array([f"{start + i:06d}" for i in range(1000)]), np.arange(start, start + 1000) // 2)
+    assert best.taken()[1].tolist() == [149_998, 149_998, 149_999, 149_999][-4:]
+
+
+def test_word_of_ten_million_characters(spark):
+    counts = spark.range(1).selectExpr("repeat('abcdefghij', 1000000) AS word", "2L AS count")
+    seeds = unigram.seed_pieces(counts, size=20).orderBy(F.desc("weight"), "piece").collect()
+    assert seeds[0]["piece"] == "abcdefghijabcdef" and seeds[0]["uses"] == 2 * 999_999
+    parts = unigram._in_parts(counts).agg(F.max(F.length("word")), F.sum(F.length("word"))).first()
+    assert tuple(parts) == (unigram.TRAINED_CHARS, 10_000_000)
+    stored = unigram.lattice(unigram._in_parts(counts), ["a", "ab", "cdef"])
+    assert stored.agg(F.max(F.size("edges"))).first()[0] < 16 * unigram.TRAINED_CHARS + 1
 
 
 def test_long_words_in_the_lattice(monkeypatch):
