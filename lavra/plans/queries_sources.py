@@ -9,7 +9,7 @@ from lavra.plans import fixtures as fx, sql as q
 from lavra.plans.inputs import table
 from lavra.plans.registry import query
 from lavra.session import new_scratch, spread
-from lavra.sources import corpora, metric_logs, storage
+from lavra.sources import corpora, event_logs, metric_logs, storage
 
 def _digest():
     return F.md5(F.col("text").cast("binary")).alias("text_md5")
@@ -287,3 +287,35 @@ def metric_tags(spark, folder):
 def latest_run(spark, folder):
     newest = metric_logs.latest_run(fx.metric_log(spark, folder))
     return newest.select("parent", "run_id", "tag", "step", "value")
+
+
+def _event_logs(spark, folder):
+    """The metric log written as event-log files, one per run, and read back."""
+    path = new_scratch(spark, "event-logs")
+    event_logs.write_event_logs(fx.metric_log(spark, folder), path)
+    return event_logs.scan_event_logs(spark, path)
+
+
+_STORED_LOG = fx.METRIC_LOG + ", stored AS (SELECT parent, run_id, run_ts, tag, step, value::FLOAT::DOUBLE AS value FROM metric_log WHERE value IS NOT NULL)"
+
+
+@query("scan_event_logs", f"WITH {_STORED_LOG} SELECT parent, run_id, epoch_us(run_ts)::BIGINT AS wall_us, tag, step, value FROM stored")
+def scan_event_logs(spark, folder):
+    rows = _event_logs(spark, folder)
+    return rows.select("parent", "run_id", F.unix_micros("run_ts").alias("wall_us"), "tag", "step", "value")
+
+
+@query("event_log_tags", f"WITH {_STORED_LOG} SELECT DISTINCT tag FROM stored")
+def event_log_tags(spark, folder):
+    return metric_logs.metric_tags(_event_logs(spark, folder))
+
+
+@query(
+    "event_log_latest_run",
+    f"WITH {_STORED_LOG} SELECT parent, run_id, tag, step, value FROM stored WHERE (parent, run_id) IN ("
+    "SELECT parent, run_id FROM (SELECT parent, run_id, row_number() OVER "
+    "(PARTITION BY parent ORDER BY run_ts DESC, run_id DESC) AS r FROM stored) WHERE r = 1)",
+)
+def event_log_latest_run(spark, folder):
+    newest = metric_logs.latest_run(_event_logs(spark, folder))
+    return newest.select("parent", "run_id", "tag", "step", "value")
