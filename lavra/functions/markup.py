@@ -123,6 +123,23 @@ def compose_each(column) -> Column:
     return _only_where(needs, texts, _compose_each)
 
 
+def _normal_form(form: str):
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def apply(texts: pa.Array) -> pa.Array:
+        strings = (None if t is None else unicodedata.normalize(form, t) for t in texts.flatten().to_pylist())
+        return relist(texts, pa.array(strings, pa.string()))
+
+    return apply
+
+
+def normal_form_each(column, form: str) -> Column:
+    """Any of the four Unicode normal forms of every string in an array. ASCII is left as it is."""
+    if form == "NFC":
+        return compose_each(column)
+    texts = _col(column)
+    return _only_where(F.array_join(texts, "").rlike(r"[^\x00-\x7f]"), texts, _normal_form(form))
+
+
 def clean_text(column) -> Column:
     """Markup out, broken encoding repaired, composed."""
     return compose(repair_text(strip_markup(column)))

@@ -67,34 +67,45 @@ def _names(pieces) -> pa.Array:
     return pa.array([p for p, _ in pieces])
 
 
-def word_encoder(vocab: DataFrame, pieces=None):
-    """Column function: array of words to array of ids, unknown words to ``[UNK]``."""
+def word_encoder(vocab: DataFrame, pieces=None, *, unknown: int = UNK, specials=None):
+    """Column function: array of words to array of ids, unknown words to ``[UNK]``.
+
+    ``specials`` is there for the sake of the other encoder: special tokens are words like others here.
+    """
     shared = _send(vocab, pieces)
 
     @F.arrow_udf("array<int>")
     def encode(tokens: pa.Array) -> pa.Array:
         known = _once_per_worker(shared, _names)
-        ids = pc.fill_null(pc.index_in(tokens.flatten(), value_set=known), UNK)
+        ids = pc.fill_null(pc.index_in(tokens.flatten(), value_set=known), unknown)
         return relist(tokens, ids)
 
     return encode
 
 
-def unigram_encoder(vocab: DataFrame, pieces=None, *, per_token: bool = False):
+# Distinct words of a batch that are segmented at once.
+_SEGMENT_WORDS = 20_000
+
+
+def unigram_encoder(vocab: DataFrame, pieces=None, *, per_token: bool = False, unknown: int = UNK, specials: dict[str, int] | None = None):
     """Column function: array of words to array of ids by best segmentation.
 
     With ``per_token`` the ids of each word stay together in an inner array. A run of characters
-    without a piece becomes one ``[UNK]``.
+    without a piece becomes one ``[UNK]``. With ``specials``, their ids by name, a word that is one of them
+    gets its id, and they may be pieces of other words as well; without, the first rows of the vocabulary
+    are special tokens that no word holds.
     """
     shared = _send(vocab, pieces)
+    whole = {name: [i] for name, i in (specials or {}).items()}
 
     def build(rows):
         known = _names(rows)
         scores = np.array([s for _, s in rows], dtype=float)
-        scores[: len(SPECIAL_TOKENS)] = -np.inf
-        plain = scores[len(SPECIAL_TOKENS) :]
-        unknown = (plain.min() if len(plain) else 0.0) - UNKNOWN_PENALTY
-        return known, scores, max(len(p) for p, _ in rows), unknown, {}
+        first = len(SPECIAL_TOKENS) if specials is None else 0
+        scores[:first] = -np.inf
+        plain = scores[first:]
+        lowest = (plain.min() if len(plain) else 0.0) - UNKNOWN_PENALTY
+        return known, scores, max(len(p) for p, _ in rows), lowest, dict(whole)
 
     @F.arrow_udf("array<array<int>>" if per_token else "array<int>")
     def encode(tokens: pa.Array) -> pa.Array:
@@ -103,10 +114,12 @@ def unigram_encoder(vocab: DataFrame, pieces=None, *, per_token: bool = False):
         words = coded.dictionary.to_pylist()
         if len(memo) > _MEMO_WORDS:
             memo.clear()
+            memo.update(whole)
         new = [w for w in words if w not in memo]
-        if new:
-            found = segment(pa.array(new, pa.string()), *model)
-            memo.update((w, [UNK if p < 0 else p for p in ps]) for w, ps in zip(new, found))
+        for at in range(0, len(new), _SEGMENT_WORDS):
+            some = new[at : at + _SEGMENT_WORDS]
+            found = segment(pa.array(some, pa.string()), *model)
+            memo.update((w, [unknown if p < 0 else p for p in ps]) for w, ps in zip(some, found))
         by_word = pa.array([memo[w] for w in words], pa.list_(pa.int32()))
         each = by_word.take(coded.indices)
         if per_token:

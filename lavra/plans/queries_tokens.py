@@ -11,7 +11,7 @@ from lavra.plans import fixtures as fx, sql as q
 from lavra.plans.inputs import table
 from lavra.plans.registry import ORACLES, query
 from lavra.session import as_text, fence, new_scratch, stage
-from lavra.sources import storage
+from lavra.sources import storage, tokenizer_files
 
 _LENGTH = 512
 
@@ -268,6 +268,33 @@ def vocab_roundtrip(spark, folder):
     return stored.select("id", "piece", "is_special")
 
 
+def _tokenizer_file(spark, folder):
+    """The word-level vocabulary written as a tokenizer file and read again."""
+    path = new_scratch(spark, "tokenizer")
+    tokenizer_files.save_tokenizer(_vocab(spark, folder), path, model="word", max_length=_LENGTH)
+    return tokenizer_files.load_tokenizer(spark, path)
+
+
+@query(
+    "tokenizer_file_vocab",
+    q.with_(q.PRE, q.vocab())
+    + "SELECT id, piece, false AS is_special FROM vocab UNION ALL SELECT * FROM (VALUES (0, '[PAD]', true), "
+    "(1, '[UNK]', true), (2, '[CLS]', true), (3, '[SEP]', true), (4, '[MASK]', true))",
+)
+def tokenizer_file_vocab(spark, folder):
+    return _tokenizer_file(spark, folder).vocab.select("id", "piece", "is_special")
+
+
+@query(
+    "tokenizer_file_encode",
+    q.with_(q.ENC) + f"SELECT doc_id, len(ids)::BIGINT AS n_ids, {q.joined('ids')} AS ids FROM enc",
+)
+def tokenizer_file_encode(spark, folder):
+    """The ids of all texts by the parts of a tokenizer file."""
+    coded = _tokenizer_file(spark, folder).encode(_docs(spark, folder))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), as_text("ids").alias("ids"))
+
+
 _TAGGED_ENC = q.with_(
     q.PRE,
     q.vocab(),
