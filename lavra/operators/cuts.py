@@ -7,9 +7,12 @@ cut, give the key of the last wanted row. Taking the rows is then a plain filter
 from __future__ import annotations
 
 import math
+import struct
+from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from lavra.operators.skew import may_hold
 from lavra.session import stage
 
 _BUCKETS = 4096
@@ -101,13 +104,100 @@ def shuffled_fraction(
 
 
 def ordered_cutoff(df: DataFrame, key: str, share, *, descending: bool = False):
-    """Key of the last of the first rows in key order, for an integer key; with the rows before it.
+    """Key of the last of the first rows in key order, with the rows before it.
 
-    Returns ``(cutoff, rows strictly before the cutoff, wanted rows)``, with no number of rows before when
-    all rows are wanted, or None when none is.
-    The value range is cut into 4096 parts, then the part with the cut again, until it is one value.
+    The key may be an integer, text or bytes (in byte order), a date, a timestamp, a float or double (NaN
+    last) or a decimal of up to 18 digits. Nulls are left out. Returns ``(cutoff, rows strictly before the
+    cutoff, wanted rows)``, with no number of rows before when all rows are wanted, or None when none is.
     """
-    keys = df.select(F.col(key).cast("long").alias("k")).where(F.col("k").isNotNull())
+    column, kind = F.col(key), df.select(key).schema[0].dataType
+    known = df.where(column.isNotNull())
+    if isinstance(kind, T.IntegralType):
+        return _integer_cutoff(known.select(column.cast("long").alias("k")), share, descending)
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        cut = _byte_cutoff(known.select(column.cast("binary").alias("k")), share, descending)
+        return cut if cut is None or isinstance(kind, T.BinaryType) else (cut[0].decode(), *cut[1:])
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return _float_cutoff(known.select(column.cast("double").alias("k")), share, descending)
+    if isinstance(kind, T.DateType):
+        whole, back = F.unix_date(column).cast("long"), lambda n: F.date_from_unix_date(F.lit(n).cast("int"))
+    elif isinstance(kind, T.TimestampType):
+        whole, back = F.unix_micros(column), lambda n: F.timestamp_micros(F.lit(n))
+    elif isinstance(kind, T.DecimalType) and kind.precision <= 18:
+        whole, back = (column * F.lit(10**kind.scale)).cast("long"), lambda n: F.lit(Decimal(n).scaleb(-kind.scale))
+    else:
+        raise TypeError(f"no order cut on a key of type {kind.simpleString()}")
+    cut = _integer_cutoff(known.select(whole.alias("k")), share, descending)
+    return cut if cut is None else (back(cut[0]), *cut[1:])
+
+
+def _walk(counts, before: int, wanted: int):
+    """The part in which the last wanted row lies, and the rows before that part."""
+    for part, n in counts:
+        if before + n >= wanted:
+            break
+        before += n
+    return part, before
+
+
+def _byte_cutoff(keys: DataFrame, share, descending: bool):
+    """Cut on byte strings: what all keys left share is passed over, then two bytes at a time are counted."""
+    total = keys.count()
+    wanted = min(share(total), total)
+    if wanted <= 0:
+        return None
+    before = 0
+    while True:
+        low, high = (bytes(x) for x in keys.agg(F.min("k"), F.max("k")).first())
+        if low == high or wanted == total:
+            return (low if descending else high), (None if wanted == total else before), wanted
+        same = next((i for i, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))
+        counts = [(bytes(r["b"]), r["count"]) for r in keys.groupBy(F.substring("k", same + 1, 2).alias("b")).count().collect()]
+        part, before = _walk(sorted(counts, reverse=descending), before, wanted)
+        keys = keys.where(F.substring("k", 1, same + 2) == F.lit(low[:same] + part))
+
+
+def _order(x: float) -> int:
+    """An integer that orders doubles; both zeros are 0."""
+    (bits,) = struct.unpack("<q", struct.pack("<d", abs(x)))
+    return -bits if x < 0 else bits
+
+
+def _double(order: int) -> float:
+    (x,) = struct.unpack("<d", struct.pack("<q", abs(order)))
+    return -x if order < 0 else x
+
+
+_EDGES = 64
+
+
+def _float_cutoff(keys: DataFrame, share, descending: bool):
+    """Cut on doubles: the range is halved by edges that have as many doubles between them."""
+    nan, total = keys.agg(F.count_if(F.isnan("k")), F.count("*")).first()
+    wanted = min(share(total), total)
+    if wanted <= 0:
+        return None
+    if nan and (wanted <= nan if descending else wanted > total - nan):
+        return float("nan"), (None if wanted == total else 0 if descending else total - nan), wanted
+    keys, before = keys.where(~F.isnan("k")), nan if descending else 0
+    while True:
+        low, high = keys.agg(F.min("k"), F.max("k")).first()
+        if low == high or wanted == total:
+            return (low if descending else high) + 0.0, (None if wanted == total else before), wanted
+        first, last = _order(low), _order(high)
+        edges = [_double(first + (last - first) * i // _EDGES) for i in range(1, _EDGES)] + [high]
+        edges = sorted({e for e in edges if e > low})
+        bucket = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("k")))
+        counts = [(r["b"], r["count"]) for r in keys.groupBy(bucket.alias("b")).count().collect()]
+        part, before = _walk(sorted(counts, reverse=descending), before, wanted)
+        if part:
+            keys = keys.where(F.col("k") >= edges[part - 1])
+        if part < len(edges):
+            keys = keys.where(F.col("k") < edges[part])
+
+
+def _integer_cutoff(keys: DataFrame, share, descending: bool):
+    """Cut on longs: the value range is cut into 4096 parts, then the part with the cut again, until it is one value."""
     low, high, total = keys.agg(F.min("k"), F.max("k"), F.count("*")).first()
     wanted = min(share(total), total)
     if wanted <= 0:
@@ -144,7 +234,10 @@ def ordered_cutoff(df: DataFrame, key: str, share, *, descending: bool = False):
 
 
 def head_percent(df: DataFrame, *, key: str = "doc_id", percent: float, rounding="closest") -> DataFrame:
-    """The first ``percent`` of the rows in key order. The result is a filter that reaches the scan."""
+    """The first ``percent`` of the rows in key order. The result is a filter that reaches the scan.
+
+    Keys may be of any type that ``ordered_cutoff`` takes. Rows that share the last key all come.
+    """
     take = (lambda n: math.floor(n * percent / 100 + 0.5)) if rounding == "closest" else (
         lambda n: math.floor(n * percent / 100)
     )
@@ -153,11 +246,11 @@ def head_percent(df: DataFrame, *, key: str = "doc_id", percent: float, rounding
 
 
 def top_rows(df: DataFrame, *, by: str, then: str, n: int) -> DataFrame:
-    """The ``n`` rows with the largest integer ``by``, ties by ascending ``then``.
+    """The ``n`` rows with the largest ``by``, ties by ascending ``then``, nulls first.
 
     While the best rows of all tasks together fit one task, Spark's own top-k does it in one pass.
-    Beyond that ``df`` is stored, its cutoff found, and all rows above it are taken by filter; only ties
-    on the cutoff itself are ordered.
+    Beyond that ``df`` is stored, its cutoff found, and all rows above it are taken by filter; of the rows
+    on the cutoff the first are found by a cutoff of ``then``. Only rows equal in both are limited.
     """
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if tasks * n <= ONE_TASK_ROWS:
@@ -171,9 +264,16 @@ def top_rows(df: DataFrame, *, by: str, then: str, n: int) -> DataFrame:
         return df
     above = df.where(F.col(by) > cutoff)
     ties = df.where(F.col(by) == cutoff)
-    if ties.count() == wanted - before:
+    left = wanted - before
+    if ties.count() == left:
         return df.where(F.col(by) >= cutoff)
-    return above.unionByName(ties.orderBy(then).limit(wanted - before))
+    unset = ties.where(F.col(then).isNull())
+    unset_rows = unset.count()
+    if unset_rows >= left:
+        return above.unionByName(unset.limit(left))
+    last, earlier, _ = ordered_cutoff(ties, then, lambda _: left - unset_rows)
+    equal = ties.where(F.col(then) == last).limit(left - unset_rows - (earlier or 0))
+    return above.unionByName(ties.where(F.col(then).isNull() | (F.col(then) < last))).unionByName(equal)
 
 
 def _numbered(df: DataFrame, columns: list[str], order: list, out: str) -> tuple[DataFrame, int]:
@@ -211,7 +311,7 @@ def every_kth(df: DataFrame, *, key: str = "doc_id", ratio: float) -> DataFrame:
 
     Only keys are sorted and numbered; the rows come back through a semi-join on the chosen keys. Their
     number is known beforehand: few are sent to every task, so the rows stay where they are; many meet
-    the rows in a shuffle.
+    the rows in a shuffle, after a Bloom filter of them has left out nearly all rows that are not chosen.
     """
     if not 0 < ratio < 1:
         return df
@@ -219,5 +319,5 @@ def every_kth(df: DataFrame, *, key: str = "doc_id", ratio: float) -> DataFrame:
     numbered, total = _numbered(df, [key], [key], "row_no")
     chosen = numbered.where(F.col("row_no") % step == 0).select(key)
     if total // step <= BROADCAST_KEYS:
-        chosen = F.broadcast(chosen)
-    return df.join(chosen, key, "left_semi")
+        return df.join(F.broadcast(chosen), key, "left_semi")
+    return may_hold(df, chosen, key, total // step).join(chosen, key, "left_semi")

@@ -26,11 +26,11 @@ from lavra.functions.tokens import (
     template_single,
     truncate,
 )
+from lavra.operators.skew import heavy_join
 from lavra.operators.vocabulary import BROADCAST_PIECES, with_tokens
 from lavra.session import fence, stage
 
 _MEMO_WORDS = 500_000
-_SALTS = 32
 # Fixed value: how far an unknown character scores below the worst piece.
 UNKNOWN_PENALTY = 10.0
 
@@ -142,18 +142,6 @@ def piece_lookup(vocab: DataFrame):
     return look_up
 
 
-def salted_join(many: DataFrame, table: DataFrame, on: str, spread_by: Column, how: str) -> DataFrame:
-    """Join on a key that a large part of ``many`` may share, such as the commonest word.
-
-    Each row draws a salt from its own identity and the table is repeated once per salt, so the rows of
-    one key spread over as many tasks.
-    """
-    salt = F.pmod(spread_by, F.lit(_SALTS)).cast("int")
-    copies = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
-    salted = table.select("*", copies.alias("_salt"))
-    return many.withColumn("_salt", salt).join(salted, [on, "_salt"], how).drop("_salt")
-
-
 def encode_by_join(
     tokenized: DataFrame, word_ids: DataFrame, *, tokens="tokens", out="ids"
 ) -> DataFrame:
@@ -166,7 +154,7 @@ def encode_by_join(
     rows = stage(tokenized.withColumn("_row", F.monotonically_increasing_id()), "tokens")
     exploded = rows.select("_row", F.posexplode(tokens).alias("_pos", "word"))
     table = word_ids.select("word", F.col("ids").alias("_ids"))
-    found = salted_join(exploded, table, "word", F.xxhash64("_row", "_pos"), "left")
+    found = heavy_join(exploded, table, "word", "left")
     pieces = F.struct("_pos", F.coalesce("_ids", F.array(F.lit(UNK))).alias("_ids"))
     lists = found.groupBy("_row").agg(F.sort_array(F.collect_list(pieces)).alias("_all"))
     lists = lists.select("_row", F.flatten(F.transform("_all", lambda x: x["_ids"])).alias(out))
@@ -222,7 +210,7 @@ def with_pieces(
     numbered = stage(rows.withColumn("_row", F.monotonically_increasing_id()), "ids")
     each = numbered.select("_row", F.posexplode(ids).alias("_pos", "_id"))
     table = vocab.select(F.col("id").alias("_id"), "piece")
-    found = salted_join(each, table, "_id", F.xxhash64("_row", "_pos"), "left")
+    found = heavy_join(each, table, "_id", "left")
     lists = found.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_pos", "piece"))).alias("_all"))
     lists = lists.select("_row", F.col("_all.piece").alias(out))
     joined = numbered.join(lists, "_row", "left").drop("_row")

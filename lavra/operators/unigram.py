@@ -26,7 +26,8 @@ from lavra.functions.lattice import (
 from lavra.functions.suffixes import Best, PrefixSums, suffixes
 from lavra.functions.tokens import SPECIAL_TOKENS, UNK, VOCABULARY_SIZE
 from lavra.operators.cuts import top_rows
-from lavra.operators.encoding import UNKNOWN_PENALTY, salted_join
+from lavra.operators.encoding import UNKNOWN_PENALTY
+from lavra.operators.skew import heavy_join
 from lavra.operators.vocabulary import numbered, word_counts
 from lavra.session import fence, spread, stage
 
@@ -363,7 +364,7 @@ def segment_words_by_join(words: DataFrame, vocab: DataFrame) -> DataFrame:
     longest, lowest = plain.agg(F.max(F.length("piece")), F.min("score")).first()
     edges = explode_substrings(words, 1, longest, ["word"])
     table = plain.select("piece", "id", "score")
-    found = salted_join(edges, table, "piece", F.xxhash64("word"), "inner")
+    found = heavy_join(edges, table, "piece", "inner")
     each = found.groupBy("word").agg(F.collect_list(F.struct("piece", "id", "score")).alias("edges"))
 
     def ids_of(batches):

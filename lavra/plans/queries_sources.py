@@ -87,6 +87,18 @@ def head_percent(spark, folder):
     return cuts.head_percent(table(spark, folder, "documents"), percent=5).select("doc_id", _digest())
 
 
+@query(
+    "head_percent_text_key",
+    "SELECT k AS place, md5(text) AS text_md5 FROM (SELECT source || '/' || md5(text) || '/' || doc_id AS k, text FROM documents) "
+    "QUALIFY row_number() OVER (ORDER BY k) <= floor(count(*) OVER () * 0.05 + 0.5)",
+)
+def head_percent_text_key(spark, folder):
+    """The head of the corpus in the order of a text key."""
+    docs = table(spark, folder, "documents")
+    place = F.concat_ws("/", "source", F.md5(F.col("text").cast("binary")), F.col("doc_id").cast("string"))
+    return cuts.head_percent(docs.withColumn("place", place), key="place", percent=5).select("place", _digest())
+
+
 @query("scan_jsonl", "SELECT doc_id, lang, source, md5(text) AS text_md5 FROM documents")
 def scan_jsonl(spark, folder):
     path = new_scratch(spark, "jsonl")

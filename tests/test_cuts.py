@@ -1,6 +1,8 @@
+import datetime
 import hashlib
 import math
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,3 +122,65 @@ def test_cut_over_the_whole_range_of_a_long(spark):
     for n in range(1, 9):
         assert cuts.ordered_cutoff(rows, "doc_id", lambda _, n=n: n)[0] == keys[n - 1]
         assert cuts.ordered_cutoff(rows, "doc_id", lambda _, n=n: n, descending=True)[0] == keys[-n]
+
+
+def _ordered(values, descending=False):
+    return sorted(values, key=lambda v: (v != v, v), reverse=descending)
+
+
+@pytest.mark.parametrize("kind", ["string", "binary", "double", "float", "date", "timestamp", "decimal(12,3)"])
+@pytest.mark.parametrize("descending", [False, True])
+def test_cutoff_on_any_ordered_key(spark, kind, descending):
+    rng = random.Random(kind)
+    if kind in ("string", "binary"):
+        keys = ["https://www." + "".join(rng.choices("ab/é日", k=rng.randrange(6))) for _ in range(150)] + ["", "z", "https", "é", "\U0001f600"]
+        keys = [k.encode() for k in keys] if kind == "binary" else sorted(keys, key=str.encode)
+    elif kind in ("double", "float"):
+        keys = [rng.choice([0.0, -0.0, 1.5, -2.25, rng.randrange(-4, 4) * 2.0 ** rng.randrange(-100, 100)]) for _ in range(150)]
+        keys += [float("inf"), -float("inf"), float("nan"), float("nan"), 5e-324 if kind == "double" else 2.0**-149]
+    elif kind == "date":
+        keys = [datetime.date(1960, 1, 1) + datetime.timedelta(rng.randrange(40_000)) for _ in range(150)]
+    elif kind == "timestamp":
+        keys = [datetime.datetime(1969, 1, 1) + datetime.timedelta(microseconds=rng.randrange(10**16)) for _ in range(150)]
+    else:
+        keys = [Decimal(rng.randrange(-10**11, 10**11)).scaleb(-3) for _ in range(150)]
+    df = spark.createDataFrame([(k,) for k in rng.sample(keys, len(keys))] + [(None,)], f"doc_id {kind}")
+    ranked = sorted(keys, key=str.encode, reverse=descending) if kind == "string" else _ordered(keys, descending)
+    for n in (1, 60, len(keys) - 3, len(keys) - 1, len(keys)):
+        cutoff, before, wanted = cuts.ordered_cutoff(df, "doc_id", lambda _, n=n: n, descending=descending)
+        inside = F.col("doc_id") >= cutoff if descending else F.col("doc_id") <= cutoff
+        got = [r["doc_id"] for r in df.where(inside).collect()]
+        got = sorted(got, key=str.encode, reverse=descending) if kind == "string" else _ordered(got, descending)
+        last = ranked[n - 1]
+        upto = max(i for i, k in enumerate(ranked) if k == last or (k != k and last != last)) + 1
+        assert repr([abs(x) if x == 0 else x for x in got] if kind in ("double", "float") else got) == repr(
+            [abs(x) if x == 0 else x for x in ranked[:upto]] if kind in ("double", "float") else ranked[:upto]
+        )
+        assert wanted == n and before in (None, next(i for i, k in enumerate(ranked) if k == last or (k != k and last != last)))
+
+
+def test_head_of_a_text_key_and_of_no_rows(spark):
+    df = spark.range(1000).select(F.concat(F.lit("key/"), F.hex("id")).alias("doc_id"))
+    want = sorted(f"key/{i:X}" for i in range(1000))[:50]
+    assert sorted(r[0] for r in cuts.head_percent(df, percent=5).collect()) == want
+    assert cuts.head_percent(df.limit(0), percent=5).count() == 0
+    with pytest.raises(TypeError, match="array"):
+        cuts.head_percent(spark.range(3).select(F.array("id").alias("doc_id")), percent=50)
+
+
+def test_wide_ties_are_cut_without_ordering_them(spark):
+    # Ten million rows tie; a third of a million of them are wanted.
+    df = spark.range(10_000_000).select(F.col("id").cast("string").alias("word"), F.when(F.col("id") < 5, 2).otherwise(1).alias("count"))
+    top = cuts.top_rows(df, by="count", then="word", n=600_000)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "TakeOrdered" not in plan
+    assert top.count() == 600_000 and top.where("count = 2").count() == 5
+    assert top.where("count = 1").agg(F.max("word")).first()[0] == sorted(str(i) for i in range(5, 10_000_000))[599_994]
+
+
+def test_ties_in_both_columns_and_nulls(spark, monkeypatch):
+    monkeypatch.setattr(cuts, "ONE_TASK_ROWS", 0)
+    rows = [("a", 1)] * 5 + [(None, 1)] * 3 + [("b", 1)] + [("c", 2)]
+    df = spark.createDataFrame(rows, "word string, count long")
+    for n, want in ((1, [("c", 2)]), (3, [("c", 2)] + [(None, 1)] * 2), (6, [("c", 2)] + [(None, 1)] * 3 + [("a", 1)] * 2), (10, rows)):
+        assert sorted(map(tuple, cuts.top_rows(df, by="count", then="word", n=n).collect()), key=repr) == sorted(want, key=repr)

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lavra.operators import cuts, encoding, measures, scores, series, tasks, vocabulary
+from lavra.operators import cuts, encoding, measures, scores, series, skew, tasks, vocabulary
 from lavra.sources import metric_logs
 
 
@@ -21,16 +21,45 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_hot_words_are_salted_and_whole(copies):
+def test_hot_words_stay_where_they_are_and_whole(copies):
     texts = copies.select("doc_id", "text")
     vocab = vocabulary.word_vocabulary(texts)
     tokens = vocabulary.with_tokens(texts)
     joined = encoding.encode_tokens(tokens, vocab, limit=0)
-    assert "_salt" in _plan(joined)
     same = encoding.encode_tokens(tokens, vocab)
     assert sorted(joined.collect()) == sorted(same.collect())
 
 
+def test_heavy_keys_are_not_shuffled(spark):
+    rows = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 0, None).otherwise(F.concat(F.lit("w"), F.col("id"))).alias("word"), "id")
+    table = spark.range(20_000).select(F.concat(F.lit("w"), F.col("id")).alias("word"), F.col("id").alias("n")).unionByName(spark.sql("SELECT 'hot' AS word, -1L AS n"))
+    assert skew.heavy_keys(rows, "word") == ["hot"]
+    for how in ("left", "inner"):
+        want = sorted(map(tuple, rows.join(table, "word", how).collect()), key=repr)
+        for heavy in (skew.HEAVY_KEYS, 1):  # at 1 no key is heavy
+            skew.HEAVY_KEYS, kept = heavy, skew.HEAVY_KEYS
+            try:
+                out = skew.heavy_join(rows, table, "word", how)
+                assert sorted(map(tuple, out.collect()), key=repr) == want
+            finally:
+                skew.HEAVY_KEYS = kept
+    # What is dealt by word holds no hot row: no task has more than its share.
+    light = rows.where(~F.col("word").isin("hot")).repartition(8, "word")
+    sizes = [r["count"] for r in light.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 1.3 * sum(sizes) / len(sizes)
+
+
+def test_bloom_filter_before_a_semi_join(spark, monkeypatch):
+    rows = spark.range(200_000).select((F.col("id") * 7 - 5).alias("doc_id"), F.lit(1).alias("_filter_words"))
+    monkeypatch.setattr(cuts, "BROADCAST_KEYS", 0)
+    got = cuts.every_kth(rows, ratio=0.01)
+    assert [r["doc_id"] for r in got.orderBy("doc_id").collect()] == list(range(-5, 7 * 200_000 - 5, 700))
+    chosen = rows.where(F.col("doc_id") % 700 == 695).select("doc_id")
+    passed = skew.may_hold(rows, chosen, "doc_id", 2000)
+    assert passed.columns == rows.columns and 2000 <= passed.count() < 2000 + 0.03 * 200_000
+    assert "SortMergeJoin" not in _plan(passed) and "hashpartitioning" not in _plan(passed)
+
+
 def test_word_counts_combine_before_the_shuffle(copies):
     plan = _plan(vocabulary.word_counts(copies))
     assert plan.index("partial_count") > plan.index("hashpartitioning(word")
