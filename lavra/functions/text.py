@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import sys
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
@@ -43,12 +45,50 @@ def trim_space(column) -> Column:
     return F.regexp_replace(_col(column), rf"\A{WS_QUICK}|{WS_QUICK}\z", "")
 
 
+@functools.cache
+def _foldings() -> tuple[dict[str, str], dict[str, str], list[str]]:
+    """Full case folding by rule: letters beyond ASCII that fold to one letter, and to several; and those that
+    lower-casing does not fold, or may not in a JVM that does not know them yet."""
+    folded = {c: c.casefold() for c in map(chr, range(0x80, sys.maxunicode + 1))}
+    single = {c: f for c, f in folded.items() if c != f and len(f) == 1}
+    several = {c: f for c, f in folded.items() if len(f) > 1}
+    return single, several, [c for c, f in folded.items() if c.lower() != f or (c != f and c >= "\u2c00")]
+
+
+def _ranges(letters) -> str:
+    """Letters as the inside of a Java character class."""
+    points, out = sorted(map(ord, letters)), []
+    for point in points:
+        if out and point == out[-1][1] + 1:
+            out[-1][1] = point
+        else:
+            out.append([point, point])
+    return "".join(rf"\x{{{low:x}}}-\x{{{high:x}}}" for low, high in out)
+
+
 def fold_case(column) -> Column:
-    """Lower case, plus the letters that case folding maps further than lower-casing does."""
-    out = F.lower(_col(column))
-    for letter, folded in (("ß", "ss"), ("ſ", "s"), ("ς", "σ")):
-        out = F.replace(out, F.lit(letter), F.lit(folded))
-    return out
+    """Full Unicode case folding, letter by letter.
+
+    Lower-casing folds all but a few letters. Those that occur in running text are replaced after it; texts
+    with any of the others pass one table of letters instead, and the letters that fold to several are met
+    one character at a time, in texts that have one.
+    """
+    text = _col(column)
+    single, several, unfolded = _foldings()
+    few = {c: c.casefold() for c in unfolded if c < "\u0180" or c == "ς"}
+    latin = F.lower(text)
+    for letter, folded in few.items():
+        latin = F.replace(latin, F.lit(letter), F.lit(folded))
+    rare = [c for c in unfolded if c not in few]
+    upper = "".join(map(chr, range(65, 91)))
+    whole = F.translate(text, upper + "".join(single), upper.lower() + "".join(single.values()))
+    whole = F.replace(whole, F.lit("ß"), F.lit("ss"))
+    rest = {c: f for c, f in several.items() if c != "ß"}
+    table = F.create_map(*(F.lit(x) for pair in rest.items() for x in pair))
+    chars = F.regexp_extract_all(whole, F.lit("(?s)."), F.lit(0))
+    each = F.array_join(F.transform(chars, lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    whole = F.when(whole.rlike(f"[{_ranges(rest)}]"), each).otherwise(whole)
+    return F.when(text.rlike(rf"[\x{{180}}-\x{{10ffff}}&&[{_ranges(rare)}]]"), whole).otherwise(latin)
 
 
 def lower(column) -> Column:

@@ -15,7 +15,7 @@ from lavra.operators.unigram import train_unigram
 from lavra.operators.vocabulary import load_vocabulary, save_vocabulary, word_vocabulary
 from lavra.session import stage
 from lavra.sources.corpora import union_sources
-from lavra.sources.storage import materialize, reusable, write_parameters
+from lavra.sources.storage import identity, materialize, reusable, write_parameters
 
 
 def curated_split(
@@ -36,21 +36,23 @@ def curate(
 ) -> DataFrame:
     """The split corpus under ``path``, built from the sources unless it is there.
 
-    Sources that number their rows on their own need a key of ``("source", "doc_id")``.
+    Sources that number their rows on their own need a key of ``("source", "doc_id")``. A stored corpus made
+    of other sources, or of files that have changed since, raises; without sources it is used as it is.
     """
     def build():
         docs = union_sources(sources, (*key_columns(key), "text", "lang"))
         return curated_split(docs, key=key, **options)
 
-    return materialize(spark, build, path, parameters={"key": key, **options}, rebuild=rebuild)
+    parameters = {"key": key, **options, "sources": [identity(s) for s in sources]}
+    return materialize(spark, build, path, parameters=parameters, rebuild=rebuild, ignore=() if sources else ("sources",))
 
 
 def vocabulary(
     corpus: DataFrame, path: str, *, size=VOCABULARY_SIZE, model="unigram", rebuild=False, **options
 ) -> DataFrame:
-    """The vocabulary under ``path``, trained on the train split unless it is there."""
+    """The vocabulary under ``path``, trained on the train split unless it is there. One of another corpus raises."""
     spark = corpus.sparkSession
-    parameters = {"size": size, "model": model, **options}
+    parameters = {"size": size, "model": model, **options, "corpus": identity(corpus)}
     if not rebuild and reusable(spark, path, parameters):
         return load_vocabulary(spark, path)
     train = corpus.where("split = 'train'") if "split" in corpus.columns else corpus
@@ -64,12 +66,16 @@ def tokenize(
     corpus: DataFrame, vocab: DataFrame, path: str, *, model="unigram",
     max_length=CONTEXT_SIZE, pad=False, rebuild=False, made_from: dict | None = None,
 ) -> DataFrame:
-    """Model rows of every split under ``path``. ``made_from`` names what corpus and vocabulary were made with."""
+    """Model rows of every split under ``path``; those of another corpus or vocabulary raise.
+
+    ``made_from`` may name what else they were made with.
+    """
     def build():
         coded = encode_documents(corpus, vocab, model=model)
         return model_rows(coded, max_length=max_length, pad=pad)
 
     parameters = {"model": model, "max_length": max_length, "pad": pad, "made_from": made_from}
+    parameters |= {"corpus": identity(corpus), "vocabulary": identity(vocab)}
     return materialize(corpus.sparkSession, build, path, parameters=parameters, rebuild=rebuild)
 
 

@@ -24,6 +24,51 @@ def test_raw_to_rows_builds_once(spark, tmp_path):
     assert corpus.count() == rows and corpora.reload(spark, str(tmp_path / "corpus")).where("split <> 'train'").count() == 0
 
 
+def _pile(spark, word, n=30):
+    text = " ".join([word, "the", "of"] * 40)
+    return spark.createDataFrame([(i, f"{text} {i}", "en") for i in range(n)], "doc_id long, text string, lang string")
+
+
+def test_other_sources_are_not_taken_for_the_stored_ones(spark, tmp_path):
+    apples, pears = _pile(spark, "apple"), _pile(spark, "pear")
+    path = str(tmp_path / "corpus")
+    assert curation.curate(spark, [apples], path).count() == 30
+    assert curation.curate(spark, [_pile(spark, "apple")], path).count() == 30
+    for other in ([pears], [apples, pears], [apples.where("doc_id < 99")]):
+        with pytest.raises(ValueError, match="other parameters or sources"):
+            curation.curate(spark, other, path)
+    with pytest.raises(ValueError, match="other parameters or sources"):
+        curation.curate(spark, [apples], path, seed=7)
+    assert "pear" in curation.curate(spark, [pears], path, rebuild=True).first()["text"]
+
+
+def test_changed_files_and_stages_are_noticed_along_the_chain(spark, tmp_path):
+    source, folder = str(tmp_path / "raw"), tmp_path / "flow"
+    _pile(spark, "apple").write.parquet(source)
+
+    def read():
+        return spark.read.parquet(source)
+
+    first = storage.identity(read())
+    assert storage.identity(read()) == first and storage.identity(read().where("doc_id < 5")) != first
+    rows = curation.raw_to_rows(spark, [read()], str(folder), size=50, model="word")
+    assert curation.raw_to_rows(spark, [read()], str(folder), size=50, model="word").count() == rows.count()
+    corpus, vocab = (spark.read.parquet(str(folder / n)) for n in ("corpus", "vocabulary"))
+    with pytest.raises(ValueError):
+        curation.raw_to_rows(spark, [read()], str(folder), size=40, model="word")
+    with pytest.raises(ValueError):  # the rows were made with another vocabulary
+        curation.tokenize(corpus, vocab.where("id < 20"), str(folder / "tokenized"), model="word", made_from={"size": 50, "key": "doc_id"})
+    with pytest.raises(ValueError):
+        curation.vocabulary(corpus.where("doc_id < 9"), str(folder / "vocabulary"), size=50, model="word")
+    _pile(spark, "pear").selectExpr("doc_id + 100 AS doc_id", "text", "lang").write.mode("append").parquet(source)
+    with pytest.raises(ValueError, match="corpus"):
+        curation.raw_to_rows(spark, [read()], str(folder), size=50, model="word")
+    # A stage that is built anew is another one for those made from it.
+    curation.curate(spark, [read()], str(folder / "corpus"), seed=7, rebuild=True)
+    with pytest.raises(ValueError, match="vocabulary"):
+        curation.vocabulary(spark.read.parquet(str(folder / "corpus")), str(folder / "vocabulary"), size=50, model="word")
+
+
 def test_missing_path_raises(spark, tmp_path):
     with pytest.raises(AnalysisException):
         corpora.reload(spark, str(tmp_path / "none"))

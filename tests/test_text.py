@@ -153,3 +153,11 @@ def test_repair_of_parts(spark):
     texts = ["funÃ§Ã£o e café 日", "itâ€™s 日", "«CAFÉ» 日 GRÄ«", "ðŸ˜€ 日", "plain", None]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(tx.undo_mojibake("t").alias("o")).collect()
     assert [r.o for r in rows] == ["função e café 日", "it’s 日", "«CAFÉ» 日 GRÄ«", "😀 日", "plain", None]
+
+
+def test_case_folding_on_every_assigned_code_point(spark):
+    points = [chr(c) for c in range(1, 0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Cs", "Co")]
+    lines = ["".join(points[a : a + 200]) for a in range(0, len(points), 200)] + points[::7] + ["Straße", "ΣΑΣ", "İI", "ﬃ ŉ", "µ", "ſs", ""]
+    frame = spark.createDataFrame([(t,) for t in lines], "t string")
+    for before, after in frame.select("t", tx.fold_case("t")).collect():
+        assert after == before.casefold(), [c for c in before if c.casefold() not in after]
