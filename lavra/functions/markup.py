@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F, types as T
 
+from lavra.functions.encodings import repaired, suspicious
 from lavra.functions.text import _col, repair_text
 
 # Elements whose text is not part of the page text, and elements that never hold text.
@@ -140,9 +141,39 @@ def normal_form_each(column, form: str) -> Column:
     return _only_where(F.array_join(texts, "").rlike(r"[^\x00-\x7f]"), texts, _normal_form(form))
 
 
+def _each_repaired(texts: pa.Array) -> pa.Array:
+    return pa.array((None if t is None else repaired(t) for t in texts.to_pylist()), pa.string())
+
+
+@F.arrow_udf(T.StringType())
+def _repair(texts: pa.Array) -> pa.Array:
+    return _each_repaired(texts)
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _repair_each(texts: pa.Array) -> pa.Array:
+    return relist(texts, _each_repaired(texts.flatten()))
+
+
+def repair_encoding(column) -> Column:
+    """UTF-8 read in wrong encodings, up to three times over, read back.
+
+    The chain of encodings is searched for; only texts with a pair of characters that a wrong decoding makes
+    are looked at. A text in which sound letters beyond ASCII are many is left to ``repair_text``.
+    """
+    text = _col(column)
+    return _only_where(text.rlike(suspicious()), text, _repair)
+
+
+def repair_encoding_each(column) -> Column:
+    """The same for every string in an array."""
+    texts = _col(column)
+    return _only_where(F.exists(texts, lambda t: t.rlike(suspicious())), texts, _repair_each)
+
+
 def clean_text(column) -> Column:
     """Markup out, broken encoding repaired, composed."""
-    return compose(repair_text(strip_markup(column)))
+    return compose(repair_text(repair_encoding(strip_markup(column))))
 
 
 def clean_each(column) -> Column:
@@ -150,4 +181,4 @@ def clean_each(column) -> Column:
     texts = _col(column)
     marked = F.exists(texts, lambda t: t.rlike("[<&]"))
     plain = _only_where(marked, texts, _strip_each)
-    return compose_each(F.transform(plain, repair_text))
+    return compose_each(F.transform(repair_encoding_each(plain), repair_text))

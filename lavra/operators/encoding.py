@@ -130,9 +130,9 @@ def unigram_encoder(vocab: DataFrame, pieces=None, *, per_token: bool = False, u
     return encode
 
 
-def piece_lookup(vocab: DataFrame):
+def piece_lookup(vocab: DataFrame, pieces=None):
     """Column function: array of ids to array of pieces."""
-    shared = _send(vocab, None)
+    shared = _send(vocab, pieces)
 
     @F.arrow_udf("array<string>")
     def look_up(ids: pa.Array) -> pa.Array:
@@ -143,11 +143,12 @@ def piece_lookup(vocab: DataFrame):
 
 
 def encode_by_join(
-    tokenized: DataFrame, word_ids: DataFrame, *, tokens="tokens", out="ids"
+    tokenized: DataFrame, word_ids: DataFrame, *, tokens="tokens", out="ids", per_token: bool = False
 ) -> DataFrame:
     """Encode through a join, for vocabularies too large to send to every executor.
 
-    ``word_ids`` maps a word to its array of ids; ids come back in order per document.
+    ``word_ids`` maps a word to its array of ids; ids come back in order per document, with ``per_token``
+    those of each word in an inner array.
     """
     others = [c for c in tokenized.columns if c != tokens]
     # Rows are told apart by a number of their own, fixed by writing it, so keys may repeat or be null.
@@ -157,8 +158,9 @@ def encode_by_join(
     found = heavy_join(exploded, table, "word", "left")
     pieces = F.struct("_pos", F.coalesce("_ids", F.array(F.lit(UNK))).alias("_ids"))
     lists = found.groupBy("_row").agg(F.sort_array(F.collect_list(pieces)).alias("_all"))
-    lists = lists.select("_row", F.flatten(F.transform("_all", lambda x: x["_ids"])).alias(out))
-    empty = F.array().cast("array<int>")
+    each = F.transform("_all", lambda x: x["_ids"])
+    lists = lists.select("_row", (each if per_token else F.flatten(each)).alias(out))
+    empty = F.array().cast("array<array<int>>" if per_token else "array<int>")
     kept = rows.select("_row", *others).join(lists, "_row", "left").drop("_row")
     return kept.withColumn(out, F.coalesce(out, empty))
 
@@ -183,17 +185,19 @@ def encode_columns(
         others = [c for c in tokenized.columns if c not in columns]
         return fence(tokenized, *[encoder(F.col(c)).alias(out) for c, out in columns.items()], keep=others)
     for tokens, out in columns.items():
-        if model == "word":
-            table = word_id_table(vocab)
-        else:
-            from lavra.operators.unigram import segment_words_by_join
-
-            words = stage(tokenized.select(F.explode(tokens).alias("word")).distinct(), "words")
-            table = segment_words_by_join(words, vocab)
+        table = word_id_table(vocab) if model == "word" else unigram_id_table(tokenized, vocab, tokens)
         tokenized = encode_by_join(tokenized, table, tokens=tokens, out=out)
     return tokenized
 
 
+def unigram_id_table(tokenized: DataFrame, vocab: DataFrame, tokens: str) -> DataFrame:
+    """The distinct words of a column of pre-tokens with the ids of their pieces, for ``encode_by_join``."""
+    from lavra.operators.unigram import segment_words_by_join
+
+    words = stage(tokenized.select(F.explode(tokens).alias("word")).distinct(), "words")
+    return segment_words_by_join(words, vocab)
+
+
 def encode_tokens(
     tokenized: DataFrame, vocab: DataFrame, *, tokens="tokens", out="ids", model="word", limit: int = BROADCAST_PIECES
 ) -> DataFrame:
@@ -205,8 +209,9 @@ def with_pieces(
     rows: DataFrame, vocab: DataFrame, *, ids="ids", out="pieces", limit: int = BROADCAST_PIECES
 ) -> DataFrame:
     """Add the pieces of an array of ids, in order; a vocabulary beyond ``limit`` rows is joined."""
-    if load_pieces(vocab, limit) is not None:
-        return rows.withColumn(out, piece_lookup(vocab)(F.col(ids)))
+    pieces = load_pieces(vocab, limit)
+    if pieces is not None:
+        return rows.withColumn(out, piece_lookup(vocab, pieces)(F.col(ids)))
     numbered = stage(rows.withColumn("_row", F.monotonically_increasing_id()), "ids")
     each = numbered.select("_row", F.posexplode(ids).alias("_pos", "_id"))
     table = vocab.select(F.col("id").alias("_id"), "piece")

@@ -179,6 +179,21 @@ def test_encode_words(spark, trained, model):
         assert rows["s1"]["word_ids"] == [None, 0, 1, 1, None] + [None] * 7
 
 
+def test_encode_words_with_a_unigram_vocabulary_by_join(spark, trained):
+    texts, vocab = trained
+    tagged = spark.createDataFrame(
+        [("s1", ["The", "cat,", ""], [1, 2, 3]), ("s2", [], []), ("s3", ["x日y"] * 40, [4] * 40), ("s1", ["Zażółć", "日本日", "a"], [1, 2, 3])],
+        "id string, tokens array<string>, ner_tags array<int>",
+    )
+    more = texts.limit(40).selectExpr("cast(doc_id AS string) AS id", "slice(split(text, ' '), 1, 30) AS tokens", "transform(slice(split(text, ' '), 1, 30), x -> 1) AS ner_tags")
+    tagged = tagged.unionByName(more)
+    for fn in (tasks.encode_words, tasks.encode_tagged):
+        sent = fn(tagged, vocab, max_length=64, pad=True, model="unigram")
+        joined = fn(tagged, vocab, max_length=64, pad=True, model="unigram", limit=0)
+        assert joined.columns == sent.columns
+        assert sorted(map(tuple, joined.collect()), key=repr) == sorted(map(tuple, sent.collect()), key=repr)
+
+
 def test_masking(spark):
     n = 4000
     df = spark.createDataFrame(
