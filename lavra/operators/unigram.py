@@ -41,7 +41,7 @@ MIN_USE = 0.5
 
 _LONG_WORD = 256
 # Longer words are trained on in parts of this many characters. Seeds are counted on whole words.
-TRAINED_CHARS = 4_096
+TRAINED_CHARS = 256
 
 
 def byte_alphabet() -> set[str]:

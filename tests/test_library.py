@@ -8,30 +8,15 @@ from pyspark.sql import functions as F
 from conftest import SMALL
 from lavra.functions import tokens as tk
 from lavra.operators import encoding, unigram, vocabulary
+from lavra.sources import tokenizer_files
 from lavra.sources.corpora import table
 
 lib = pytest.importorskip("tokenizers")
-from tokenizers import decoders, models, normalizers, pre_tokenizers, processors  # noqa: E402
-
-
-def _tokenizer(pieces):
-    tok = lib.Tokenizer(models.Unigram(pieces, unk_id=tk.UNK))
-    tok.normalizer = normalizers.Sequence(
-        [normalizers.Replace("``", '"'), normalizers.Replace("''", '"'), normalizers.NFC(), normalizers.Lowercase()]
-    )
-    tok.pre_tokenizer = pre_tokenizers.Sequence(
-        [
-            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.Punctuation(),
-            pre_tokenizers.Digits(individual_digits=False),
-            pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always"),
-        ]
-    )
-    tok.decoder = decoders.Metaspace()
-    tok.post_processor = processors.TemplateProcessing(
-        single="[CLS]:0 $A:0 [SEP]:0", pair="[CLS]:0 $A:0 [SEP]:0 $B:1 [SEP]:1",
-        special_tokens=[("[CLS]", tk.CLS), ("[SEP]", tk.SEP)],
-    )
-    return tok
+
+
+def _tokenizer(spark, pieces=()):
+    """The public library's reading of a file with these pieces after the special tokens."""
+    return lib.Tokenizer.from_str(tokenizer_files.tokenizer_text(vocabulary.numbered(list(pieces), spark)))
 
 
 def _random_texts(n):
@@ -45,7 +30,7 @@ def _random_texts(n):
 
 def test_pre_tokens(spark):
     texts = _random_texts(2000) + [r["text"] for r in table(spark, SMALL, "documents").collect()]
-    tok = _tokenizer([("[PAD]", 0.0), ("[UNK]", 0.0)])
+    tok = _tokenizer(spark)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in vocabulary.with_tokens(df).collect():
         pieces = tok.pre_tokenizer.pre_tokenize_str(tok.normalizer.normalize_str(texts[r["doc_id"]]))
@@ -55,7 +40,7 @@ def test_pre_tokens(spark):
 def test_same_vocabulary_gives_same_ids_and_text(spark):
     docs = table(spark, SMALL, "documents").select("doc_id", "text")
     vocab = unigram.train_unigram(docs, size=1500, seed_size=8000)
-    tok = _tokenizer([(r["piece"], r["score"]) for r in vocab.orderBy("id").collect()])
+    tok = _tokenizer(spark, [(r["piece"], r["score"]) for r in vocab.where("NOT is_special").orderBy("id").collect()])
     odd = spark.createDataFrame(list(enumerate(_random_texts(300), 10**6)), "doc_id long, text string")
     texts = docs.unionByName(odd)
     coded = encoding.encode_documents(texts, vocab, model="unigram")
@@ -69,8 +54,7 @@ def test_same_vocabulary_gives_same_ids_and_text(spark):
 
 @pytest.mark.parametrize("limit", [5, 8, 9])
 def test_pair_template_and_truncation(spark, limit):
-    names = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]", "▁a", "▁b"]
-    tok = _tokenizer([(n, 0.0) for n in names])
+    tok = _tokenizer(spark, [("▁a", 0.0), ("▁b", 0.0)])
     tok.enable_truncation(limit, strategy="longest_first")
     sizes = [(n, m) for n in range(8) for m in range(8)]
     df = spark.createDataFrame([(n, m, [5] * n, [6] * m) for n, m in sizes], "n int, m int, a array<int>, b array<int>")
@@ -83,7 +67,7 @@ def test_pair_template_and_truncation(spark, limit):
 
 
 def test_single_truncation(spark):
-    tok = _tokenizer([(n, 0.0) for n in ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]", "▁a"]])
+    tok = _tokenizer(spark, [("▁a", 0.0)])
     tok.enable_truncation(6)
     tok.enable_padding(length=6, pad_id=tk.PAD)
     df = spark.createDataFrame([(n, [5] * n) for n in range(9)], "doc_id long, ids array<int>")
