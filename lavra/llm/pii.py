@@ -22,7 +22,9 @@ ROUNDS = 8
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 _PATTERN = re.compile(
-    r"(?P<email>(?<![\w.+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}(?![\w-]))"
+    # A local part starts where its run of characters starts, or behind a percent escape within the run.
+    r"(?P<email>(?:(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}|(?<=%[0-9A-Fa-f]{2})[A-Za-z0-9][A-Za-z0-9._+-]{0,63})"
+    r"@(?:[A-Za-z0-9-]{1,63}\.){1,32}[A-Za-z]{2,24}(?![\w-]))"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
     r"|(?P<date>(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})(?![0-9]|[./-][0-9]))"
     r"|(?P<ip>(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9]))"
@@ -243,8 +245,9 @@ def pseudonymize(docs: DataFrame, key: bytes, *, text="text", spans="pii") -> Da
     """Replace personal data in ``text`` and add ``pii``: kind and place (code points in the old text) of each.
 
     Kinds: e-mail and IP addresses, IBANs (modulo 97), cards (Luhn), social security numbers, telephone
-    numbers, and dates between FIRST_DAY and LAST_DAY. What is not valid stays. Null texts stay null with
-    no spans. Other columns pass through in their order; one named ``pii`` is replaced.
+    numbers, and dates between FIRST_DAY and LAST_DAY. What is not valid stays, and so do other dates,
+    IPv6 addresses and e-mail addresses with more than 64 characters before the at sign, which no mail
+    system takes. Null texts stay null with no spans. Other columns pass through in their order; one named ``pii`` is replaced.
     """
     kept = [c for c in docs.columns if c != spans]
     changed = docs.select(*kept, _replace(key)(F.col(text).cast("string")).alias("_changed"))
