@@ -72,6 +72,32 @@ def entropy_windows(word, window=20):
     return best
 
 
+def _without_made_up(word):
+    """What stays of a word: no folder named by a made-up value, nothing near another mark of one."""
+    made_up = ("example", "sample", "dummy", "placeholder", "changeme")
+    marks = (*made_up, "x" * 6, "0" * 6, "abcdefgh", "01234567", "12345678")
+    kept, folders = [""], word.split("/")
+    for i, name in enumerate(folders):
+        last = i == len(folders) - 1
+        if not last and re.fullmatch("[A-Za-z_-]*", name) and any(m in name.lower() for m in made_up):
+            kept.append("")
+        else:
+            kept[-1] += name if last else name + "/"
+    out = []
+    for part in kept:
+        at = 0
+        out.append("")
+        while at < len(part):
+            ends = [at + n + len(m) for m in marks for n in range(41) if part[at + n : at + n + len(m)].lower() == m]
+            if ends:
+                at = min(max(ends) + 40, len(part))
+                out.append("")
+            else:
+                out[-1] += part[at]
+                at += 1
+    return out
+
+
 def entropy_spans(text, base):
     from lavra.llm import secrets
 
@@ -80,6 +106,6 @@ def entropy_spans(text, base):
         if any(a < m.end() and m.start() < b for a, _, b in base) or re.search(secrets.ALLOWED, m[0]):
             continue
         least = secrets.HEX_BITS if re.fullmatch("[0-9a-fA-F]+", m[0]) else secrets.MIXED_BITS
-        if entropy_windows(m[0]) >= least - 1e-9:
+        if any(entropy_windows(w) >= least - 1e-9 for w in _without_made_up(m[0])):
             out.append((m.start(), 3, m.end()))
     return out

@@ -1,5 +1,7 @@
 import hashlib
 import random
+import re
+import time
 
 import duckdb
 import pytest
@@ -44,6 +46,37 @@ def test_made_texts(spark):
     _checked(frame, texts)
 
 
+def test_many_hits_take_linear_time(spark):
+    sums = [hashlib.md5(str(i).encode()).hexdigest() for i in range(50_000)]
+    keys = [f"Zx9Qw3Lm7Tr5Vb1Nc8Kd{i:05d}" for i in range(3_000)]
+    texts = {1: "\n".join(f"{s}  file{i}" for i, s in enumerate(sums)), 2: " ".join(f"{k} token={s}" for k, s in zip(keys, sums))}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    begun = time.perf_counter()
+    rows = {r.doc_id: r for r in secrets.secret_scan(frame).collect()}
+    assert time.perf_counter() - begun < 60
+    for i, t in texts.items():
+        base = brute.secret_spans(t)
+        assert [tuple(s) for s in rows[i].base] == base
+    assert len(rows[1].base) == 50_000 and rows[1].more == []
+    at = [m.start() for m in re.finditer("Zx9", texts[2])]
+    assert [s.start for s in rows[2].more] == at and len(at) == 3_000
+
+
+def test_harmless_words_clear_only_what_is_near(spark):
+    key, rng = "Zx9Qw3Lm7Tr5Vb1Nc8Kd2Jf", random.Random(5)
+    long = "".join(rng.choices(secrets.ALPHABET[:64], k=300))
+    texts = dict(
+        enumerate(
+            [key, f"/data/sample/{key}", f"example/a/sample/{key}", f"{key}/example", f"{long}000000{long}", f"example-{key}", f"{key}EXAMPLE",
+             "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", f"dummy/{key}/example/" + "a1-" * 30 + key, "abcdefgh" * 9 + "1"]
+        )
+    )
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    _checked(frame, texts)
+    found = {r.doc_id for r in secrets.secret_scan(frame).collect() if r.more}
+    assert {0, 1, 2, 4, 8} <= found and not {5, 6, 7, 9} & found
+
+
 def test_window_entropy(spark):
     rng = random.Random(8)
     words = ["".join(rng.choices(secrets.ALPHABET[:: rng.choice([1, 3, 20])], k=rng.randrange(20, 60))) for _ in range(60)]
