@@ -12,7 +12,7 @@ from lavra.plans import fixtures as fx, sql as q
 from lavra.plans.inputs import table
 from lavra.plans.registry import query
 from lavra.session import new_scratch
-from lavra.streaming import ingest
+from lavra.streaming import ingest, stateful
 
 _MEASURED = "num_words, stopwords, round(average, 6) AS average"
 
@@ -290,6 +290,41 @@ def stream_curate(spark, folder):
     return spark.read.schema(kept.schema).parquet(f"{out}/table")
 
 
+_TESTED = f"CASE WHEN substr(md5('42:' || doc_id::VARCHAR), 1, 8) < '{int(0.1 * 2**32):08x}' THEN 'test' ELSE 'train' END AS split"
+
+
+@query(
+    "stream_each_once",
+    q.with_(q.DOC_MEASURES) + f"SELECT DISTINCT doc_id, {_MEASURED}, {_TESTED} FROM measured {_rule_sql('>= 100', 2, 2, 15)}",
+)
+def stream_each_once(spark, folder):
+    """All files arrive twice; each document is kept once, with its split."""
+    out = new_scratch(spark, "stream")
+    files = f"{folder}/documents*.parquet"
+    arriving = ingest.read_arriving(spark, files).unionByName(ingest.read_arriving(spark, files))
+    split = stateful.arrival_split("doc_id", share=0.1, seed=42).alias("split")
+    kept = stateful.each_once(_shown(ingest.curate(arriving), "doc_id")).select("*", split)
+    ingest.write_new(kept, f"{out}/table", f"{out}/progress").awaitTermination()
+    return spark.read.schema(kept.schema).parquet(f"{out}/table")
+
+
+@query(
+    "stream_running_totals",
+    q.with_(q.DOC_MEASURES)
+    + "SELECT lang, count(*) AS n_rows, sum(num_words)::BIGINT AS num_words, sum(stopwords)::BIGINT AS stopwords "
+    f"FROM measured {_rule_sql('>= 100', 2, 2, 15)} GROUP BY lang",
+)
+def stream_running_totals(spark, folder):
+    """Documents and words of each language, kept up as files arrive."""
+    out = new_scratch(spark, "stream")
+    kept = ingest.curate(ingest.read_arriving(spark, f"{folder}/documents*.parquet"))
+    sums = ["num_words", "stopwords"]
+    totals = stateful.running_totals(kept, by="lang", sums=sums, spread_by="doc_id")
+    ingest.write_new(totals, f"{out}/table", f"{out}/progress").awaitTermination()
+    written = spark.read.schema(totals.schema).parquet(f"{out}/table")
+    return stateful.latest_totals(written, by="lang", sums=sums)
+
+
 _RENAMED = "CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN 'it' ELSE lang END"
 
 
