@@ -29,11 +29,19 @@ _SLICE_BYTES = 4 << 20
 _encoders: dict[str, "_Encoder"] = {}
 
 
-class _Encoder:
-    """Ids of words, each distinct word encoded once.
+# Texts on which encoding by words and as a whole must agree before words are trusted.
+_PROBES = [
+    left + mark + right
+    for left in ("", "a", "The end", "don't", "x1", "É", "日本")
+    for mark in (" ", "  ", "\n", " \n\t", ".", ". ", " .", "...", "-", "_", "'", "7", "é", "👍", "\u00a0", "\u3000", "<|endoftext|>")
+    for right in ("", "b", "Of it", "s", "2", "ß", "語")
+]
+
 
-    For tokenizers that drop white space, never join over it, and split letters from other marks: the
-    ids of a text are then those of its parts one after the other.
+class _Encoder:
+    """Ids of texts. Each distinct word is encoded once, if the tokenizer gives a text the ids of its parts
+    one after the other: it drops white space, never joins over it, and splits letters from other marks.
+    That is tried on ``_PROBES``; other tokenizers get whole texts.
     """
 
     def __init__(self, path: str):
@@ -41,6 +49,9 @@ class _Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.forget()
+        probes = pa.array(_PROBES)
+        self.by_words = all(np.array_equal(a, b) for a, b in zip(self._words(probes), self._texts(probes)))
+        self.forget()
 
     def forget(self):
         self.known: dict[str, int] = {}
@@ -48,6 +59,18 @@ class _Encoder:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in order, and their bounds per text."""
+        return self._words(texts) if self.by_words else self._texts(texts)
+
+    def _texts(self, texts):
+        ids, bounds = array("I"), array("q", [0])
+        for at in range(0, len(texts), 64):
+            block = [t or "" for t in texts.slice(at, 64).to_pylist()]
+            for e in self.tokenizer.encode_batch_fast(block, add_special_tokens=False):
+                ids.extend(e.ids)
+                bounds.append(len(ids))
+        return np.array(ids, np.uint32), np.array(bounds, np.int64)
+
+    def _words(self, texts):
         words = split_words(texts, stops=True)
         distinct = words.distinct.to_numpy(zero_copy_only=False)
         if len(self.known) > _MEMO_WORDS:
@@ -122,7 +145,7 @@ def token_pieces(
 ) -> DataFrame:
     """Every text as ids and the ``end`` id, cut into pieces of at most ``size`` ids.
 
-    ``ids`` holds little-endian unsigned 32-bit ids. Null and wordless texts are the end id alone. The
+    ``ids`` holds little-endian unsigned 32-bit ids. Null and empty texts are the end id alone. The
     tokenizer file must lie at the same path on every machine. Columns ``_part`` and ``_rank`` number the
     pieces of one length for ``pack``. Repeated rows give repeated pieces; other columns are not read.
     """

@@ -113,3 +113,18 @@ def test_sequences_nulls_ties_and_clashing_names(spark):
         ids = np.frombuffer(joined[r.sequence_id].ids, "<u4")[r.offset : r.offset + r.length]
         assert ids.tobytes() == bytes(r.ids)
     assert packing.pack(packing.token_pieces(frame.limit(0), PATH)).count() == 0
+
+
+def test_tokenizers_that_join_over_spaces_get_whole_texts(spark):
+    assert packing._Encoder(PATH).by_words
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert not packing._Encoder(path).by_words
+    rng = random.Random(6)
+    parts = ["the ", " end", "\n\n", "don't", "x1 ", "  ", "é", "日本", "...", "7", "👍"]
+    texts = {i: "".join(rng.choices(parts, k=rng.randrange(20))) for i in range(200)} | {500: None, 501: ""}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = packing.token_pieces(frame, path, size=16, end=50256).collect()
+    got = {i: b"".join(r.ids for r in sorted(rows, key=lambda r: r.piece) if r.doc_id == i) for i in texts}
+    plain = Tokenizer.from_file(path)
+    for i, t in texts.items():
+        assert list(np.frombuffer(got[i], "<u4")) == [*plain.encode(t or "", add_special_tokens=False).ids, 50256]
