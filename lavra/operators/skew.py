@@ -53,11 +53,8 @@ def _place(key: Column, words: int) -> tuple[Column, Column]:
     return h.bitwiseAND(words - 1), _bit(h, 30).bitwiseOR(_bit(h, 36)).bitwiseOR(_bit(h, 42)).bitwiseOR(_bit(h, 48))
 
 
-def may_hold(rows: DataFrame, keys: DataFrame, key: str, n: int) -> DataFrame:
-    """The rows whose key may be among ``keys``, ``n`` in number: all that are, and few others. No row moves.
-
-    The filter is built by partial aggregates. Beyond some 33 million keys it lets more rows through.
-    """
+def _filter(rows: DataFrame, keys: DataFrame, key: str, n: int) -> tuple[DataFrame, Column]:
+    """The stored filter of ``keys``, at most 64 MB, and the condition that joins ``rows`` with it."""
     words = SEGMENT
     while words * 4 < n and words < MOST_WORDS:
         words *= 2
@@ -72,4 +69,18 @@ def may_hold(rows: DataFrame, keys: DataFrame, key: str, n: int) -> DataFrame:
     segments = stage(segments.select(f"{fresh}_segment", F.col("w.bits").alias(f"{fresh}_words")), "filter")
     at = F.get(F.col(f"{fresh}_words"), place.bitwiseAND(SEGMENT - 1).cast("int"))
     held = (F.floor(place / SEGMENT) == F.col(f"{fresh}_segment")) & (at.bitwiseAND(bits) == bits)
-    return rows.join(F.broadcast(segments), held, "left_semi")
+    return F.broadcast(segments), held
+
+
+def may_hold(rows: DataFrame, keys: DataFrame, key: str, n: int) -> DataFrame:
+    """The rows whose key may be among ``keys``, ``n`` in number: all that are, and few others. No row moves.
+
+    The filter is built by partial aggregates. Beyond some 33 million keys it lets more rows through.
+    """
+    return rows.join(*_filter(rows, keys, key, n), "left_semi")
+
+
+def split_by_filter(rows: DataFrame, keys: DataFrame, key: str, n: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``may_hold``, and all others, whose key is surely not among ``keys`` or is null."""
+    found = _filter(rows, keys, key, n)
+    return rows.join(*found, "left_semi"), rows.join(*found, "left_anti")
