@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lavra.session import new_scratch, stage
+from lavra.operators.skew import heavy_keys, split_by_filter
+from lavra.session import fence, new_scratch, stage
 
 REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 1 << 30
@@ -44,16 +45,24 @@ def mark_revisits(pages: DataFrame, *, key="page_id", url="url", html="html", le
     """Rows ready to write: key, url, payload, digest, and for a revisit the key it refers to.
 
     Of equal payloads of ``least`` bytes or more, the row with the largest key is the response. Rows that
-    repeat that key, and rows without key, are responses too.
+    repeat that key, and rows without key, are responses too. A null payload is empty; revisits carry none.
+
+    Keys and digests are grouped first. A Bloom filter of the repeated digests then lets all other payloads
+    pass where they lie; digests on more than a thousandth of the rows, a thousand at most, meet their
+    response there as well. Only what is left is shuffled.
     """
     payload = F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
-    sized = rows.select("*", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("size"))
-    light = pages.select(F.col(key).cast("long").alias("page_id"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("size"))
-    last = light.where(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
-    joined = sized.join(last.where("n > 1").select("digest", "last"), "digest", "left")
+    sized = fence(rows, F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("size"))
+    large = stage(sized.where(F.col("size") >= least).select("page_id", "digest"), "digests")
+    last = large.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
+    last = stage(last.where("n > 1").select("digest", "last"), "repeated")
+    heavy = F.col("digest").isin(heavy_keys(large, "digest"))
+    moved, still = split_by_filter(sized, last.where(~heavy), "digest", last.count())
+    joined = still.join(F.broadcast(last.where(heavy)), "digest", "left").unionByName(moved.join(last, "digest", "left"))
     refers = F.when(F.col("page_id") < F.col("last"), F.col("last"))
-    return joined.select("page_id", "url", url_key(F.col("url")).alias("url_key"), "payload", "digest", "size", refers.alias("refers_to"))
+    kept = F.when(refers.isNull(), F.col("payload"))
+    return joined.select("page_id", "url", url_key(F.col("url")).alias("url_key"), kept.alias("payload"), "digest", "size", refers.alias("refers_to"))
 
 
 def _record(row, number: str) -> bytes:
@@ -179,7 +188,12 @@ def write_archives(marked: DataFrame) -> tuple[DataFrame, str]:
     return directory, folder
 
 
+_BLOCK_LINE = f"{_CAPTURE}, block_file string, block_offset long"
+
+
 def _block_reader(folder: str):
+    schema = _CAPTURE_ARROW.append(pa.field("block_file", pa.string())).append(pa.field("block_offset", pa.int64()))
+
     def run(batches):
         ranges = _Ranges(folder)
         for batch in batches:
@@ -187,15 +201,19 @@ def _block_reader(folder: str):
                 lines = zlib.decompress(ranges.read(file, offset, length), 31).decode().split("\n")
                 rows = [x.split("\t") for x in lines]
                 columns = [[r[0] for r in rows], [int(r[1]) if r[1] else None for r in rows], [r[2] for r in rows]]
-                columns += [[int(r[3]) for r in rows], [int(r[4]) for r in rows]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _CAPTURE_ARROW)], schema=_CAPTURE_ARROW)
+                columns += [[int(r[3]) for r in rows], [int(r[4]) for r in rows], [file] * len(rows), [offset] * len(rows)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return run
 
 
+def _block_lines(blocks: DataFrame, folder: str) -> DataFrame:
+    return blocks.select("file", "offset", "length").mapInArrow(_block_reader(folder), _BLOCK_LINE)
+
+
 def read_blocks(blocks: DataFrame, folder: str) -> DataFrame:
     """All captures of the blocks of a directory."""
-    return blocks.select("file", "offset", "length").mapInArrow(_block_reader(folder), _CAPTURE)
+    return _block_lines(blocks, folder).drop("block_file", "block_offset")
 
 
 _RECORD = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -250,39 +268,71 @@ def read_records(captures: DataFrame, folder: str) -> DataFrame:
     return ordered.mapInArrow(_record_reader(folder), _RECORD)
 
 
-def lookup(urls: DataFrame, directory: DataFrame, folder: str, *, url="url") -> DataFrame:
-    """Captures of each distinct URL, by binary search.
+_FOUND = "k string, file string, offset long, length long"
+
+
+def _searcher(batches):
+    """Of rows sorted by segment, blocks before keys: each key with the block of its segment that may hold it."""
+    schema = pa.schema([("k", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+    segment, firsts, blocks = None, [], []
+    for batch in batches:
+        found = []
+        for seg, k, last, *block in zip(*(batch.column(c).to_pylist() for c in ("seg", "k", "last_key", "file", "offset", "length"))):
+            if seg != segment:
+                segment, firsts, blocks = seg, [], []
+            if last is not None:
+                firsts.append(k)
+                blocks.append((last, block))
+                continue
+            at = bisect.bisect_left(firsts, k) - 1
+            if at >= 0 and k <= blocks[at][0]:
+                found.append((k, *blocks[at][1]))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
 
-    The first keys of every n-th block, at most ``SEGMENTS`` of them, are searched for a URL's segment;
-    inside it the sorted first keys of its blocks. Blocks that begin with the very key join by equality.
-    """
-    n = directory.count()
-    step = max(1, -(-n // SEGMENTS))
-    firsts = directory.select("first_key", "last_key", F.struct("file", "offset", "length").alias("block"))
-    if n == 0:
-        return urls.sparkSession.createDataFrame([], _CAPTURE)
-    heads = [r[0] for r in firsts.where(F.pmod(F.xxhash64("block"), F.lit(step)) == 0).select("first_key").toLocalIterator()]
-    heads = sorted(set(heads))
+
+def _sample(keys: DataFrame, most: int) -> list[str]:
+    """About ``most`` of the keys, or all if they are fewer, chosen by hash."""
+    step = max(1, -(-keys.count() // most))
+    return [r[0] for r in keys.where(F.pmod(F.xxhash64(keys.columns[0], F.lit(step)), F.lit(step)) == 0).toLocalIterator()]
+
+
+def _places(wanted: DataFrame, directory: DataFrame) -> DataFrame:
+    """Each key with each block that may hold it. A key meets a block that begins before it at most once."""
+    spans = directory.where("first_key < last_key")
+    heads = sorted({*_sample(wanted.select("k"), SEGMENTS), *_sample(spans.select("first_key"), SEGMENTS)})
+    shared = wanted.sparkSession.sparkContext.broadcast(heads)
 
     @F.arrow_udf("int")
     def segment(keys: pa.Array) -> pa.Array:
-        return pa.array([bisect.bisect_left(heads, k) for k in keys.to_pylist()], pa.int32())
+        return pa.array([bisect.bisect_left(shared.value, k) for k in keys.to_pylist()], pa.int32())
 
     @F.arrow_udf("int")
-    def own_segment(keys: pa.Array) -> pa.Array:
-        return pa.array([bisect.bisect_right(heads, k) for k in keys.to_pylist()], pa.int32())
+    def segment_after(keys: pa.Array) -> pa.Array:
+        return pa.array([bisect.bisect_right(shared.value, k) for k in keys.to_pylist()], pa.int32())
 
-    @F.arrow_udf("int")
-    def before(keys: pa.Array, found: pa.Array) -> pa.Array:
-        return pa.array([bisect.bisect_left(b, k) - 1 for k, b in zip(keys.to_pylist(), found.to_pylist())], pa.int32())
-
-    wanted = urls.select(url_key(F.col(url).cast("string")).alias("k")).withColumn("k", F.regexp_replace("k", r"[\x00-\x20\x7f]", "_")).distinct()
-    wanted = wanted.withColumn("seg", segment("k"))
-    by_segment = firsts.withColumn("seg", own_segment("first_key")).groupBy("seg").agg(
-        F.sort_array(F.collect_list(F.struct("first_key", "last_key", "block"))).alias("blocks")
-    )
-    inside = wanted.join(by_segment, "seg").withColumn("at", before("k", F.col("blocks.first_key"))).where("at >= 0")
-    inside = inside.select("k", F.col("blocks")[F.col("at")].alias("b")).where("k <= b.last_key").select("b.block.*")
-    equal = firsts.join(wanted, F.col("first_key") == F.col("k"), "left_semi").select("block.*")
-    captures = read_blocks(inside.unionByName(equal).distinct(), folder)
-    return captures.join(wanted.select(F.col("k").alias("url_key")), "url_key", "left_semi")
+    # A block stands in each segment that it reaches into.
+    reach = F.explode(F.sequence(segment_after("first_key"), segment("last_key"))).alias("seg")
+    blocks = spans.select(reach, F.col("first_key").alias("k"), "last_key", "file", "offset", "length")
+    asked = wanted.select(segment("k").alias("seg"), "k")
+    rows = blocks.unionByName(asked, allowMissingColumns=True)
+    ordered = rows.repartition("seg").sortWithinPartitions("seg", F.col("last_key").isNull(), "k")
+    inside = ordered.mapInArrow(_searcher, _FOUND)
+    equal = directory.join(wanted, F.col("first_key") == F.col("k")).select("k", "file", "offset", "length")
+    return inside.unionByName(equal)
+
+
+def lookup(urls: DataFrame, directory: DataFrame, folder: str, *, url="url") -> DataFrame:
+    """Captures of each distinct URL, by binary search; a null URL has the empty key.
+
+    At most about twice ``SEGMENTS`` heads, drawn from the URLs' keys and from the directory, are searched
+    for the segment of each key and block. URLs and blocks of a segment meet in one task, which holds the
+    segment's blocks once and searches their first keys for each URL. Blocks that begin with the very key
+    join by equality. Lines of a block meet the keys sought in it by block and key, so that a key with very
+    many captures is spread over its blocks.
+    """
+    wanted = urls.select(F.regexp_replace(url_key(F.col(url).cast("string")), r"[\x00-\x20\x7f]", "_").alias("k"))
+    places = stage(_places(stage(wanted.distinct(), "wanted-keys"), directory), "wanted-blocks")
+    lines = _block_lines(places.select("file", "offset", "length").distinct(), folder)
+    sought = places.select(F.col("k").alias("url_key"), F.col("file").alias("block_file"), F.col("offset").alias("block_offset"))
+    return lines.join(sought, ["url_key", "block_file", "block_offset"], "left_semi").select(*_CAPTURE_ARROW.names)

@@ -96,3 +96,50 @@ def test_empty_table(spark):
     directory, folder = warc.write_archives(warc.mark_revisits(frame.limit(0)))
     assert warc.read_records(warc.read_blocks(directory, folder), folder).count() == 0
     assert warc.lookup(spark.createDataFrame([("http://a.example",)], "url string"), directory, folder).count() == 0
+
+
+def test_a_very_common_key_and_thousands_of_blocks(spark, monkeypatch):
+    """A third of the captures have one key, and each block is sent to Python once for each segment it is in."""
+    monkeypatch.setattr(warc, "BLOCK_LINES", 2)
+    monkeypatch.setattr(warc, "SEGMENTS", 4)
+    ids = spark.range(6000)
+    url = F.when(F.col("id") % 3 == 0, "http://hot.example.org/").otherwise(F.concat(F.lit("http://h"), (F.col("id") % 97).cast("string"), F.lit(".org/"), F.col("id").cast("string")))
+    pages = ids.select(F.col("id").alias("page_id"), url.alias("url"), F.lit("x").alias("html"))
+    directory, folder = warc.write_archives(warc.mark_revisits(pages))
+    blocks = directory.count()
+    assert blocks >= 3000
+    asked = pages.where("id % 3 = 0 or id % 100 = 1").select("url").unionByName(spark.createDataFrame([("http://h5.org/none",)], "url string"))
+    sent = spark.sparkContext.accumulator(0)
+    search = warc._searcher
+
+    def counted(batches):
+        def seen():
+            for batch in batches:
+                sent.add(batch.num_rows)
+                yield batch
+
+        return search(seen())
+
+    monkeypatch.setattr(warc, "_searcher", counted)
+    found = sorted(r.page_id for r in warc.lookup(asked, directory, folder).collect())
+    assert found == [i for i in range(6000) if i % 3 == 0 or i % 100 == 1]
+    urls = asked.distinct().count()
+    assert urls < sent.value <= blocks + urls + 2 * 2 * 8
+
+
+def test_only_repeated_payloads_are_shuffled(spark):
+    """A very common payload and single ones stay where they lie; the rest is joined; all equal the plain way."""
+    hot, rows = "h" * 1500, []
+    for i in range(3000):
+        rows.append((i, f"http://a.org/{i}", hot if i % 3 == 0 else "p" * 1200 + str(i // 4 if i % 7 == 0 else -i)))
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    marked = warc.mark_revisits(frame)
+    got = sorted(((r.page_id, r["size"], r.digest, "response" if r.refers_to is None else "revisit", r.refers_to) for r in marked.collect()), key=repr)
+    assert got == _want([(i, h) for i, _, h in rows])
+    assert marked.where("(payload is null) <> (refers_to is not null)").count() == 0
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = warc.mark_revisits(frame)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "LeftAnti" in plan and "LeftSemi" in plan
