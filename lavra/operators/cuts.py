@@ -306,6 +306,11 @@ def number_rows(df: DataFrame, *, key: str, order: list | None = None, carry=(),
     return _numbered(df, [key, *carry], order or [key], out)[0]
 
 
+def numbered_rows(df: DataFrame, *, key: str) -> tuple[DataFrame, int]:
+    """The table of ``number_rows`` in key order, and how many rows it has."""
+    return _numbered(df, [key], [key], "row_no")
+
+
 def every_kth(df: DataFrame, *, key: str = "doc_id", ratio: float) -> DataFrame:
     """Every int(1/ratio)-th row in key order, from the first; all rows unless 0 < ratio < 1.
 

@@ -102,6 +102,14 @@ def fence(df: DataFrame, *columns, keep=None) -> DataFrame:
     return df.select(*keep, F.inline(F.array(F.struct(*columns))))
 
 
+def fresh(name: str, taken) -> str:
+    """``name``, with underscores before it until no column of ``taken`` has it."""
+    seen = {c.lower() for c in taken}
+    while name.lower() in seen:
+        name = f"_{name}"
+    return name
+
+
 def as_text(column):
     """An array column as one space-separated string."""
     column = F.col(column) if isinstance(column, str) else column

@@ -231,6 +231,29 @@ def test_batches(spark):
         assert r["labels"] == [7] * own + [-100] * (max(mates) - own)
 
 
+@pytest.mark.parametrize("kind", ["long", "string", "binary", "timestamp", "double"])
+def test_batches_move_rows_once(spark, monkeypatch, kind):
+    """Batches of any key, whole stretches of several batches as well, with a null key and columns that clash."""
+    i = F.col("id")
+    key = {
+        "long": i * 1000 - 7,
+        "string": F.when(i > 0, F.concat(F.lit("ké"), F.lpad(i.cast("string"), 4, "0"))).otherwise("\U0001F600"),
+        "binary": F.lpad(i.cast("string"), 4, "0").cast("binary"),
+        "timestamp": F.timestamp_micros(i * 3_600_000_000),
+        "double": F.when(i == 5, float("nan")).otherwise(i / 3),
+    }[kind]
+    rows = spark.range(203).select(F.when(i != 9, key).alias("k"), F.array_repeat(F.lit(1), (i % 11 + 1).cast("int")).alias("input_ids"), F.lit(0).alias("_stretch"))
+    order = [r["input_ids"] for r in rows.orderBy("k").collect()]
+    want = sorted((at // 8, len(ids), max(map(len, order[at // 8 * 8 : at // 8 * 8 + 8]))) for at, ids in enumerate(order))
+    for most in (1 << 16, 3):
+        monkeypatch.setattr(tasks, "STRETCHES", most)
+        out = tasks.batch_pad(rows, batch_size=8, key="k")
+        assert out.columns == ["batch_id", "k", "_stretch", "input_ids"]
+        assert sorted((r["batch_id"], sum(r["input_ids"]), len(r["input_ids"])) for r in out.collect()) == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[-1].count("Exchange") == 1, plan
+
+
 def _substrings(words, longest):
     found = {}
     for w, n in words:
