@@ -33,39 +33,34 @@ def tags_from_logits(rows: DataFrame, names: list[str], *, logits="logits") -> D
     )
 
 
-def _spans(df: DataFrame, codes: str, out: str) -> DataFrame:
-    """Entity spans of a tag array as structs of type, first and last place.
+def _spans(codes: str) -> Column:
+    """Entity spans of a tag array in order, each as one number: its first place times 2^32, and its last.
 
     A code is twice the type for ``B``, one more for ``I``, negative for ``O``. A span opens at ``B``, or at
     ``I`` after ``O`` or after another type, and runs to the next opening or ``O``. All inside the row: the
-    tags of one sentence never leave it.
+    tags of one sentence never leave it. Spans do not overlap, so the n-th opening meets the n-th end.
     """
-    kept = df.columns
 
-    def edge(code, at):
-        earlier = F.coalesce(F.get(codes, at - 1), F.lit(-1))
-        opens = (code % 2 == 0) | (earlier < 0) | (F.shiftright(earlier, 1) != F.shiftright(code, 1))
-        kind = F.when(code < 0, -1).otherwise(F.shiftright(code, 1))
-        return F.when((code < 0) | opens, F.struct(kind.alias("type"), at.alias("at")))
+    def apart(left, right):
+        return (right % 2 == 0) | (left < 0) | (right < 0) | (F.shiftright(left, 1) != F.shiftright(right, 1))
 
-    edges = F.filter(F.transform(codes, edge), lambda e: e.isNotNull())
-    step = fence(df, edges.alias("_edges"), F.size(codes).alias("_n"))
+    def opening(code, at):
+        return F.when((code >= 0) & apart(F.coalesce(F.get(codes, at - 1), F.lit(-1)), code), at)
 
-    def close(opening, at):
-        last = F.coalesce(F.get("_edges", at + 1)["at"], F.col("_n")) - 1
-        span = F.struct(opening["type"].alias("type"), opening["at"].alias("first"), last.alias("last"))
-        return F.when(opening["type"] >= 0, span)
+    def end(code, at):
+        return F.when((code >= 0) & apart(code, F.coalesce(F.get(codes, at + 1), F.lit(-1))), at)
 
-    spans = F.filter(F.transform("_edges", close), lambda s: s.isNotNull())
-    return fence(step, spans.alias(out), keep=[c for c in kept if c != codes])
+    places = [F.array_compact(F.transform(codes, edge)) for edge in (opening, end)]
+    return F.zip_with(*places, lambda first, last: F.shiftleft(first.cast("long"), 32).bitwiseOR(last.cast("long")))
 
 
 def entity_scores(rows: DataFrame, names: list[str], *, logits="logits", labels="labels") -> DataFrame:
     """Precision, recall and F1 over exact entity spans, per type and over all, with token accuracy.
 
     ``rows`` has one sentence per row: an array of scores per token, and the labels; positions with the
-    ignored label do not count. Spans are matched inside the row; each gives one row to a sum by type, so
-    the only exchange is one small sum. Names without a type give the line over all alone.
+    ignored label do not count; a label without a name counts as outside. Spans are matched inside the row,
+    as numbers; each gives a code of its type to one count by code, the only exchange but for sums of these
+    few counts. Names without a type give the line over all alone.
     """
     entity_types = sorted({n.split("-", 1)[1] for n in names if n[:2] in ("B-", "I-")})
     numbers = {name: at for at, name in enumerate(entity_types)}
@@ -80,28 +75,36 @@ def entity_scores(rows: DataFrame, names: list[str], *, logits="logits", labels=
     )
     tags = fence(
         counted,
-        F.transform("_both", lambda x: F.get(codes, x["t"])).alias("_true"),
-        F.transform("_both", lambda x: F.get(codes, x["p"])).alias("_pred"),
+        F.transform("_both", lambda x: F.coalesce(F.get(codes, x["t"]), F.lit(-1))).alias("_true"),
+        F.transform("_both", lambda x: F.coalesce(F.get(codes, x["p"]), F.lit(-1))).alias("_pred"),
         F.size(F.filter("_both", lambda x: x["t"] == x["p"])).alias("_right"),
         F.size("_both").alias("_tokens"),
         keep=[],
     )
-    spans = _spans(_spans(tags, "_true", "_ts"), "_pred", "_ps")
-    spans = fence(spans, F.array_intersect("_ts", "_ps").alias("_hits"))
-
-    def part(kind, true=0, pred=0, hits=0, right=0, tokens=0):
-        values = {"type": kind, "true": true, "pred": pred, "hits": hits, "right": right, "tokens": tokens}
-        return F.struct(*[(v if isinstance(v, Column) else F.lit(v)).cast("long").alias(k) for k, v in values.items()])
-
-    parts = F.concat(
-        F.array(part(-1, right=F.col("_right"), tokens=F.col("_tokens"))),
-        F.transform("_ts", lambda s: part(s["type"], true=1)),
-        F.transform("_ps", lambda s: part(s["type"], pred=1)),
-        F.transform("_hits", lambda s: part(s["type"], hits=1)),
-    )
-    sums = [F.sum(c).alias(c) for c in ("true", "pred", "hits", "right", "tokens")]
-    total = spans.select(F.inline(parts)).rollup("type").agg(*sums)
-    total = total.withColumn("type", F.coalesce("type", F.lit(-2))).where("type <> -1")
+    spans = fence(tags, _spans("_true").alias("_ts"), _spans("_pred").alias("_ps"))
+
+    def kind(side, span):
+        return F.shiftright(F.get(side, F.shiftright(span, 32).cast("int")), 1)
+
+    def part(code, n):
+        return F.struct(code.cast("long").alias("code"), n.cast("long").alias("n"))
+
+    def parts_of(found, side, number):
+        return F.transform(found, lambda s: part(kind(side, s) * 4 + number, F.lit(1)))
+
+    same = F.filter(F.array_intersect("_ts", "_ps"), lambda s: kind("_true", s) == kind("_pred", s))
+    counts = F.array(part(F.lit(-4), F.col("_right")), part(F.lit(-3), F.col("_tokens")))
+    parts = F.concat(counts, parts_of("_ts", "_true", 0), parts_of("_ps", "_pred", 1), parts_of(same, "_true", 2))
+    summed = spans.select(F.inline(parts)).groupBy("code").agg(F.sum("n").alias("n"))
+
+    def total(number, below=False):
+        wanted = (F.col("code") < 0) if below else (F.col("code") >= 0)
+        return F.sum(F.when(wanted & (F.pmod("code", F.lit(4)) == number), F.col("n")).otherwise(0))
+
+    each = F.explode(F.array(F.lit(-2).cast("long"), F.shiftright("code", 2))).alias("type")
+    sums = [total(0).alias("true"), total(1).alias("pred"), total(2).alias("hits")]
+    sums += [total(0, True).alias("right"), total(1, True).alias("tokens")]
+    total = summed.select("code", "n", each).where("type <> -1").groupBy("type").agg(*sums)
     lines = [(-2, "overall"), *enumerate(entity_types)]
     table = rows.sparkSession.createDataFrame(lines, "type long, entity string")
     found = table.join(total, "type", "left")
