@@ -41,17 +41,19 @@ _PROBES = [
 class _Encoder:
     """Ids of texts. Each distinct word is encoded once, if the tokenizer gives a text the ids of its parts
     one after the other: it drops white space, never joins over it, and splits letters from other marks.
-    That is tried on ``_PROBES``; other tokenizers get whole texts.
+    That is tried on ``_PROBES``, unless it is known; other tokenizers get whole texts.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, by_words: bool | None = None):
         # A task has one core; threads of the library's own would only hold memory.
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.forget()
-        probes = pa.array(_PROBES)
-        self.by_words = all(np.array_equal(a, b) for a, b in zip(self._words(probes), self._texts(probes)))
-        self.forget()
+        if by_words is None:
+            probes = pa.array(_PROBES)
+            by_words = all(np.array_equal(a, b) for a, b in zip(self._words(probes), self._texts(probes)))
+            self.forget()
+        self.by_words = by_words
 
     def forget(self):
         self.known: dict[str, int] = {}
@@ -105,12 +107,13 @@ def _occurrence(values: np.ndarray) -> np.ndarray:
 
 
 def _cut(key, key_type, path: str, size: int, end: int):
+    by_words = _Encoder(path).by_words  # probed once, on the driver
     fields = [(key, key_type), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64())]
     schema = pa.schema([*fields, ("ids", pa.binary()), ("_part", pa.int64()), ("_rank", pa.int64())])
 
     def run(batches):
         if path not in _encoders:  # once in each Python worker
-            _encoders[path] = _Encoder(path)
+            _encoders[path] = _Encoder(path, by_words)
         encoder, part, seen = _encoders[path], TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         for batch in batches:
             texts = batch.column(1)
