@@ -109,11 +109,21 @@ def argmax(scores) -> Column:
     return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: inside a lambda, Spark would compute it for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def softmax(scores) -> Column:
+    """Shares of the scores. Work grows with their number."""
     scores = _col(scores)
-    top = F.array_max(scores)
-    total = F.aggregate(scores, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
-    return F.transform(scores, lambda x: F.exp(x - top) / total)
+
+    def shares(powers):
+        total = F.aggregate(powers, F.lit(0.0), lambda acc, x: acc + x)
+        return _once(total, lambda t: F.transform(powers, lambda x: x / t))
+
+    powers = _once(F.array_max(scores), lambda top: F.transform(scores, lambda x: F.exp(x - top)))
+    return _once(powers, shares)
 
 
 def bad_row(ids, probe: int = 10) -> Column:

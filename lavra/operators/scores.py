@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
 
 from lavra.functions.tokens import IGNORE, argmax, softmax
 from lavra.session import fence
@@ -33,25 +35,42 @@ def tags_from_logits(rows: DataFrame, names: list[str], *, logits="logits") -> D
     )
 
 
-def _spans(codes: str) -> Column:
-    """Entity spans of a tag array in order, each as one number: its first place times 2^32, and its last.
+def _spans(codes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Entity spans of the tags of many rows in order, as first and last places.
 
     A code is twice the type for ``B``, one more for ``I``, negative for ``O``. A span opens at ``B``, or at
-    ``I`` after ``O`` or after another type, and runs to the next opening or ``O``. All inside the row: the
-    tags of one sentence never leave it. Spans do not overlap, so the n-th opening meets the n-th end.
+    ``I`` after ``O`` or after another type, and runs to the next opening or ``O``, at most to the end of its
+    row; ``first`` and ``last`` mark the ends of rows. Spans do not overlap, so the n-th opening meets the n-th
+    end.
     """
-
-    def apart(left, right):
-        return (right % 2 == 0) | (left < 0) | (right < 0) | (F.shiftright(left, 1) != F.shiftright(right, 1))
-
-    def opening(code, at):
-        return F.when((code >= 0) & apart(F.coalesce(F.get(codes, at - 1), F.lit(-1)), code), at)
-
-    def end(code, at):
-        return F.when((code >= 0) & apart(code, F.coalesce(F.get(codes, at + 1), F.lit(-1))), at)
-
-    places = [F.array_compact(F.transform(codes, edge)) for edge in (opening, end)]
-    return F.zip_with(*places, lambda first, last: F.shiftleft(first.cast("long"), 32).bitwiseOR(last.cast("long")))
+    apart = (codes[1:] % 2 == 0) | (codes[:-1] < 0) | (codes[1:] < 0) | (codes[:-1] >> 1 != codes[1:] >> 1)
+    opens, ends = first.copy(), last.copy()
+    opens[1:] |= apart
+    ends[:-1] |= apart
+    return np.flatnonzero(opens & (codes >= 0)), np.flatnonzero(ends & (codes >= 0))
+
+
+def _span_counts(batches):
+    """Spans of each type by labels, by predictions and by both, and right tokens of all, in a batch of sentences."""
+    for batch in batches:
+        sides = [batch.column(name) for name in ("_true", "_pred")]
+        sizes = sides[0].value_lengths().to_numpy(zero_copy_only=False)
+        sizes = sizes[sizes > 0]
+        true, pred = (side.flatten().to_numpy(zero_copy_only=False) for side in sides)
+        first, last = np.zeros(len(true), bool), np.zeros(len(true), bool)
+        stops = np.cumsum(sizes)
+        first[stops - sizes] = True
+        last[stops - 1] = True
+        (a, b), (c, d) = _spans(true, first, last), _spans(pred, first, last)
+        _, here, there = np.intersect1d(a, c, assume_unique=True, return_indices=True)
+        same = a[here][(b[here] == d[there]) & (true[a[here]] >> 1 == pred[c[there]] >> 1)]
+        codes, counts = [-4, -3], [sum(batch.column(n).to_pylist()) for n in ("_right", "_tokens")]
+        for number, (side, found) in enumerate(((true, a), (pred, c), (true, same))):
+            uses = np.bincount(side[found] >> 1)
+            kinds = np.flatnonzero(uses)
+            codes += (kinds * 4 + number).tolist()
+            counts += uses[kinds].tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(counts, pa.int64())], ["code", "n"])
 
 
 def entity_scores(rows: DataFrame, names: list[str], *, logits="logits", labels="labels") -> DataFrame:
@@ -59,8 +78,7 @@ def entity_scores(rows: DataFrame, names: list[str], *, logits="logits", labels=
 
     ``rows`` has one sentence per row: an array of scores per token, and the labels; positions with the
     ignored label do not count; a label without a name counts as outside. Spans are matched inside the row,
-    as numbers; each gives a code of its type to one count by code, the only exchange but for sums of these
-    few counts. Names without a type give the line over all alone.
+    a batch of rows at once; only counts by type leave a batch. Names without a type give the line over all alone.
     """
     entity_types = sorted({n.split("-", 1)[1] for n in names if n[:2] in ("B-", "I-")})
     numbers = {name: at for at, name in enumerate(entity_types)}
@@ -81,21 +99,8 @@ def entity_scores(rows: DataFrame, names: list[str], *, logits="logits", labels=
         F.size("_both").alias("_tokens"),
         keep=[],
     )
-    spans = fence(tags, _spans("_true").alias("_ts"), _spans("_pred").alias("_ps"))
-
-    def kind(side, span):
-        return F.shiftright(F.get(side, F.shiftright(span, 32).cast("int")), 1)
-
-    def part(code, n):
-        return F.struct(code.cast("long").alias("code"), n.cast("long").alias("n"))
-
-    def parts_of(found, side, number):
-        return F.transform(found, lambda s: part(kind(side, s) * 4 + number, F.lit(1)))
-
-    same = F.filter(F.array_intersect("_ts", "_ps"), lambda s: kind("_true", s) == kind("_pred", s))
-    counts = F.array(part(F.lit(-4), F.col("_right")), part(F.lit(-3), F.col("_tokens")))
-    parts = F.concat(counts, parts_of("_ts", "_true", 0), parts_of("_ps", "_pred", 1), parts_of(same, "_true", 2))
-    summed = spans.select(F.inline(parts)).groupBy("code").agg(F.sum("n").alias("n"))
+    parts = tags.where(F.col("_true").isNotNull()).mapInArrow(_span_counts, "code long, n long")
+    summed = parts.groupBy("code").agg(F.sum("n").alias("n"))
 
     def total(number, below=False):
         wanted = (F.col("code") < 0) if below else (F.col("code") >= 0)
@@ -166,6 +171,7 @@ def best_step(log: DataFrame, *, tag: str, greater_is_better: bool = True, by=("
 
 
 def top_candidates(candidates: DataFrame, *, k: int = 5) -> DataFrame:
-    """The ``k`` best pieces of each mask. Spark keeps only k rows per mask and task before the shuffle."""
+    """The ``k`` best pieces of each mask. Candidates dealt by mask already don't move; of others, Spark keeps
+    only k rows per mask and task before the shuffle."""
     order = Window.partitionBy("sent_id", "mask_pos").orderBy(F.desc("score"), "piece")
     return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

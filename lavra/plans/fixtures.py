@@ -5,7 +5,11 @@ The given tables hold no tags, pairs or predictions; these rules make them from
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lavra.plans.inputs import table
 from lavra.functions.text import split_words
@@ -14,6 +18,7 @@ from lavra.plans import sql as q
 from lavra.session import fence
 
 TAGS = ["O", "B-ORG", "I-ORG", "B-LOC", "I-LOC"]
+_TAG_LIST = T.ArrayType(T.IntegerType())
 
 
 def _hash(*columns):
@@ -25,6 +30,42 @@ def _digit(hashed, at: int):
     return F.instr(F.lit("0123456789abcdef"), F.substring(hashed, at, 1)) - 1
 
 
+def _place_hashes(before: str, ids: list[str], sizes: np.ndarray) -> np.ndarray:
+    """The first three hexadecimal digits of the hash of each place of each row, rows one after the other."""
+    places = [b"%d" % n for n in range(sizes.max(initial=0))]
+    found = []
+    for id_, size in zip(ids, sizes.tolist()):
+        head = f"{before}{id_}:".encode()
+        found.append(b"".join([hashlib.md5(head + place).digest()[:2] for place in places[:size]]))
+    first = np.frombuffer(b"".join(found), np.uint8).reshape(-1, 2).astype(np.int32)
+    return np.stack([first[:, 0] >> 4, first[:, 0] & 15, first[:, 1] >> 4])
+
+
+def _lists(values, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
+
+
+@F.arrow_udf(_TAG_LIST)
+def _word_tags(ids: pa.Array, sizes: pa.Array) -> pa.Array:
+    """Tags of the places of each row, by the hash of row and place."""
+    sizes = sizes.to_numpy(zero_copy_only=False)
+    tags = np.minimum(_place_hashes("", ids.to_pylist(), sizes)[0], 8) % 5
+    return _lists(pa.array(tags, pa.int32()), sizes)
+
+
+@F.arrow_udf(T.StructType([T.StructField("logits", T.ArrayType(T.ArrayType(T.DoubleType()))), T.StructField("labels", _TAG_LIST)]))
+def _tag_scores(ids: pa.Array, tags: pa.Array) -> pa.Array:
+    """Scores and labels of the places of each row, by another hash of row and place."""
+    sizes = tags.value_lengths().to_numpy(zero_copy_only=False)
+    tag = tags.flatten().to_numpy(zero_copy_only=False)
+    wrong, sure, ignored = _place_hashes("t:", ids.to_pylist(), sizes)
+    table = np.zeros((len(tag), len(TAGS)))
+    table[np.arange(len(tag)), np.where(wrong < 2, (tag + 1) % 5, tag)] = 1 + sure / 16.0
+    scores = _lists(pa.array(table.ravel()), np.full(len(tag), len(TAGS)))
+    labels = pa.array(np.where(ignored == 0, -100, tag), pa.int32())
+    return pa.StructArray.from_arrays([_lists(scores, sizes), _lists(labels, sizes)], ["logits", "labels"])
+
+
 def _sql_digit(hashed: str, at: int) -> str:
     return f"('0x' || substr({hashed}, {at}, 1))::INT"
 
@@ -46,13 +87,10 @@ def tagged_words(spark: SparkSession, folder: str) -> DataFrame:
         keep=["doc_id"],
     ).where(F.size("tokens") > 0)
 
-    def tag(word, at):
-        return F.least(_digit(_hash(F.col("id"), F.lit(":"), at.cast("string")), 1), F.lit(8)) % 5
-
     return words.select(
         "id",
         "tokens",
-        F.transform("tokens", tag).alias("ner_tags"),
+        _word_tags("id", F.size("tokens")).alias("ner_tags"),
         F.when(_hash(F.col("doc_id").cast("string")) < "2", "test").otherwise("train").alias("split"),
     )
 
@@ -157,27 +195,8 @@ def tag_predictions(spark: SparkSession, folder: str) -> DataFrame:
     """Five scores per word, the largest on the tag or, for some words, on the next tag; ignored labels."""
     rows = tagged_words(spark, folder)
 
-    def draw(tag, at):
-        return _hash(F.lit("t:"), F.col("id"), F.lit(":"), at.cast("string"))
-
-    drawn = fence(rows, F.transform("ner_tags", draw).alias("_h"), keep=["id", "ner_tags"])
-
-    def guess(tag, h):
-        wrong = F.when(_digit(h, 1) < 2, (tag + 1) % 5).otherwise(tag)
-        return F.struct(wrong.alias("k"), (1 + _digit(h, 2) / F.lit(16.0)).alias("top"))
-
-    drawn = fence(drawn, F.zip_with("ner_tags", "_h", guess).alias("_guess"))
-
-    def scores(g):
-        return F.array(*[F.when(g["k"] == k, g["top"]).otherwise(0.0) for k in range(5)])
-
-    return drawn.select(
-        F.col("id").alias("sent_id"),
-        F.transform("_guess", scores).alias("logits"),
-        F.zip_with("ner_tags", "_h", lambda t, h: F.when(_digit(h, 3) == 0, F.lit(-100)).otherwise(t)).alias(
-            "labels"
-        ),
-    )
+    drawn = rows.select(F.col("id").alias("sent_id"), _tag_scores("id", "ner_tags").alias("_drawn"))
+    return drawn.select("sent_id", "_drawn.logits", "_drawn.labels")
 
 
 TAG_TOKENS = f"""
@@ -197,11 +216,14 @@ tag_tokens AS (
 
 
 def mask_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    """Each line is a mask; its distinct words are the candidates, scored by their count in the line."""
+    """Each line is a mask; its distinct words are the candidates, scored by their count in the line.
+
+    The lines move, once, and not their words: counting them and ranking them then finds each mask in one place.
+    """
     lines = split_paragraphs(table(spark, folder, "documents").select("doc_id", "text"))
-    words = lines.select(
-        F.col("doc_id").alias("sent_id"), F.col("para_idx").alias("mask_pos"),
-        F.explode(split_words(F.lower("text"))).alias("piece"),
+    masks = lines.select(F.col("doc_id").alias("sent_id"), F.col("para_idx").alias("mask_pos"), "text")
+    words = masks.repartition("sent_id", "mask_pos").select(
+        "sent_id", "mask_pos", F.explode(split_words(F.lower("text"))).alias("piece")
     )
     counted = words.groupBy("sent_id", "mask_pos", "piece").agg(F.count("*").alias("n"))
     return counted.select("sent_id", "mask_pos", "piece", (F.col("n") / 8.0).alias("score"))
