@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from lavra.operators import cuts, scores
@@ -107,6 +110,33 @@ def scan_jsonl(spark, folder):
     return corpora.scan_json_lines(spark, f"{path}/*.json.gz").select("doc_id", "lang", "source", _digest())
 
 
+def _text_files(path: str):
+    """Write each text of a task as a file of its own, by key; texts that repeat a key in a task are lines of one.
+
+    The files of a task share a folder and are written where they stay, so that nothing is moved afterwards
+    and few folders are listed. A task that is run again writes the same files again.
+    """
+
+    def write(batches):
+        store, root = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        folder = f"{root}/texts-{TaskContext.get().partitionId():05d}"
+        store.create_dir(folder)
+        seen, written = set(), 0
+        for batch in batches:
+            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                name, line = f"{folder}/doc_id={key}.txt", f"{text or ''}\n".encode()
+                if key in seen:
+                    with store.open_input_stream(name) as earlier:
+                        line = earlier.read() + line
+                with store.open_output_stream(name) as out:
+                    out.write(line)
+                seen.add(key)
+                written += 1
+        yield pa.RecordBatch.from_pydict({"files": pa.array([written], pa.int64())})
+
+    return write
+
+
 @query(
     "scan_text_files",
     f"SELECT doc_id, (length(text) + 1)::BIGINT AS n_chars, md5(text || {q.NL}) AS text_md5 FROM documents",
@@ -115,7 +145,7 @@ def scan_text_files(spark, folder):
     """One file per document, beside a file of another kind that must be skipped."""
     path = new_scratch(spark, "text-files")
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    docs.write.partitionBy("doc_id").text(path)
+    docs.mapInArrow(_text_files(path), "files long").agg(F.sum("files")).collect()
     docs.select("doc_id").write.mode("append").json(path)
     files = corpora.scan_text_files(spark, path)
     number = F.regexp_extract("file_path", r"doc_id=(\d+)", 1).cast("long")

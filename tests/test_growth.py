@@ -106,3 +106,18 @@ def test_plain_words_are_pieces_without_a_search(spark):
     frame = spark.createDataFrame([(w,) for w in words], "w string")
     got = frame.select(tx.word_pre_tokens("w").alias("a"), tx.pre_tokens("w").alias("b"))
     assert all(r.a == r.b for r in got.collect())
+
+
+def test_text_files_share_the_folder_of_their_task(spark, tmp_path, monkeypatch):
+    import os
+
+    from lavra.plans import queries_sources
+
+    out = f"{tmp_path}/files"
+    monkeypatch.setattr(queries_sources, "new_scratch", lambda *_: out)
+    texts = [(i, f"text {i}\nmore") for i in range(300)] + [(300, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/in/documents.parquet")
+    rows = queries_sources.scan_text_files(spark, f"{tmp_path}/in").collect()
+    assert sorted((r.doc_id, r.n_chars) for r in rows) == [(i, len(t or "") + 1) for i, t in texts]
+    files = [(d, f) for d, _, names in os.walk(out) for f in names if f.endswith(".txt")]
+    assert len(files) == 301 and len({d for d, _ in files}) <= 64
