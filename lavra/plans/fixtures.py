@@ -45,14 +45,6 @@ def _lists(values, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
 
 
-@F.arrow_udf(_TAG_LIST)
-def _word_tags(ids: pa.Array, sizes: pa.Array) -> pa.Array:
-    """Tags of the places of each row, by the hash of row and place."""
-    sizes = sizes.to_numpy(zero_copy_only=False)
-    tags = np.minimum(_place_hashes("", ids.to_pylist(), sizes)[0], 8) % 5
-    return _lists(pa.array(tags, pa.int32()), sizes)
-
-
 @F.arrow_udf(T.StructType([T.StructField("logits", T.ArrayType(T.ArrayType(T.DoubleType()))), T.StructField("labels", _TAG_LIST)]))
 def _tag_scores(ids: pa.Array, tags: pa.Array) -> pa.Array:
     """Scores and labels of the places of each row, by another hash of row and place."""
@@ -87,10 +79,13 @@ def tagged_words(spark: SparkSession, folder: str) -> DataFrame:
         keep=["doc_id"],
     ).where(F.size("tokens") > 0)
 
+    def tag(word, at):
+        return F.least(_digit(_hash(F.col("id"), F.lit(":"), at.cast("string")), 1), F.lit(8)) % 5
+
     return words.select(
         "id",
         "tokens",
-        _word_tags("id", F.size("tokens")).alias("ner_tags"),
+        F.transform("tokens", tag).alias("ner_tags"),
         F.when(_hash(F.col("doc_id").cast("string")) < "2", "test").otherwise("train").alias("split"),
     )
 
