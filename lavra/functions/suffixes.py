@@ -106,17 +106,27 @@ class PrefixSums:
 
 
 class Best:
-    """Of ``(prefixes, totals)`` those whose total times length is among the ``limit`` largest, ties kept."""
+    """Of ``(prefixes, totals)`` those whose total times length is among the ``limit`` largest, ties kept.
+
+    What can't be among them is dropped as it comes; an eighth beyond the limit, or 100,000, wait for the next cut.
+    """
 
     def __init__(self, limit: int):
-        self.limit, self.held, self.size = limit, [], 0
+        self.limit, self.held, self.size, self.floor = limit, [], 0, 0
+        self.room = limit + max(limit // 8, 100_000)
 
     def add(self, prefixes: pa.Array, totals: np.ndarray) -> None:
+        if self.floor:
+            kept = np.flatnonzero(_weights(prefixes, totals) >= self.floor)
+            if len(kept) < len(totals):
+                prefixes, totals = prefixes.take(pa.array(kept)), totals[kept]
         self.held.append((prefixes, totals))
         self.size += len(totals)
-        if self.size > 2 * self.limit + 100_000:
+        if self.size > self.room:
             self.held = [self.taken()]
             self.size = len(self.held[0][1])
+            self.room = max(self.room, self.size + 100_000)  # ties may fill it
+            pa.default_memory_pool().release_unused()
 
     def taken(self) -> tuple[pa.Array, np.ndarray]:
         if not self.held:
@@ -125,6 +135,11 @@ class Best:
         totals = np.concatenate([t for _, t in self.held])
         if len(totals) <= self.limit:
             return prefixes, totals
-        weight = totals * pc.utf8_length(prefixes).to_numpy(zero_copy_only=False)
-        kept = np.flatnonzero(weight >= np.partition(weight, len(weight) - self.limit)[len(weight) - self.limit])
+        weight = _weights(prefixes, totals)
+        self.floor = np.partition(weight, len(weight) - self.limit)[len(weight) - self.limit]
+        kept = np.flatnonzero(weight >= self.floor)
         return prefixes.take(pa.array(kept)), totals[kept]
+
+
+def _weights(prefixes: pa.Array, totals: np.ndarray) -> np.ndarray:
+    return totals * pc.utf8_length(prefixes).to_numpy(zero_copy_only=False)
