@@ -121,3 +121,68 @@ def test_text_files_share_the_folder_of_their_task(spark, tmp_path, monkeypatch)
     assert sorted((r.doc_id, r.n_chars) for r in rows) == [(i, len(t or "") + 1) for i, t in texts]
     files = [(d, f) for d, _, names in os.walk(out) for f in names if f.endswith(".txt")]
     assert len(files) == 301 and len({d for d, _ in files}) <= 64
+
+
+def test_best_pieces_hold_little_beyond_the_limit():
+    import numpy as np
+
+    from lavra.functions import suffixes
+
+    best, most, rows = suffixes.Best(1000), 0, np.random.default_rng(3).permutation(400_000)
+    for part in np.split(rows, 400):
+        best.add(pa.array([f"{x:06d}" for x in part]), part)
+        most = max(most, best.size)
+    assert most <= 101_000 and sorted(best.taken()[1]) == list(range(399_000, 400_000))
+    late = best.size
+    best.add(pa.array(["000001"] * 1000), np.arange(1000))
+    assert best.size == late
+
+
+def test_plain_sums_give_the_uses_of_logarithms():
+    import numpy as np
+
+    from lavra.functions import lattice
+    from lavra.operators import unigram
+
+    rng = np.random.default_rng(5)
+    scores = np.where(rng.random(500) < 0.5, -np.inf, -1 - 29 * rng.random(500))
+    for n in (1, 2, 7, 20, 24):  # the longer ones need a factor a character
+        pieces = rng.integers(-1, 500, (len(lattice.edge_ends(n, 16)[0]), 40))
+        unknown = unigram._unknown(scores)
+        assert lattice.sums_are_plain(n, unknown)
+        got = lattice.plain_uses(pieces, n, 16, np.append(np.exp(scores), 0.0), unknown)
+        want = lattice.expected_uses(lattice.edge_scores(pieces, n, 16, scores, unknown), n, 16)
+        assert np.allclose(got, want, rtol=1e-9, atol=1e-12)
+    assert not lattice.sums_are_plain(200, -40.0)
+
+
+def test_sums_of_pieces_travel_in_rows_of_many(spark, monkeypatch):
+    import numpy as np
+
+    from lavra.operators import unigram
+
+    monkeypatch.setattr(unigram, "_SUMS", 2)
+    counts = spark.createDataFrame([("abab", 3), ("ba", 2), ("c" * 40, 1)], "word string, count long").repartition(3)
+    names = ["a", "ab", "b", "c", "cc", "dead"]
+    scores = np.log([0.2, 0.1, 0.3, 0.1, 0.2, 1.0])
+    scores[5] = -np.inf
+    words = unigram.lattice(counts, names)
+    best = unigram._summed(words, scores, unigram._best_uses, 16)
+    assert best.tolist() == [2, 6, 2, 0, 20, 0]
+    used = unigram._summed(words, scores, unigram._all_uses, 16)
+    assert used[0] + used[1] == pytest.approx(3 * 2 + 2) and used[3] + 2 * used[4] == pytest.approx(40) and used[5] == 0
+    ab = 0.1 / (0.1 + 0.2 * 0.3)
+    assert used[1] == pytest.approx(3 * 2 * ab)
+
+
+def test_strings_between_spaces_are_counted_before_they_are_searched(spark):
+    from lavra.operators import vocabulary
+
+    long = "x,y" * 40
+    texts = ["a, a, b  a\u2003b\nC", "a,", None, "", "  ", f"{long} ▁a▁ ▁ a▁b 12ab", "É ''q'' x\u00a0Σ"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = vocabulary.word_counts(frame)
+    want = vocabulary.with_tokens(frame).selectExpr("explode(tokens) AS word").groupBy("word").count()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 2
