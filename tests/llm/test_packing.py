@@ -5,6 +5,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -52,6 +53,60 @@ def test_words_give_the_ids_of_the_text():
         assert encode(pa.array([text]))[0].tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
+class _Counting:
+    """A tokenizer that counts the texts it gets and their words."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts, self.words = tokenizer, 0, Counter()
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        self.words.update(w for t in texts for w in t.split())
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_words_go_to_the_tokenizer_many_at_a_time_and_once_for_all_spellings():
+    encode = packing._Encoder(PATH, True)
+    counting = encode.tokenizer = _Counting(encode.tokenizer)
+    words = [a + b + c for a in "bdfgklmn" for b in "aeiou" for c in ("st", "nd", "rm", "lt", "ng", "x", "qu", "zz")]
+    text = " ".join([*words, *(w.title() + "!" for w in words), *(w.upper() + "$$$" for w in words)])
+    ids, bounds = encode(pa.array([text, None, text]))
+    want = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    assert ids.tolist() == want * 2 and bounds.tolist() == [0, len(want), len(want), 2 * len(want)]
+    assert counting.texts <= len(words) // packing._JOINED + 2
+    assert counting.words["bast"] == 1 and not {"Bast!", "Bast", "BAST$$$", "BAST"} & set(counting.words)
+
+
+def test_odd_words_marks_and_capitals_among_joined_words():
+    rng = random.Random(8)
+    parts = ["a", "Te", "H\u0331", "J\u030c", "\x7f", "|", "+", "=\u0338", "<|endoftext|>", "<|ENDOFTEXT|>", "\u2167", "\u0130", "K", "'S", "'ll", "$", "#", "-", "_", "\u00c9", "7", " ", "\n"]
+    plain = Tokenizer.from_file(PATH)
+    for marked in (True, False):
+        texts = ["".join(rng.choices(parts, k=rng.randrange(400))) for _ in range(40)]
+        encode = packing._Encoder(PATH, True)
+        assert encode.folds and encode.mark
+        encode.mark = encode.mark if marked else None
+        ids, bounds = encode(pa.array(texts))
+        for n, text in enumerate(texts):
+            assert ids[bounds[n] : bounds[n + 1]].tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_words_in_use_stay_known_when_the_memo_is_full(monkeypatch):
+    monkeypatch.setattr(packing, "_MEMO_WORDS", 200)
+    encode, plain = packing._Encoder(PATH, True), Tokenizer.from_file(PATH)
+    counting = encode.tokenizer = _Counting(encode.tokenizer)
+    letters = [a + b for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst"]
+    for n in range(12):
+        text = " ".join(["known", "words", *(f"{w}{letters[n]}" for w in letters[:150])])
+        assert encode(pa.array([text]))[0].tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert counting.words["known"] == counting.words["words"] == 1
+    assert len(encode.known) == len(encode.sizes) == len(encode.uses) <= 200 + 152
+    monkeypatch.setattr(packing, "_MEMO_IDS", 4_000)
+    for n in range(3):
+        encode(pa.array(["known " + "xyz" * 3_000 + letters[n]]))
+    assert len(encode.store) <= 4_000 + 9_002 and counting.words["known"] == 1
+
+
 def _one_at_a_time(counts, size):
     """Best-two-fit on single pieces."""
     left, bins = Counter(counts), []
