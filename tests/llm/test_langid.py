@@ -1,3 +1,6 @@
+import tracemalloc
+from types import SimpleNamespace
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -44,3 +47,38 @@ def test_odd_texts_and_models(spark):
     assert langid.identify(frame.drop("_found").limit(0), model).count() == 0
     one = langid.fit(frame.where("lang = 'en'"))
     assert one.languages == ["en"]
+
+
+def _random_words(n: int, seed: int) -> list[str]:
+    letters = np.random.default_rng(seed).integers(97, 123, (n, 7)).astype(np.uint8)
+    return [bytes(row).decode() for row in letters]
+
+
+def _model(k: int) -> langid.Model:
+    logits = np.random.default_rng(k).normal(0, 1, (langid.BUCKETS, k)).astype(np.float32)
+    return langid.Model([f"l{j}" for j in range(k)], logits, 1.0, 0.0)
+
+
+def test_memory_does_not_follow_the_distinct_words(spark):
+    words = _random_words(500_000, 1)
+    texts = pa.array([" ".join(words[a : a + 500]) for a in range(0, len(words), 500)])
+    langs = pa.array(["en"] * len(texts))
+    batch = pa.RecordBatch.from_arrays([langs, texts], ["lang", "text"])
+    few, many = (langid._apply(SimpleNamespace(value=_model(k))).func for k in (4, 64))
+    for work in (lambda: few(texts), lambda: many(texts), lambda: [b.num_rows for b in langid._bags()([batch])]):
+        tracemalloc.start()
+        work()
+        most = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        assert most < 120
+
+
+def test_words_of_many_parts_give_the_sums_of_their_subwords(monkeypatch):
+    words = [*_random_words(300, 2), "é", "日本語", "a", "x" * 700]
+    model = _model(3)
+    monkeypatch.setattr(langid, "_WORD_BYTES", 64)
+    sums = langid._word_sums(pa.array(words), model.logits)
+    for i, w in enumerate(words):
+        bucket, _ = langid._subwords(pa.array([w]))
+        assert sums[3, i] == len(bucket) and np.allclose(sums[:3, i], model.logits[bucket].sum(axis=0), rtol=1e-4, atol=1e-4)
+    assert langid._word_sums(pa.array([], pa.string()), model.logits).shape == (4, 0)
