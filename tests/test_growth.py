@@ -186,3 +186,32 @@ def test_strings_between_spaces_are_counted_before_they_are_searched(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 2
+
+
+def test_chunks_move_packed_and_keep_every_row(spark, monkeypatch):
+    from lavra.operators import encoding
+
+    monkeypatch.setattr(encoding, "_CHUNK", 7)
+    many = [f"w{i}" for i in range(70_000)]
+    rows = [(1, ["a", "b", None, "z"]), (1, ["a"]), (None, None), (2, []), (3, ["b"] * 50), (4, many), (5, None), (5, ["a"] * 7)]
+    frame = spark.createDataFrame(rows, "k int, tokens array<string>").coalesce(1)
+    ids = [("a", [7]), ("b", [8, 9]), ("w69999", [3]), ("w1", [4])]
+    table = spark.createDataFrame(ids, "word string, ids array<int>")
+    coded = encoding.encode_by_join(frame, table)
+    plan = coded._jdf.queryExecution().optimizedPlan().toString()
+    assert "tokens" not in plan and plan.count("data#") >= 1
+    known = dict(ids)
+    want = [(k, [i for w in tokens or [] for i in known.get(w, [1])]) for k, tokens in rows]
+    assert sorted(((r.k, r.ids) for r in coded.collect()), key=str) == sorted(want, key=str)
+
+
+def test_chunks_are_cut_by_elements_over_batches(monkeypatch):
+    from lavra.operators import encoding
+
+    monkeypatch.setattr(encoding, "_CHUNK", 10)
+    sizes = [3, 3, 0, 4, 1, 25, 2, 0, 10, 10, 9, 2, 0]
+    lists = [None if n == 0 and i % 2 else [i] * n for i, n in enumerate(sizes)]
+    batches = [pa.RecordBatch.from_pydict({"x": pa.array(lists[a:b], pa.list_(pa.int64()))}) for a, b in ((0, 2), (2, 2), (2, 9), (9, 13))]
+    chunks = [c.column("x").to_pylist() for c in encoding._cut_chunks(batches, "x")]
+    assert sum(chunks, []) == lists
+    assert [sum(len(x or []) for x in c) for c in chunks] == [10, 1, 25, 2, 10, 10, 9, 2]
