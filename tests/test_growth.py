@@ -215,3 +215,20 @@ def test_chunks_are_cut_by_elements_over_batches(monkeypatch):
     chunks = [c.column("x").to_pylist() for c in encoding._cut_chunks(batches, "x")]
     assert sum(chunks, []) == lists
     assert [sum(len(x or []) for x in c) for c in chunks] == [10, 1, 25, 2, 10, 10, 9, 2]
+
+
+def test_words_and_tags_that_are_not_kept_do_not_move(spark):
+    from lavra.operators import tasks, vocabulary
+
+    tagged = spark.createDataFrame([("a", ["New", "it's", "x"], [3, 4, 0], "train")], "id string, tokens array<string>, ner_tags array<int>, split string")
+    vocab = vocabulary.numbered([("▁new", 2.0), ("▁it", 1.0), ("▁s", 1.0)], spark)
+    rows = tasks.encode_tagged(tagged, vocab, limit=0)
+    assert "tokens" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    (r,) = rows.collect()
+    assert rows.columns == ["id", "split", "input_ids", "attention_mask", "word_ids", "labels"]
+    assert (r.id, r.split, r.labels) == ("a", "train", [-100, 3, 4, -100, -100, 0, -100])
+    sent = tasks.encode_tagged(tagged, vocab).collect()
+    assert sent == rows.collect()
+    only = tasks.encode_words(tagged, vocab, limit=0, keep=["id"])
+    assert only.columns == ["id", "input_ids", "attention_mask", "word_ids"]
+    assert "ner_tags" not in only._jdf.queryExecution().optimizedPlan().toString()
