@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lavra import schemas
+from lavra.sources import text_files
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,7 +32,13 @@ def scan_json_lines(spark: SparkSession, glob: str, schema: str = schemas.RAW_DO
 
 
 def scan_text_files(spark: SparkSession, folder: str, *, suffix: str = ".txt") -> DataFrame:
-    """One row per text file, with its path; other files are skipped."""
+    """One row per text file, with its path; other files are skipped.
+
+    Tasks list the folder and read it. The driver lists what only Spark's readers reach (``text_files.reachable``).
+    """
+    known = text_files.reachable(spark, folder, suffix)
+    if known is not None:
+        return text_files.scan(spark, *known, suffix)
     files = (
         spark.read.option("pathGlobFilter", f"*{suffix}")
         .option("recursiveFileLookup", True)

@@ -154,3 +154,49 @@ def test_stored_stages_know_their_parameters(spark, tmp_path):
     with pytest.raises(ValueError, match="other parameters"):
         curation.vocabulary(docs, path, size=20, model="word")
     assert curation.vocabulary(docs, path, size=20, model="word", rebuild=True).count() == 20
+
+
+def _named(spark, path, **options):
+    rows = corpora.scan_text_files(spark, str(path), **options)
+    return rows, sorted((r.file_path, r.text) for r in rows.collect())
+
+
+def test_text_files_are_listed_by_tasks_as_spark_lists_them(spark, tmp_path, monkeypatch):
+    from lavra.sources import text_files
+
+    root = tmp_path / "in dir%20é"
+    names = ["a.txt", "_x=1.txt", "sub/b c%41+é.txt", "_k=1/c.txt", "sub/deep/d.txt", "dir.txt/inner.txt", "bom.txt", "sub/x#?;[1].txt", "n ~^.txt"]
+    passed = ["_hidden.txt", ".dot.txt", "_sub/c.txt", ".sub/c.txt", "sub/deep/d.TXT", "z.json", "dir.txt/inner.csv"]
+    for i, name in enumerate([*names, *passed]):
+        file = root / name
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_bytes("﻿é {}\r\n".format(i).encode())
+    (root / "empty.txt").write_bytes(b"")
+    (root / "link").symlink_to(root / "sub")
+    (root / "gone.txt").symlink_to(root / "nothing")
+    monkeypatch.setattr(text_files, "_NAMES", 2)
+    monkeypatch.setattr(text_files, "_FILES", 3)
+    for path in (root, f"{root}/", f"file://{root}/sub"):
+        rows, got = _named(spark, path)
+        assert "Relation [path" in rows._jdf.queryExecution().optimizedPlan().toString()  # a table of names, not the files
+        with monkeypatch.context() as only_spark:
+            only_spark.setattr(text_files, "reachable", lambda *_: None)
+            assert _named(spark, path)[1] == got
+    assert len(_named(spark, root)[1]) == len(names) + 3
+
+
+def test_text_files_that_only_spark_reads_are_left_to_it(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one")
+    (tmp_path / "b.txt.gz").write_bytes(gzip.compress(b"two"))
+    assert [t for _, t in _named(spark, tmp_path, suffix=".gz")[1]] == ["two"]
+    assert [t for _, t in _named(spark, tmp_path / "a*")[1]] == ["one"]
+    assert [t for _, t in _named(spark, tmp_path / "a.txt")[1]] == ["one"]
+    assert [t for _, t in _named(spark, tmp_path, suffix="{.txt,.csv}")[1]] == ["one"]
+    with pytest.raises(AnalysisException):
+        corpora.scan_text_files(spark, str(tmp_path / "none"))
+
+
+def test_bytes_of_text_files_stay(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"\xff\x00\xe9 bad")
+    text = corpora.scan_text_files(spark, str(tmp_path)).select(F.col("text").cast("binary")).first()[0]
+    assert bytes(text) == b"\xff\x00\xe9 bad"
