@@ -158,15 +158,28 @@ def best_path(edge: np.ndarray, n: int, longest: int):
     return best[n], np.array(path)
 
 
-def segment(words: pa.Array, known: pa.Array, scores: np.ndarray, longest: int, unknown: float):
+def segmented(words: pa.Array, known: pa.Array, scores: np.ndarray, longest: int, unknown: float) -> pa.ListArray:
     """Piece numbers of each word's best segmentation; a run of unknown characters is one -1."""
-    out: list[list[int]] = [[] for _ in range(len(words))]
+    sizes, groups = np.zeros(len(words), np.int64), []
     for n, rows, pieces in edge_pieces(words, longest, known):
         _, path = best_path(edge_scores(pieces, n, longest, scores, unknown), n, longest)
-        for column, row in enumerate(rows.tolist()):
-            taken = path[:, column]
-            for at in taken[taken >= 0][::-1].tolist():
-                piece = int(pieces[at, column])
-                if piece >= 0 or not out[row] or out[row][-1] >= 0:
-                    out[row].append(piece)
-    return out
+        path = path[::-1].T  # words x edges, from the first to the last, -1 before the first
+        taken = path >= 0
+        piece = pieces[np.where(taken, path, 0), np.arange(len(rows))[:, None]]
+        again = taken[:, :-1] & (piece[:, :-1] < 0) & (piece[:, 1:] < 0)
+        taken[:, 1:] &= ~again
+        sizes[rows] = taken.sum(axis=1)
+        groups.append((rows, piece[taken]))
+    stops = np.cumsum(sizes)
+    flat = np.empty(stops[-1] if len(stops) else 0, np.int32)
+    for rows, pieces in groups:  # the places of a word's pieces follow each other
+        count = sizes[rows]
+        first = np.repeat(stops[rows] - np.cumsum(count), count)
+        flat[first + np.arange(len(pieces))] = pieces
+    starts = np.concatenate([[0], stops]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(starts), pa.array(flat))
+
+
+def segment(words: pa.Array, known: pa.Array, scores: np.ndarray, longest: int, unknown: float) -> list[list[int]]:
+    """The same as lists."""
+    return segmented(words, known, scores, longest, unknown).to_pylist()

@@ -135,7 +135,8 @@ def straight_quotes(column) -> Column:
 
 def raw_pre_tokens(column) -> Column:
     """Pieces of a normalised text, not yet opened by the meta symbol."""
-    return F.regexp_extract_all(_col(column), F.lit(PRE_TOKEN_QUICK), F.lit(0))
+    # A space before a piece is passed over with it, which spares a search that fails at the space.
+    return F.regexp_extract_all(_col(column), F.lit(f" ?({PRE_TOKEN_QUICK})"), F.lit(1))
 
 
 def open_piece(piece) -> Column:

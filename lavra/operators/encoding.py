@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from lavra.functions.lattice import segment
+from lavra.functions.lattice import segmented
 from lavra.functions.markup import offsets, relist
 from lavra.functions.tokens import (
     CONTEXT_SIZE,
@@ -27,7 +27,7 @@ from lavra.functions.tokens import (
     truncate,
 )
 from lavra.operators.vocabulary import BROADCAST_PIECES, with_tokens
-from lavra.session import fence, fresh, stage
+from lavra.session import PACKED, fence, fresh, stage
 
 _MEMO_WORDS = 500_000
 # Fixed value: how far an unknown character scores below the worst piece.
@@ -86,6 +86,31 @@ def word_encoder(vocab: DataFrame, pieces=None, *, unknown: int = UNK, specials=
 _SEGMENT_WORDS = 20_000
 
 
+class _Memo:
+    """The ids of words that a worker has met, at most ``_MEMO_WORDS`` before a batch; ``whole`` are always known."""
+
+    def __init__(self, whole: dict[str, list[int]]):
+        self.whole = whole
+        self.forget()
+
+    def forget(self) -> None:
+        self.places = {w: i for i, w in enumerate(self.whole)}
+        self.lists = pa.array(list(self.whole.values()), pa.list_(pa.int32()))
+
+    def ids(self, words: pa.Array, ids_of) -> pa.Array:
+        """The ids of distinct words; those of new ones by ``ids_of``, ``_SEGMENT_WORDS`` at once."""
+        if len(self.places) > _MEMO_WORDS:
+            self.forget()
+        names = words.to_pylist()
+        new = [i for i, w in enumerate(names) if w not in self.places]
+        if new:
+            some = words.take(pa.array(new))
+            parts = [ids_of(some.slice(at, _SEGMENT_WORDS)) for at in range(0, len(new), _SEGMENT_WORDS)]
+            self.places.update(zip(map(names.__getitem__, new), range(len(self.lists), len(self.lists) + len(new))))
+            self.lists = pa.concat_arrays([self.lists, *parts])
+        return self.lists.take(pa.array([self.places[w] for w in names], pa.int64()))
+
+
 def unigram_encoder(vocab: DataFrame, pieces=None, *, per_token: bool = False, unknown: int = UNK, specials: dict[str, int] | None = None):
     """Column function: array of words to array of ids by best segmentation.
 
@@ -104,23 +129,19 @@ def unigram_encoder(vocab: DataFrame, pieces=None, *, per_token: bool = False, u
         scores[:first] = -np.inf
         plain = scores[first:]
         lowest = (plain.min() if len(plain) else 0.0) - UNKNOWN_PENALTY
-        return known, scores, max(len(p) for p, _ in rows), lowest, dict(whole)
+        return [known, scores, max(len(p) for p, _ in rows), lowest], _Memo(whole)
 
     @F.arrow_udf("array<array<int>>" if per_token else "array<int>")
     def encode(tokens: pa.Array) -> pa.Array:
-        *model, memo = _once_per_worker(shared, build)
+        model, memo = _once_per_worker(shared, build)
         coded = tokens.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if len(memo) > _MEMO_WORDS:
-            memo.clear()
-            memo.update(whole)
-        new = [w for w in words if w not in memo]
-        for at in range(0, len(new), _SEGMENT_WORDS):
-            some = new[at : at + _SEGMENT_WORDS]
-            found = segment(pa.array(some, pa.string()), *model)
-            memo.update((w, [unknown if p < 0 else p for p in ps]) for w, ps in zip(some, found))
-        by_word = pa.array([memo[w] for w in words], pa.list_(pa.int32()))
-        each = by_word.take(coded.indices)
+
+        def ids_of(words: pa.Array) -> pa.Array:
+            found = segmented(words, *model)
+            pieces = found.values.to_numpy()
+            return pa.ListArray.from_arrays(found.offsets, pa.array(np.where(pieces < 0, unknown, pieces), pa.int32()))
+
+        each = memo.ids(coded.dictionary, ids_of).take(coded.indices)
         if per_token:
             return relist(tokens, each)
         starts = offsets(pc.list_value_length(each)).take(offsets(pc.list_value_length(tokens)))
@@ -143,13 +164,6 @@ def piece_lookup(vocab: DataFrame, pieces=None):
 
 # Elements of the arrays of one chunk of rows, about; a longer array is a chunk of its own.
 _CHUNK = 1 << 20
-# A stored chunk is one large value, so pages and row groups end after few of them.
-_PACKED = {
-    "parquet.block.size": 16 << 20,
-    "parquet.block.size.row.check.min": 1,
-    "parquet.page.size.row.check.min": 1,
-    "compression": "zstd",
-}
 
 
 def _cut_chunks(batches, column: str):
@@ -206,7 +220,7 @@ def _looked_up(
     keys = T.StructField("keys", T.ArrayType(rows.schema[column].dataType.elementType))
     packed = T.StructType([keys, T.StructField("data", T.BinaryType())])
     chunks = rows.select(*dict.fromkeys([*kept, column])).mapInArrow(_pack(column, kept), packed)
-    stored = stage(chunks.withColumn("chunk", F.monotonically_increasing_id()), "chunks", **_PACKED)
+    stored = stage(chunks.withColumn("chunk", F.monotonically_increasing_id()), "chunks", **PACKED)
     places = F.transform("keys", lambda key, place: F.struct(place.alias("place"), key.alias("key")))
     each = stored.select(F.col("chunk").alias("of"), F.inline(places))
     found = each.join(table, "key", "left").select("of", "place", F.coalesce("value", otherwise).alias("value"))

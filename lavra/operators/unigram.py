@@ -32,7 +32,7 @@ from lavra.operators.cuts import top_rows
 from lavra.operators.encoding import UNKNOWN_PENALTY
 from lavra.operators.skew import heavy_join
 from lavra.operators.vocabulary import numbered, word_counts
-from lavra.session import fence, spread, stage
+from lavra.session import PACKED, bound_batches, fence, spread, stage
 
 # Fixed values from public implementations of the paper.
 SEED_SIZE = 1_000_000
@@ -48,6 +48,8 @@ TRAINED_CHARS = 256
 # Characters of words whose substrings are looked up at once, and pieces whose sums travel in one row.
 _LOOKED_UP = 400_000
 _SUMS = 1 << 14
+# Edges of the words of one length that are stored as one value, about.
+_EDGES = 1 << 17
 
 
 def byte_alphabet() -> set[str]:
@@ -188,28 +190,55 @@ def _gathered(batches):
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def lattice(counts: DataFrame, pieces: list[str], *, longest: int = LONGEST_PIECE) -> DataFrame:
-    """Each word as its length, its count and the piece number of every substring. Narrow, stored once."""
+def lattice(counts: DataFrame, pieces: list[str], *, longest: int = LONGEST_PIECE, blocks: bool = False) -> DataFrame:
+    """Each word as its length, its count and the piece number of every substring. Narrow, stored once.
+
+    With ``blocks`` a row holds words of one length, as the bytes of their counts and, compressed, of their piece
+    numbers (edges x words), the way that the steps of the training take them.
+    """
     shared = counts.sparkSession.sparkContext.broadcast(pa.array(pieces, pa.string()))
 
     def number(batches):
         known = shared.value
         for batch in _gathered(batches):  # each look-up hashes all pieces
             for n, rows, pieces in edge_pieces(batch.column("word"), longest, known):
+                counts_ = batch.column("count").take(pa.array(rows))
+                if blocks:
+                    yield from _blocks(n, counts_.to_numpy(), pieces)
+                    continue
                 edges = pieces.T.astype(np.int32)
                 width = edges.shape[1]
                 starts = pa.array(np.arange(0, (len(rows) + 1) * width, width, dtype=np.int32))
                 lists = pa.ListArray.from_arrays(starts, pa.array(edges.ravel()))
-                counts_ = batch.column("count").take(pa.array(rows))
                 lengths = pa.array(np.full(len(rows), n, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays([lengths, counts_, lists], ["n", "count", "edges"])
 
-    numbered_ = counts.select("word", "count").mapInArrow(number, "n int, count long, edges array<int>")
-    return spread(stage(numbered_, "lattice"))
+    kinds = ("binary", "binary") if blocks else ("long", "array<int>")
+    numbered_ = counts.select("word", "count").mapInArrow(number, "n int, count {}, edges {}".format(*kinds))
+    if not blocks:
+        return spread(stage(numbered_, "lattice"))
+    bound_batches(counts.sparkSession)
+    return spread(stage(numbered_, "lattice", **PACKED | {"compression": "none"}))
+
+
+def _blocks(n: int, counts: np.ndarray, pieces: np.ndarray):
+    """Words of one length in rows of about ``_EDGES`` edges."""
+    edges, step = pieces.astype(np.int32), max(_EDGES // len(pieces), 1)
+    for at in range(0, len(counts), step):
+        some = [counts[at : at + step].astype(np.int64).tobytes(), pa.compress(edges[:, at : at + step].tobytes(), "lz4", asbytes=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), *(pa.array([x], pa.binary()) for x in some)], ["n", "count", "edges"])
 
 
-def _groups(batch):
+def _groups(batch, longest: int):
     """Words of a batch by length: (length, counts, piece numbers as edges x words)."""
+    if pa.types.is_binary(batch.schema.field("edges").type):
+        width = {}
+        for n, counts, edges in zip(batch.column("n").to_pylist(), batch.column("count"), batch.column("edges")):
+            counts = np.frombuffer(counts.as_buffer(), np.int64)
+            size = 4 * len(counts) * width.setdefault(n, int(np.minimum(longest, np.arange(n) + 1).sum()))
+            edges = pa.decompress(edges.as_buffer(), size, "lz4")
+            yield n, counts, np.frombuffer(edges, np.int32).reshape(-1, len(counts)).astype(np.intp)
+        return
     lists = batch.column("edges")
     flat, starts = lists.values.to_numpy().astype(np.intp), lists.offsets.to_numpy()
     counts = batch.column("count").to_numpy()
@@ -232,7 +261,7 @@ def _summed(words: DataFrame, scores: np.ndarray, uses: Callable, longest: int)
         table = shared.value
         totals, used = np.zeros(len(table) + 1), uses(table, longest)  # edges without a piece count last
         for batch in batches:
-            for n, counts, pieces in _groups(batch):
+            for n, counts, pieces in _groups(batch, longest):
                 np.add.at(totals, *used(pieces, counts, n))
         sums = totals[:-1][~np.isneginf(table)]
         for block, at in enumerate(range(0, len(sums), _SUMS)):
@@ -325,7 +354,7 @@ def removal_cost(pieces: DataFrame, scores: np.ndarray, longest: int) -> np.ndar
         table = shared.value
         unknown = _unknown(table)
         for batch in batches:
-            for n, numbers, edges in _groups(batch):
+            for n, numbers, edges in _groups(batch, longest):
                 left = np.flatnonzero(~np.isneginf(table[numbers]))
                 if not len(left):
                     continue
@@ -380,11 +409,11 @@ def train_unigram(
     scores = np.log(np.array([weights[p] for p in names], dtype=float))
     scores -= np.log(np.exp(scores).sum())
 
-    words = lattice(_in_parts(counts), names, longest=longest)
+    words = lattice(_in_parts(counts), names, longest=longest, blocks=True)
     table = counts.sparkSession.createDataFrame(
         pa.table({"word": names, "count": range(len(names))}), "word string, count long"
     )
-    pieces = lattice(spread(table), names, longest=longest)
+    pieces = lattice(spread(table), names, longest=longest, blocks=True)
     room = size - len(SPECIAL_TOKENS)
     target = max(int(room * HEADROOM), len(needed))
     while True:

@@ -232,3 +232,50 @@ def test_words_and_tags_that_are_not_kept_do_not_move(spark):
     only = tasks.encode_words(tagged, vocab, limit=0, keep=["id"])
     assert only.columns == ["id", "input_ids", "attention_mask", "word_ids"]
     assert "ner_tags" not in only._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_stored_in_blocks_give_the_same_sums(spark, monkeypatch):
+    import numpy as np
+
+    from lavra.operators import unigram
+
+    monkeypatch.setattr(unigram, "_EDGES", 40)
+    rng = np.random.default_rng(9)
+    words = sorted({"".join(rng.choice(list("abc"), n)) for n in rng.integers(1, 9, 300)} | {"ab" * 30, "", "x" * 20})
+    counts = spark.createDataFrame([(w, i + 1) for i, w in enumerate(words)], "word string, count long").repartition(2)
+    names = ["a", "ab", "abc", "b", "ba", "c", "cc", "x"]
+    scores = np.log([0.2, 0.1, 0.1, 0.2, 0.1, 0.1, 0.1, 0.1])
+    rows, blocks = unigram.lattice(counts, names), unigram.lattice(counts, names, blocks=True)
+    assert blocks.schema["edges"].dataType.typeName() == "binary" and blocks.count() < rows.count()
+    for uses in (unigram._best_uses, unigram._all_uses):
+        assert np.allclose(unigram._summed(blocks, scores, uses, 16), unigram._summed(rows, scores, uses, 16))
+    table = spark.createDataFrame([(w, i) for i, w in enumerate(names)], "word string, count long")
+    cost = [unigram.removal_cost(unigram.lattice(table, names, blocks=b), scores, 16) for b in (False, True)]
+    assert np.allclose(*cost) and cost[0][1] != 0
+
+
+def test_known_words_are_kept_between_batches_and_forgotten_when_many(monkeypatch):
+    from lavra.operators import encoding
+
+    monkeypatch.setattr(encoding, "_MEMO_WORDS", 4)
+    monkeypatch.setattr(encoding, "_SEGMENT_WORDS", 2)
+    asked = []
+
+    def ids_of(words):
+        asked.append(words.to_pylist())
+        return pa.array([[len(w), 7] if w else [] for w in words.to_pylist()], pa.list_(pa.int32()))
+
+    memo = encoding._Memo({"[X]": [5]})
+    assert memo.ids(pa.array(["a", "[X]", "bb", "", "ccc"]), ids_of).to_pylist() == [[1, 7], [5], [2, 7], [], [3, 7]]
+    assert memo.ids(pa.array([], pa.string()), ids_of).to_pylist() == []
+    assert asked == [["a", "bb"], ["", "ccc"]]
+    assert memo.ids(pa.array(["ccc", "[X]"]), ids_of).to_pylist() == [[3, 7], [5]] and asked[2:] == [["ccc"]]
+
+
+def test_spaces_before_pieces_change_nothing(spark):
+    from lavra.functions import text as tx
+
+    texts = ["a  b ▁c ,x 1 2", "   ", " \n a", "", " ▁ ▁▁", "x   y", ". . .", "  end  "]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.regexp_extract_all("t", F.lit(tx.PRE_TOKEN_QUICK), F.lit(0))
+    assert all(r.a == r.b for r in frame.select(plain.alias("a"), tx.raw_pre_tokens("t").alias("b")).collect())
