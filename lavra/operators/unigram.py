@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lavra.functions.lattice import (
     best_path,
@@ -190,13 +190,24 @@ def _gathered(batches):
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def lattice(counts: DataFrame, pieces: list[str], *, longest: int = LONGEST_PIECE, blocks: bool = False) -> DataFrame:
+def _as_words(spark: SparkSession, names: pa.Array) -> DataFrame:
+    """Pieces as words, each counted by its number. Tasks make the rows, and the driver only sends the pieces."""
+    shared = spark.sparkContext.broadcast(names)
+
+    def words(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([shared.value.take(batch.column("id")), batch.column("id")], names=["word", "count"])
+
+    return spark.range(len(names)).mapInArrow(words, "word string, count long")
+
+
+def lattice(counts: DataFrame, pieces: list[str] | pa.Array, *, longest: int = LONGEST_PIECE, blocks: bool = False) -> DataFrame:
     """Each word as its length, its count and the piece number of every substring. Narrow, stored once.
 
     With ``blocks`` a row holds words of one length, as the bytes of their counts and, compressed, of their piece
     numbers (edges x words), the way that the steps of the training take them.
     """
-    shared = counts.sparkSession.sparkContext.broadcast(pa.array(pieces, pa.string()))
+    shared = counts.sparkSession.sparkContext.broadcast(pieces if isinstance(pieces, pa.Array) else pa.array(pieces, pa.string()))
 
     def number(batches):
         known = shared.value
@@ -400,20 +411,19 @@ def train_unigram(
     chars = {r["piece"]: r["uses"] for r in character_counts(counts).collect()}
     needed = set(chars) | (byte_alphabet() if alphabet is None else alphabet)
     seeds = seed_pieces(counts, size=seed_size, longest=longest).select("piece", "weight").toArrow()
-    weights = dict(zip(seeds["piece"].to_pylist(), seeds["weight"].to_pylist())) | chars
-    names = sorted(weights)
-    if not names:  # an empty corpus: the alphabet with equal scores
+    names = pa.chunked_array([*seeds["piece"].chunks, pa.array(list(chars), pa.string())]).combine_chunks()
+    weights = np.concatenate([seeds["weight"].to_numpy(), np.array(list(chars.values()), np.int64)])
+    if not len(names):  # an empty corpus: the alphabet with equal scores
         first = sorted(needed)[: size - len(SPECIAL_TOKENS)]
         return numbered([(c, -math.log(len(first))) for c in first], docs.sparkSession)
-    required = np.array([p in needed for p in names])
-    scores = np.log(np.array([weights[p] for p in names], dtype=float))
+    order = pc.sort_indices(names)  # by bytes, as by code points
+    names, weights = names.take(order), weights[order.to_numpy()]
+    required = pc.is_in(names, value_set=pa.array(sorted(needed), pa.string())).to_numpy(zero_copy_only=False)
+    scores = np.log(weights.astype(float))
     scores -= np.log(np.exp(scores).sum())
 
     words = lattice(_in_parts(counts), names, longest=longest, blocks=True)
-    table = counts.sparkSession.createDataFrame(
-        pa.table({"word": names, "count": range(len(names))}), "word string, count long"
-    )
-    pieces = lattice(spread(table), names, longest=longest, blocks=True)
+    pieces = lattice(_as_words(counts.sparkSession, names), names, longest=longest, blocks=True)
     room = size - len(SPECIAL_TOKENS)
     target = max(int(room * HEADROOM), len(needed))
     while True:
@@ -425,7 +435,8 @@ def train_unigram(
         scores = prune(words, pieces, scores, required, max(target, int(left * shrink)), longest)
         if int((~np.isneginf(scores)).sum()) == left:
             break
-    final = {p: s for p, s in zip(names, scores.tolist()) if s != float("-inf")}
+    live = np.flatnonzero(~np.isneginf(scores))
+    final = dict(zip(names.take(pa.array(live)).to_pylist(), scores[live].tolist()))
     return numbered(_finish(final, needed, chars, room), docs.sparkSession)
 
 
