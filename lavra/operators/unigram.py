@@ -226,17 +226,18 @@ def lattice(counts: DataFrame, pieces: list[str] | pa.Array, *, longest: int = L
 
     kinds = ("binary", "binary") if blocks else ("long", "array<int>")
     numbered_ = counts.select("word", "count").mapInArrow(number, "n int, count {}, edges {}".format(*kinds))
-    if not blocks:
-        return spread(stage(numbered_, "lattice"))
-    bound_batches(counts.sparkSession)
-    return spread(stage(numbered_, "lattice", **PACKED | {"compression": "none"}))
+    if blocks:
+        bound_batches(counts.sparkSession)
+    stored = stage(numbered_, "lattice", **(PACKED | {"compression": "none"} if blocks else {}))
+    shared.destroy()
+    return spread(stored)
 
 
 def _blocks(n: int, counts: np.ndarray, pieces: np.ndarray):
     """Words of one length in rows of about ``_EDGES`` edges."""
     edges, step = pieces.astype(np.int32), max(_EDGES // len(pieces), 1)
     for at in range(0, len(counts), step):
-        some = [counts[at : at + step].astype(np.int64).tobytes(), pa.compress(edges[:, at : at + step].tobytes(), "lz4", asbytes=True)]
+        some = [counts[at : at + step].astype(np.int64).tobytes(), pa.compress(edges[:, at : at + step].tobytes(), "zstd", asbytes=True)]
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), *(pa.array([x], pa.binary()) for x in some)], ["n", "count", "edges"])
 
 
@@ -247,7 +248,7 @@ def _groups(batch, longest: int):
         for n, counts, edges in zip(batch.column("n").to_pylist(), batch.column("count"), batch.column("edges")):
             counts = np.frombuffer(counts.as_buffer(), np.int64)
             size = 4 * len(counts) * width.setdefault(n, int(np.minimum(longest, np.arange(n) + 1).sum()))
-            edges = pa.decompress(edges.as_buffer(), size, "lz4")
+            edges = pa.decompress(edges.as_buffer(), size, "zstd")
             yield n, counts, np.frombuffer(edges, np.int32).reshape(-1, len(counts)).astype(np.intp)
         return
     lists = batch.column("edges")
@@ -288,7 +289,7 @@ def _summed(words: DataFrame, scores: np.ndarray, uses: Callable, longest: int)
 
     parts = words.mapInArrow(partial, "block int, sums binary")
     rows = parts.groupBy("block").applyInArrow(added, "block int, sums binary").toArrow()
-    shared.unpersist()
+    shared.destroy()
     out = np.zeros(len(scores))
     for block, sums in zip(rows["block"].to_pylist(), rows["sums"]):
         out[live[block * _SUMS : (block + 1) * _SUMS]] = np.frombuffer(sums.as_buffer())
@@ -298,7 +299,7 @@ def _summed(words: DataFrame, scores: np.ndarray, uses: Callable, longest: int)
 def _by_piece(sums: DataFrame, shared, size: int) -> np.ndarray:
     """One number per piece, gathered as an array; pieces not named get 0."""
     rows = sums.toArrow()
-    shared.unpersist()
+    shared.destroy()
     out = np.zeros(size)
     out[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
     return out
